@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuegate.llm import op2_token_counts, op4_bit_packing, op5_packing
+from valuegate.llm import (
+    op1_embedding_near_dedup,
+    op2_token_counts,
+    op4_bit_packing,
+    op5_packing,
+    op8_warc_derivatives,
+    op9_minhash_near_dedup,
+    op10_secret_scan,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup.query,
     "op2_token_counts": op2_token_counts.query,
     "op4_bit_packing": op4_bit_packing.query,
     "op5_packing": op5_packing.query,
+    "op8_warc_derivatives": op8_warc_derivatives.query,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup.query,
+    "op10_secret_scan": op10_secret_scan.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_warc_derivatives": op8_warc_derivatives.ORACLE_SQL}
