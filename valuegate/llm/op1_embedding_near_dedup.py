@@ -41,6 +41,8 @@ def _unit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = np.array([np.asarray(v, np.float64) for v in part["embedding"]])
             top = np.abs(x).max(axis=1)
             good = np.isfinite(top) & (top > 0)
+            if not good.any():
+                continue
             x = x[good] / top[good][:, None]  # no overflow in the squares
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
             sig = signatures(x)

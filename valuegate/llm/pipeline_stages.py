@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuegate.llm import op5_packing
+from valuegate.llm import op3_decontamination, op5_packing, op6_toxicity, op9_minhash_near_dedup, op10_secret_scan
+from valuegate.llm.storage import table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -16,6 +17,40 @@ def _vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; null and empty texts score low and stay. Narrow after training."""
+    model = op6_toxicity.train(docs, table(spark, sf_dir, "labels"))
+    score = op6_toxicity.document_score(model)
+    return docs.filter(score(F.coalesce("text", F.lit(""))) < 0.5)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one of the least id; of rows that share an id one stays; rows without an id stay."""
+    kept = op9_minhash_near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    # The kept ids grow with the corpus: never broadcast.
+    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one with exchanged values, go."""
+    found = op3_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text is replaced by a mask; no document goes. ``n_chars`` follows the text."""
+    names = docs.columns
+    model = op10_secret_scan.train(op10_secret_scan.corpus_samples(docs))
+    scanned = op10_secret_scan.scan(docs, model)
+    text = op10_secret_scan.redact(F.col("text"), F.col("spans"))
+    changed = scanned.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
+    if "n_chars" in names:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars")))
+    return changed.select(names)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document, with its sequence, its place there and its ids."""
     return op5_packing.pack_documents(docs, _vocabulary())

@@ -82,7 +82,7 @@ class Words:
     """
 
     def __init__(self, texts: list[str | None], folded: bool = False) -> None:
-        raw = [(t.lower() if folded else t).encode() if t else b"" for t in texts]
+        raw = [(t.replace("İ", "i").lower() if folded else t).encode() if t else b"" for t in texts]  # folding keeps the number of characters
         self.bytes = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         self.starts, self.ends = word_spans(~(_FOLD_BREAK if folded else _WHITE)[self.bytes])
         self.sums = prefix_sums(_BYTE[self.bytes])
