@@ -9,6 +9,10 @@ from valuegate.llm.storage import table, written
 
 #: (name, function). Each function takes (spark, docs, sf_dir); its rows are written and read again as the next one's docs.
 STAGES = [
+    ("toxicity", stages.toxicity),
+    ("minhash near-dedup", stages.near_dedup),
+    ("benchmark decontamination", stages.decontamination),
+    ("secret scan", stages.secrets),
     ("packing", stages.packing),
 ]
 
@@ -19,5 +23,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
