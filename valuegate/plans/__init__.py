@@ -1 +1,5 @@
+"""Registered queries by subject; importing this package registers them all."""
 
+from valuegate.plans import evaluation, gate_plans, profiling, surface
+
+MODULES = (evaluation, gate_plans, profiling, surface)
