@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets.filter("n > 1").groupBy("n", "words", "leader", "last", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "words", "leader")
     members = written(members.join(buckets, "bucket"), "members")
     pairs = members.filter("doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    wanted = members.select("doc_id").distinct()
+    # The ids grow with the corpus and are never broadcast, so the texts are joined alike at every size.
+    wanted = members.select("doc_id").distinct().hint("merge")
     texts = written(rows.join(wanted, "doc_id", "left_semi"), "candidate-texts")
     of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
     links = written(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(_verify, "a long, b long"), "leader-links")
