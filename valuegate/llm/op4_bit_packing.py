@@ -107,11 +107,11 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 )
 
     blocks = read_blocks(spark, folder)
-    # A row for each shard, so the running sum is over as many rows as there are partitions.
+    # A row for each shard, so the running sum and the broadcast have as many rows as there were partitions.
     totals = blocks.groupBy("shard").agg(F.sum(F.aggregate("doc_sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     docs = blocks.mapInPandas(decode, "shard int, doc_id long, inside long, n_tokens long, ids binary")
-    return docs.join(before, "shard").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
