@@ -22,12 +22,10 @@ CLEANING = [
     (r"(?is)<head\b[^>]*>.*?</head\s*>", ""),
     (r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|nav|header|footer|main|aside|blockquote|pre|form|title|body|html)\b[^>]*>", "\n"),
     (r"<[a-zA-Z/!][^>]*>", ""),
-    (r"(?i)&nbsp;|&#160;", " "),
-    (r"(?i)&lt;|&#60;", "<"),
-    (r"(?i)&gt;|&#62;", ">"),
-    (r"(?i)&quot;|&#34;", '"'),
-    (r"(?i)&apos;|&#39;", "'"),
-    (r"(?i)&amp;|&#38;", "&"),
+]
+#: Character references, replaced as they are written, the ampersand last.
+REFERENCES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#38;", "&"), ("&amp;", "&")]
+SPACING = [
     (r"[ \t\r\f]+", " "),
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+|[ \n]+$", ""),
@@ -40,6 +38,10 @@ LANG = r"(?i)<html\b[^>]*\blang=[\"']?([a-zA-Z-]+)"
 def plain_text(html: Column) -> Column:
     for pattern, by in CLEANING:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(by))
+    for reference, by in REFERENCES:
+        html = F.replace(html, F.lit(reference), F.lit(by))
+    for pattern, by in SPACING:
+        html = F.regexp_replace(html, F.lit(pattern), F.lit(by))
     return html
 
 
@@ -123,8 +125,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     text = "html"
+    replaced = lambda text, pattern, by: f"regexp_replace({text}, {quote(pattern)}, {'chr(10)' if by == chr(10) else quote(by)}, 'g')"
     for pattern, by in CLEANING:
-        text = f"regexp_replace({text}, {quote(pattern)}, {'chr(10)' if by == chr(10) else quote(by)}, 'g')"
+        text = replaced(text, pattern, by)
+    for reference, by in REFERENCES:
+        text = f"replace({text}, {quote(reference)}, {quote(by)})"
+    for pattern, by in SPACING:
+        text = replaced(text, pattern, by)
     uuid = lambda m: f"'<urn:uuid:' || substr({m}, 1, 8) || '-' || substr({m}, 9, 4) || '-' || substr({m}, 13, 4) || '-' || substr({m}, 17, 4) || '-' || substr({m}, 21, 12) || '>'"
     end = "chr(13) || chr(10)"
     fields = " || ".join(
