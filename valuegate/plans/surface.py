@@ -123,7 +123,7 @@ def cells_exposed(t: Tables) -> DataFrame:
 
 sql_query("sql_outer_joins", """SELECT n_name, s_suppkey, r_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 FULL JOIN region ON r_regionkey = n_regionkey AND r_name <> 'ASIA'""")
 sql_query("sql_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice BETWEEN 400000 AND 450000)")
-sql_query("sql_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+sql_query("sql_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 250000) AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
 sql_query(
     "sql_aggregates",
     "SELECT l_shipdate > timestamp '2000-01-01' AS late, count(*) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_tax), 6) AS mean, min(l_discount) AS low, max(l_discount) AS high, round(coalesce(sum(CASE WHEN l_tax > 1 THEN l_tax END), 0.0), 2) AS none FROM lineitem GROUP BY l_shipdate > timestamp '2000-01-01'",
