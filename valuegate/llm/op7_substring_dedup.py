@@ -6,7 +6,7 @@ passages whose anchor occurs more than once can hold a repeated window. Equal pa
 all passages of a repeated anchor are equal, all their windows are repeated. The other distinct passages, routed by
 anchor, are the reference shards: a task builds a shard's suffix automaton and streams the shard's passages through it,
 and the matching statistics tell which windows occur twice. Anchors with very many distinct passages would make an
-unbounded shard; their windows are counted one by one instead, by hash.
+unbounded shard; their windows are counted by hash instead, part by part and then one by one.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from valuegate.llm.textvec import Words, batches, mix, prefix_sums, span_hash
 SIZE, GRAM = 35, 8
 #: Distinct passages of one anchor that a shard takes; more are counted window by window.
 ANCHOR_PASSAGES = 512
+#: Windows of a part.
+PART = 4
 #: Words of a shard's automaton, about.
 SHARD_WORDS = 20_000
 
@@ -122,15 +124,51 @@ def _match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"anchor": frame["anchor"].to_numpy(), "passage": frame["passage"].to_numpy(), "bits": np.array(bits, np.int64)})
 
 
-def _window_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of a passage in parts of ``PART``, cut alike in all passages by the distance from the anchor.
+
+    ``span`` hashes all words of the part's windows, ``core`` the words that all windows of such a part share.
+    """
     for frame in frames:
-        out = []
+        out: list[tuple] = []
         for anchor, passage, weight, raw in frame[["anchor", "passage", "weight", "words"]].itertuples(index=False):
             hashes = np.frombuffer(raw, "<u8")
-            at = np.arange(len(hashes) - SIZE + 1)
-            out.append(pd.DataFrame({"anchor": anchor, "passage": passage, "weight": weight, "number": at, "window": span_hash(prefix_sums(hashes), at, at + SIZE).view(np.int64)}))
+            sums = prefix_sums(hashes)
+            starts = np.arange(len(hashes) - SIZE + 1)
+            place = np.arange(SIZE - GRAM + 1)
+            zero = int((mix(span_hash(sums, place, place + GRAM)) & ~_PLACE).argmin())  # the anchor, leftmost of equals
+            group = (starts - zero) // PART
+            first = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+            last = np.append(first[1:], len(starts)) - 1
+            span = span_hash(sums, first, last + SIZE).view(np.int64).tolist()
+            begin = group[first] * PART + zero
+            core = span_hash(sums, begin + PART - 1, begin + SIZE).view(np.int64).tolist()
+            windows = span_hash(sums, starts, starts + SIZE).view(np.int64)
+            for i, (f, t) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+                out.append((anchor, passage, weight, f, t - f + 1, span[i], core[i], windows[f : t + 1]))
         if out:
-            yield pd.concat(out)
+            yield pd.DataFrame(out, columns=["anchor", "passage", "weight", "first", "n", "span", "core", "windows"])
+
+
+def _counted(examples: DataFrame) -> DataFrame:
+    """(anchor, passage, bits) of passages whose anchor has too many others for one shard, by counting hashes.
+
+    A part that occurs twice is repeated throughout; a part whose core occurs once is not at all; only the windows of
+    the others are counted one by one, against each other and one copy of each repeated part.
+    """
+    parts = examples.mapInPandas(_parts, "anchor long, passage long, weight long, first int, n int, span long, core long, windows array<long>")
+    parts = written(parts, "window-parts")
+    spans = parts.groupBy("anchor", "span").agg(F.sum("weight").alias("spans"))
+    cores = parts.groupBy("anchor", "core").agg(F.sum("weight").alias("cores")).filter("cores > 1")
+    known = parts.join(spans, ["anchor", "span"]).join(cores, ["anchor", "core"])
+    whole = known.filter("spans > 1")
+    open_ = known.filter("spans = 1").select("anchor", "passage", "first", F.posexplode("windows").alias("i", "window"))
+    copies = whole.groupBy("anchor", "span").agg(F.any_value("windows").alias("windows")).select("anchor", F.explode("windows").alias("window"), F.lit(2).alias("w"))
+    twice = open_.select("anchor", "window", F.lit(1).alias("w")).unionAll(copies).groupBy("anchor", "window").agg(F.sum("w").alias("w")).filter("w > 1").select("anchor", "window")
+    bit = lambda e: F.expr(f"shiftleft(1L, cast({e} AS int))")
+    single = open_.join(twice, ["anchor", "window"]).select("anchor", "passage", bit("first + i").alias("bits"))
+    full = whole.select("anchor", "passage", F.expr("shiftleft(shiftleft(1L, n) - 1L, first)").alias("bits"))
+    return single.unionAll(full).groupBy("anchor", "passage").agg(F.sum("bits").alias("bits"))
 
 
 def _remove(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,9 +224,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     examples = written(examples, "example-passages")
     few = examples.join(many, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "passage")
     bits = few.mapInPandas(_match, "anchor long, passage long, bits long")
-    counted = examples.join(many, "anchor", "left_semi").mapInPandas(_window_hashes, "anchor long, passage long, weight long, number long, window long")
-    twice = counted.groupBy("anchor", "window").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor", "window")
-    extra = counted.join(twice, ["anchor", "window"]).groupBy("anchor", "passage").agg(F.sum(F.expr("shiftleft(1L, cast(number as int))")).alias("bits"))
+    extra = _counted(examples.join(many, "anchor", "left_semi"))
     bits = written(bits.unionByName(extra).filter("bits != 0"), "repeated-windows")
     # All windows of a passage: bits below 0.
     mixed = candidates.filter("mixed").join(bits, ["anchor", "passage"]).select("key", "place", "bits")
