@@ -12,7 +12,7 @@ from valuegate.llm.pretokens import Pretokens, pieces, supported
 from valuegate.llm.textvec import prefix_sums, span_hash
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew, so its size is bounded.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 

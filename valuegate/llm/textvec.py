@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters worked on at a time inside a task. Longer texts are cut at white space by the callers that can.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
