@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="valuegate-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a new folder and read again, for frames that many later steps use."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
