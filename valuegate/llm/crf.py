@@ -89,7 +89,7 @@ def fit(features: np.ndarray, labels: np.ndarray, bounds: np.ndarray, n_features
         gap = np.zeros(len(labels))
         gap[at[inside]] = (gold - prob)[inside]
         grad = np.zeros_like(x)
-        grad[:n_features] = np.bincount(features[used], weights=np.repeat(gap, features.shape[1]).reshape(features.shape)[used], minlength=n_features)
+        grad[:n_features] = np.bincount(features[used], weights=np.broadcast_to(gap[:, None], features.shape)[used], minlength=n_features)
         grad[n_features] = gap.sum()
         grad[n_features + 1] = (gold[0] - prob[0]).sum()
         grad[n_features + 2 :] = (pairs - expected).reshape(-1)

@@ -38,7 +38,7 @@ class Model:
     curve: np.ndarray  # of the document score
 
     def emission(self, words: Words) -> np.ndarray:
-        found = lookup(self.keys, words)
+        found = lookup(self.keys, feature_hashes(words))
         return np.append(self.weights[:-1], 0.0)[found].sum(axis=1) + self.weights[-1]
 
     def tag(self, words: Words) -> np.ndarray:
@@ -69,15 +69,24 @@ def feature_hashes(words: Words) -> np.ndarray:
     return out
 
 
-def lookup(keys: np.ndarray, words: Words) -> np.ndarray:
+def lookup(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """(word, head): the feature's number, -1 if unknown."""
-    hashes = feature_hashes(words)
     if not len(keys):
         return np.full(hashes.shape, -1)
     at = np.minimum(np.searchsorted(keys, hashes.reshape(-1)), len(keys) - 1)
     return np.where(keys[at] == hashes.reshape(-1), at, -1).reshape(hashes.shape)
 
 
+def _features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The feature hashes of all words of the texts, made batch by batch, and the texts' word bounds."""
+    parts, counts = [np.zeros((0, len(HEADS)), np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in batches(texts):
+        words = Words(texts[a:b], folded=True)
+        parts.append(feature_hashes(words))
+        counts.append(np.diff(words.bounds))
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
 def summary(marginal: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Of each text: its greatest marginal, the expected number of toxic words, their share, and 1."""
     n = np.diff(bounds)
@@ -118,26 +127,31 @@ def fit(texts: list[str | None], toxic: list[int], prior: float = 0.1) -> Model:
     for label in (0, 1):
         turn[y == label] = np.arange((y == label).sum()) % 3
     own, rest = np.flatnonzero(turn < 2), np.flatnonzero(turn == 2)
-    words = Words([texts[i] for i in own], folded=True)
-    hashes = feature_hashes(words)
-    text = np.repeat(np.arange(len(own)), np.diff(words.bounds))
-    # Documents of either label that hold each feature.
-    used = hashes != 0
-    pair = np.unique(np.stack([hashes[used], np.repeat(text, len(HEADS)).reshape(hashes.shape)[used].astype(np.uint64)]), axis=1)
-    keys, number = np.unique(pair[0], return_inverse=True)
-    bad = y[own][pair[1].astype(np.int64)]
+    hashes, bounds = _features([texts[i] for i in own])
+    text = np.repeat(np.arange(len(own)), np.diff(bounds))
+    # Documents of either label that hold each feature, one kind of feature at a time to spare memory.
     n1, n0 = max(1, int((y[own] == 1).sum())), max(1, int((y[own] == 0).sum()))
-    in1 = np.bincount(number, weights=bad, minlength=len(keys))
-    in0 = np.bincount(number, weights=1 - bad, minlength=len(keys))
-    marks = (in1 >= LEAST_DOCS) & (in1 / n1 >= LEAST_RATIO * (in0 + 0.5) / n0)
-    keys = keys[marks]
-    found = lookup(keys, words)
+    chosen = []
+    for k in range(len(HEADS)):
+        used = hashes[:, k] != 0
+        names, number = np.unique(hashes[used, k], return_inverse=True)
+        held = np.unique(number * len(own) + text[used])
+        bad = y[own][held % len(own)]
+        in1 = np.bincount(held // len(own), weights=bad, minlength=len(names))
+        in0 = np.bincount(held // len(own), weights=1 - bad, minlength=len(names))
+        chosen.append(names[(in1 >= LEAST_DOCS) & (in1 / n1 >= LEAST_RATIO * (in0 + 0.5) / n0)])
+    keys = np.unique(np.concatenate(chosen))
+    found = lookup(keys, hashes).astype(np.int32)
+    del hashes
     labels = ((found >= 0).any(axis=1) & (y[own][text] == 1)).astype(np.int64)
-    weights, initial, transition = crf.fit(found, labels, words.bounds, len(keys))
+    weights, initial, transition = crf.fit(found, labels, bounds, len(keys))
     model = Model(keys, weights, initial, transition, flat)
     if len(rest):
-        words = Words([texts[i] for i in rest], folded=True)
-        x = summary(model.tag(words), words.bounds)
+        listed, rows = [texts[i] for i in rest], []
+        for a, b in batches(listed):
+            words = Words(listed[a:b], folded=True)
+            rows.append(summary(model.tag(words), words.bounds))
+        x = np.concatenate(rows)
         share = y[rest].mean()
         if 0 < share < 1:
             weight = np.where(y[rest] == 1, prior / share, (1 - prior) / (1 - share))
