@@ -41,4 +41,4 @@ def missed_values(t: Tables) -> DataFrame:
 @query("understand_batch")
 def understand_batch(t: Tables) -> DataFrame:
     texts, glossary, found = gp.messages(t), pr.glossary(t), stored(resolved(t), "resolved")
-    return rs.understand(texts, found, missed(t, found), tg.scope(tg.tag(texts, glossary), glossary)).withColumn("n_numbers", F.size("numbers"))
+    return rs.understand(texts, found, stored(missed(t, found), "missed"), tg.scope(tg.tag(texts, glossary), glossary)).withColumn("n_numbers", F.size("numbers"))
