@@ -63,6 +63,16 @@ def test_exchanged_questions_are_found(spark):
     assert op3_decontamination.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_letters_that_fold_to_other_lengths_leave_names_alone(spark):
+    question = "The committee asked Springfield why Marlowe had sold the old Shelbyville station to Harrington before the winter came."
+    other = "so the committee asked Oakdale why Bennett had sold the old Riverside station to Whitcomb before the winter came"
+    odd = ["at 5 \u212a it froze", "\u2126 and \u212b and \u1e9e", "\u023a\u023a \u212a", "\u0130 \u023e"]
+    docs = spark.createDataFrame([(1, other, "x"), *((i + 2, t, "x") for i, t in enumerate(odd))], DOC).coalesce(1)
+    items = spark.createDataFrame([(7, question), (8, "Nothing like it stands in any of the texts, not even at 300 \u212a in May.")], "item_id long, text string").coalesce(1)
+    for these, those in ((docs, items.filter("item_id = 7")), (docs.filter("doc_id = 1"), items), (docs, items)):
+        assert {(r["doc_id"], r["item_id"]): r["exchanged"] for r in op3_decontamination.contaminated(these, those).collect()} == {(1, 7): 4}
+
+
 def test_passages_of_the_benchmark(spark):
     folder = "/root/testdata/sf0.01"
     fold = lambda t: " ".join(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()))
