@@ -1,6 +1,8 @@
 """Toxicity, decontamination, passages, secrets and WARC records, against brute force and by hand."""
 
 import hashlib
+import html
+import html.entities
 import random
 import re
 from collections import Counter
@@ -168,3 +170,14 @@ def test_warc_records_link_and_read_back(spark, tmp_path):
     back = op8_warc_derivatives.read_warc(spark, f"file://{tmp_path}/w").collect()
     assert len(back) == 9 and all(r["whole"] for r in back)
     assert {r["headers"]["WARC-Record-ID"]: r["block"] for r in back} == {r["record_id"]: r["block"] for r in rows.values()}
+
+
+def test_character_references_are_decoded(spark):
+    texts = ["&copy; 2024 Acme &middot; M&uuml;ller &#8212; &#x1F600;&#X41;&#65b", "&amp;lt; &AMP;copy; &amp;amp;#65;", "a&ampb &copy2 &notit; &notin; &am & &; &#; &#x; &nosuch; x&yz", "&#128;&#x9f;&#xD800;&#0;&#1114112;&#99999999999999999999;&#0000000000065;", "&fjlig;&NotEqualTilde;&CounterClockwiseContourIntegral;", "none", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = dict(docs.select("id", op8_warc_derivatives.decoded(F.col("text")).alias("t")).collect())
+    assert got == {i: html.unescape(t) for i, t in enumerate(texts)}
+    names = spark.createDataFrame([(f"&{n}",) for n in html.entities.html5], "text string")
+    assert all(r["t"] == html.unescape(r["text"]).replace("\xa0", " ") for r in names.select("text", op8_warc_derivatives.decoded(F.col("text")).alias("t")).collect())
+    pages = spark.createDataFrame([(1, "u", "<p>x&nbsp;&#xA0; y<footer>&copy; Z &middot; &lt;p&gt;</footer>")], "page_id long, url string, html string")
+    assert op8_warc_derivatives.derivatives(pages).filter("warc_type = 'conversion'").first()["block"] == "x y\n© Z · <p>"

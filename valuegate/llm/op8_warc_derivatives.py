@@ -7,6 +7,8 @@ repeated run gives the same ones; rows that agree in page id, URL and body give
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,15 @@ CLEANING = [
     (r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|nav|header|footer|main|aside|blockquote|pre|form|title|body|html)\b[^>]*>", "\n"),
     (r"<[a-zA-Z/!][^>]*>", ""),
 ]
-#: Character references, replaced as they are written, the ampersand last.
+#: A character reference behind its ampersand; after numbers and some old names the semicolon may be missing.
+REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+#: What the HTML standard's names stand for; a space that does not break counts as a space.
+NAMES = {name: " " if text == "\xa0" else text for name, text in html5.items()}
+#: The names that need no semicolon, longer ones first.
+OLD_NAMES = "^&(?:" + "|".join(sorted((n for n in NAMES if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+#: Numbers from 128 on that the standard reads as Windows-1252.
+WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+#: The references that the SQL knows; it has no general decoding, so its text differs where a page holds others.
 REFERENCES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#38;", "&"), ("&amp;", "&")]
 SPACING = [
     (r"[ \t\r\f]+", " "),
@@ -35,11 +45,49 @@ LINK = r"(?i)<a\s[^>]*href="
 LANG = r"(?i)<html\b[^>]*\blang=[\"']?([a-zA-Z-]+)"
 
 
+def _number(reference: Column) -> Column:
+    digits = lambda pattern: F.ltrim(F.regexp_extract(reference, pattern, 1), F.lit("0"))
+    ten, sixteen = digits("^&#([0-9]+)"), digits("^&#[xX]([0-9a-fA-F]+)")
+    # Seven digits hold every character, and no longer number is converted.
+    code = F.when(F.greatest(F.length(ten), F.length(sixteen)) > 7, 0).otherwise(F.coalesce(F.conv(F.when(ten != "", ten), 10, 10), F.conv(F.when(sixteen != "", sixteen), 16, 10), F.lit("0")).cast("int"))
+
+    def char(n: Column) -> Column:
+        outside = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        given = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(outside, "\ufffd").when(n.between(0x80, 0x9F), F.substring(F.lit(WINDOWS), n - 0x7F, F.lit(1))).when(n == 0xA0, " ").otherwise(given)
+
+    return F.get(F.transform(F.array(code), char), F.lit(0))
+
+
+def decoded(text: Column) -> Column:
+    """``text`` with its character references read once, so that what an ampersand's reference leaves is no reference."""
+    letters = range(ord("A"), ord("z") + 1)
+    by_letter = ["\x02".join(f"{n}\x01{v}" for n, v in NAMES.items() if ord(n[0]) == c) for c in letters]
+    maps = F.array(*(F.str_to_map(F.lit(m), F.lit("\x02"), F.lit("\x01")) for m in by_letter))  # folded to a constant
+
+    def known(reference: Column) -> Column:
+        return F.element_at(F.get(maps, F.ascii(F.substring(reference, 2, 1)) - letters[0]), F.substring(reference, F.lit(2), F.length(reference)))
+
+    def one(reference: Column) -> Column:
+        old = F.regexp_extract(reference, OLD_NAMES, 0)
+        begun = F.when(old != "", F.concat(known(old), F.substring(reference, F.length(old) + 1, F.length(reference))))
+        return F.when(reference.startswith("&#"), _number(reference)).otherwise(F.coalesce(known(reference), begun, reference))
+
+    def after(piece: Column) -> Column:
+        whole = F.array(F.concat(F.lit("&"), F.regexp_extract(piece, REFERENCE, 0)))
+        read = F.transform(whole, lambda r: F.when(r == "&", F.concat(r, piece)).otherwise(F.concat(one(r), F.substring(piece, F.length(r), F.length(piece)))))
+        return F.when(piece.startswith("amp;"), F.concat(F.lit("&"), F.substring(piece, F.lit(5), F.length(piece)))).otherwise(F.get(read, F.lit(0)))
+
+    def joined(pieces: Column) -> Column:
+        return F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), after)), "")
+
+    return F.get(F.transform(F.array(F.split(text, "&", -1)), joined), F.lit(0))  # the text is worked out once
+
+
 def plain_text(html: Column) -> Column:
     for pattern, by in CLEANING:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(by))
-    for reference, by in REFERENCES:
-        html = F.replace(html, F.lit(reference), F.lit(by))
+    html = decoded(html)
     for pattern, by in SPACING:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(by))
     return html
