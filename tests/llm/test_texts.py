@@ -75,6 +75,16 @@ def test_letters_that_fold_to_other_lengths_leave_names_alone(spark):
         assert {(r["doc_id"], r["item_id"]): r["exchanged"] for r in op3_decontamination.contaminated(these, those).collect()} == {(1, 7): 4}
 
 
+def test_copies_in_another_case_and_short_items_are_found(spark):
+    question = "The envoy Marlowe met Harrington near Oakdale and told Bennett that Whitcomb had sold Riverside to Springfield for 40 dollars."
+    short, accents = "Explain how glaciers carve deep valleys.", "In spring the painter Émile met Örjan by the river while Ängström wrote long letters home."
+    texts = [question.upper(), question.lower(), question.lower().replace("40", "75"), "Then they said, Explain how glaciers carve deep valleys, and left.", "we must explain how glaciers carve deep valleys now", "EXPLAIN HOW GLACIERS CARVE DEEP VALLEYS", accents.replace("Émile", "Åke").replace("Örjan", "Øystein"), accents.upper(), "they explain how rivers carve deep gorges"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOC)
+    items = spark.createDataFrame([(7, question), (8, short), (9, accents)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["exchanged"] for r in op3_decontamination.contaminated(docs, items).collect()}
+    assert found == {(0, 7): 0, (1, 7): 0, (2, 7): 1, (3, 8): 0, (4, 8): 0, (5, 8): 0, (6, 9): 2, (7, 9): 0}
+
+
 def test_passages_of_the_benchmark(spark):
     folder = "/root/testdata/sf0.01"
     fold = lambda t: " ".join(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()))
