@@ -166,6 +166,22 @@ def test_markov_models_tell_keys_from_words(spark):
     assert op10_secret_scan.train(spark.createDataFrame([], "value string, random int")) == [0.0] * op10_secret_scan.SIDE**2
 
 
+def test_keys_joined_to_words_are_found(spark):
+    random.seed(8)
+    made = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    words = ["client", "credential", "identifier", "internal", "services", "configuration", "production", "reading", "getElementByName", "some_variable_name"]
+    samples = [(made(40), 1) for _ in range(2000)] + [(w, 0) for w in words * 200]
+    model = op10_secret_scan.train(spark.createDataFrame(samples, "value string, random int"))
+    scanned = lambda texts: {r["doc_id"]: [s["value"] for s in r["markov"]] for r in op10_secret_scan.scan(spark.createDataFrame([(i, t, "x") for i, t in texts.items()], DOC), model).collect()}
+    path, made_keys = "internal/services/configuration/production/", [made(32) for _ in range(200)]
+    keys = [made_keys[i] for i, found in scanned(dict(enumerate(made_keys))).items() if found == [made_keys[i]]]
+    assert len(keys) > 40
+    texts = {i: f"see {path}{k} now" for i, k in enumerate(keys[:40])} | {100: f"{path}{keys[0]}/{path}{keys[1]}", 101: f"AKIA{'Q7' * 8}/{keys[2]}", 102: f"{path}client_credential_identifier={keys[3]}_reading", 103: path * 3, 104: f"{'0a' * 14}_{path}{keys[4]}"}
+    got = scanned(texts)
+    assert [got[i] for i in range(40)] == [[k] for k in keys[:40]]
+    assert got[100] == keys[:2] and got[101] == [f"/{keys[2]}"] and got[102] == [keys[3]] and got[103] == [] and got[104] == [keys[4]]
+
+
 def test_warc_records_link_and_read_back(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "<html lang=en><head><title>T &amp; x</title></head><body><p>One</p><!-- no --><script>var a='<p>';</script>two &lt;b&gt;</body></html>"), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
     records = op8_warc_derivatives.derivatives(pages)

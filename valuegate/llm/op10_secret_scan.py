@@ -1,7 +1,8 @@
 """Secret scan with DataFrame functions only: fixed patterns, and character Markov models for strings that look random.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are trained from labelled
-samples by counting character pairs. A run of key-like characters is reported when its log-likelihood ratio is high.
+samples by counting character pairs. A run of key-like characters is reported when its log-likelihood ratio is high, and
+else those parts of it between joint characters whose own ratio is.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SIDE = len(ALPHABET) + 1
 LEAST_TOTAL, LEAST_EACH = 12.0, 0.75
 #: Characters that join parts of paths and identifiers as well as of keys: pairs with them say nothing.
 JOINTS = "+/_=-"
+#: Characters that a part of a run needs, as the whole run does, and nats that it may fall behind before it ends.
+LEAST_PART, DROP = 20, 6.0
 #: Bounds of the training samples, in documents: of strings labelled random and of ordinary identifiers.
 RANDOM_DOCS, ORDINARY_DOCS = 50_000, 2_000
 MASK = "<secret>"
@@ -119,18 +122,77 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), start, step, lambda acc: acc["sum"])
 
 
+def parts(run: Column, model: list[float]) -> Column:
+    """The parts of a run, between joint characters, that the models take for random: array of spans.
+
+    One pass over the pieces: neighbours are put together as long as that gains, and a piece that is random by itself is
+    never left out.
+    """
+    one = "struct<start:int,rank:int,end:int,kind:string,value:string>"
+    pieces = F.transform(F.split(run["value"], "[+/_=-]", -1), lambda p: F.struct(F.length(p).alias("n"), ratio(p, model).alias("r")))
+    start = F.expr(f"named_struct('at', 0, 'start', 0, 'end', -1, 'sum', 0D, 'total', 0D, 'peak', 0D, 'best', 0D, 'out', cast(array() AS array<{one}>))")
+
+    def ended(acc: Column) -> Column:
+        good = (acc["end"] - acc["start"] >= LEAST_PART) & (acc["best"] >= LEAST_TOTAL)
+        value = F.substring(run["value"], acc["start"] + 1, acc["end"] - acc["start"])
+        span = F.struct((run["start"] + acc["start"]).alias("start"), run["rank"].alias("rank"), (run["start"] + acc["end"]).alias("end"), run["kind"].alias("kind"), value.alias("value"))
+        return F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+
+    def extended(acc: Column, p: Column) -> Column:
+        new = acc["sum"] <= 0
+        gain = p["r"] - LEAST_EACH * p["n"]
+        total = F.when(new, p["r"]).otherwise(acc["total"] + p["r"])
+        return F.struct(
+            acc["at"].alias("at"), F.when(new, acc["at"]).otherwise(acc["start"]).alias("start"), F.when(new, -1).otherwise(acc["end"]).alias("end"),
+            F.when(new, gain).otherwise(acc["sum"] + gain - LEAST_EACH).alias("sum"), total.alias("total"), F.when(new, 0.0).otherwise(acc["peak"]).alias("peak"),
+            acc["best"].alias("best"), acc["out"].alias("out"),
+        )
+
+    def grown(acc: Column, p: Column) -> Column:
+        alone = (p["n"] >= LEAST_PART) & (p["r"] >= F.greatest(F.lit(LEAST_TOTAL), LEAST_EACH * p["n"]))
+        more = alone | (acc["sum"] > acc["peak"])
+        at = lambda name, other: F.when(more, other).otherwise(acc[name]).alias(name)
+        kept = [acc[k].alias(k) for k in ("at", "start", "sum", "total", "out")]
+        return F.struct(*kept, at("end", acc["at"] + p["n"]), at("peak", acc["sum"]), at("best", acc["total"]))
+
+    def step(acc: Column, p: Column) -> Column:
+        def closed(a: Column) -> Column:
+            over = (a["sum"] <= 0) | (a["peak"] - a["sum"] > DROP)
+            zero = lambda name, by: F.when(over, by).otherwise(a[name]).alias(name)
+            return F.struct(
+                (a["at"] + p["n"] + 1).alias("at"), a["start"].alias("start"), zero("end", F.lit(-1)), zero("sum", F.lit(0.0)), a["total"].alias("total"),
+                zero("peak", F.lit(0.0)), a["best"].alias("best"), F.when(over, ended(a)).otherwise(a["out"]).alias("out"),
+            )
+
+        once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+        return once(once(extended(acc, p), lambda a: grown(a, p)), closed)
+
+    return F.aggregate(pieces, start, step, ended)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, so that all else keeps its place."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin)).alias("out"))
+
+    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, step, end)).otherwise(text)
+
+
 def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
     """``docs`` with the arrays assign, access, hex and markov and all of them as ``spans``, by start and kind.
 
-    Narrow and row by row. A null or empty text has no spans. A run that overlaps a span of the fixed patterns is not
-    reported again. Columns of ``docs`` named as the new ones are replaced.
+    Narrow and row by row. A null or empty text has no spans. What spans of the fixed patterns hold is not reported
+    again; what they leave of a run is looked at as a run. Columns of ``docs`` named as the new ones are replaced.
     """
     marked = base_spans(docs, text_col)
-    base = F.concat("assign", "access", "hex")
-    runs = located(*found(F.coalesce(F.col(text_col), F.lit("")), RUN), "markov")
-    score = lambda s: ratio(s["value"], model)
-    high = F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (score(s) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_EACH * F.length(s["value"]))))
-    marked = marked.withColumn("markov", high)
+    rest = blanked(F.coalesce(F.col(text_col), F.lit("")), F.concat("assign", "access", "hex"))
+    runs = F.get(F.transform(F.array(rest), lambda t: located(*found(t, RUN), "markov")), F.lit(0))
+    whole = lambda s: ratio(s["value"], model) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_EACH * F.length(s["value"]))
+    marked = marked.withColumn("markov", F.flatten(F.transform(runs, lambda s: F.when(whole(s), F.array(s)).otherwise(parts(s, model)))))
     return marked.withColumn("spans", F.array_sort(F.concat("assign", "access", "hex", "markov")))
 
 
