@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from valuegate.llm.pretokens import Pretokens, pieces, supported
+from valuegate.llm.pretokens import Pretokens, pieces, supported, unknown
 from valuegate.llm.textvec import prefix_sums, span_hash
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew, so its size is bounded.
@@ -90,10 +90,11 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(index, ids) of every text in order, as the library encodes the whole text without special tokens added.
 
-        A null text is empty. Texts that hold an added token's own string go to the library as they are.
+        A null text is empty. Texts that hold an added token's own string, or a character that Python's tables do not
+        know, go to the library as they are.
         """
         texts = [t or "" for t in texts]
-        whole = [not self.fast or self.special.search(t) is not None for t in texts]
+        whole = [not self.fast or self.special.search(t) is not None or unknown(t) for t in texts]
         plain = [i for i, w in enumerate(whole) if not w]
         done = self._joined(plain, self._encode_plain([texts[i] for i in plain]))
         for i, text in enumerate(texts):

@@ -32,6 +32,17 @@ def _classes() -> np.ndarray:
     return out
 
 
+@functools.cache
+def _unassigned() -> np.ndarray:
+    """Code points that this Python's Unicode tables do not know, while the library's newer ones may call them letters."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def unknown(text: str) -> bool:
+    """Whether the text holds a character whose class only the library can tell."""
+    return not text.isascii() and bool(_unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+
+
 def supported(path: str) -> bool:
     """Whether the vocabulary file states the rule that this module reproduces."""
     with open(path, encoding="utf-8") as f:

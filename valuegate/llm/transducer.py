@@ -135,10 +135,9 @@ class Transducer:
     def changes(self, symbols: np.ndarray, chunk: int = 256) -> np.ndarray:
         """The change of the token count at each symbol of a stream that begins at the start state and ends with a last byte.
 
-        The stream is cut into chunks. A chunk's state map has a head, up to its first last-byte symbol, whose outcome
-        hangs on the state it is entered in, and a rest that is the same for every entry state. The rests run side by
-        side; then the prefix scan composes the maps: a chunk is entered in the state that its predecessor's composed map
-        ends in. A chunk with no last-byte symbol is all head and passes the scan on, one round for each such chunk.
+        The stream is cut into chunks that run side by side. A chunk with a last-byte symbol has a constant state map,
+        known from what follows that symbol; ``_ends`` composes the maps of all chunks, and each chunk's head, up to its
+        first last-byte symbol, then runs from the state that the chunks before it lead to.
         """
         if len(self.states) > self.max_states:
             self.reset()
@@ -152,8 +151,8 @@ class Transducer:
         ends = np.zeros(lanes * chunk, bool)
         ends[:n] = symbols >= LAST
         ends = ends.reshape(lanes, chunk)
-        settled = ends.any(axis=1)
-        head = np.where(settled, ends.argmax(axis=1) + 1, chunk)
+        constant = ends.any(axis=1)
+        head = np.where(constant, ends.argmax(axis=1) + 1, chunk)
         rest = np.where(np.arange(chunk)[:, None] < head, 0, columns)
         out = np.zeros((chunk, lanes), np.int8)
         final = np.zeros(lanes, np.int64)
@@ -161,26 +160,58 @@ class Transducer:
             packed = self.advance(final, rest[k])
             out[k] = (packed & 255) - 128
             final = (packed >> 8).astype(np.int64)
-        # The scan: heads whose predecessor's end state is settled run side by side.
-        entered = np.zeros(lanes, bool)
-        while True:
-            ready = ~entered
-            ready[1:] &= settled[:-1]
-            lane = np.flatnonzero(ready)
-            if not len(lane):
-                break
-            state = np.where(lane > 0, final[lane - 1], 0)
-            for k in range(int(head[lane].max())):
-                going = np.flatnonzero(head[lane] > k)
-                packed = self.advance(state[going], columns[k, lane[going]])
-                out[k, lane[going]] = (packed & 255) - 128
-                state[going] = packed >> 8
-            through = ~settled[lane]
-            final[lane[through]] = state[through]
-            settled[lane[through]] = True
-            entered[lane] = True
+        state = np.concatenate(([0], self._ends(columns, constant, final)[:-1]))
+        for k in range(int(head.max())):
+            going = np.flatnonzero(head > k)
+            packed = self.advance(state[going], columns[k, going])
+            out[k, going] = (packed & 255) - 128
+            state[going] = packed >> 8
         return out.T.reshape(-1)[:n]
 
+    def _run(self, columns: np.ndarray, lane: np.ndarray, state: np.ndarray) -> np.ndarray:
+        for row in columns:
+            state = (self.advance(state, row[lane]) >> 8).astype(np.int64)
+        return state
+
+    def _ends(self, columns: np.ndarray, constant: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """The state after each chunk, by a parallel prefix scan over the chunks' state maps.
+
+        A chunk inside one long pre-token has no constant map. Its map is made for the entry states that matter: the
+        start state, and the state that its predecessor ends in, or would end in if it began at the start state. The
+        composed maps double their span in each round. Should a map lack the state that turns up, the chunk runs again.
+        """
+        open_ = np.flatnonzero(~constant)
+        if not len(open_):
+            return final
+        keys, values = np.zeros((2, len(final), 2), np.int64)
+        values[open_, 0] = self._run(columns, open_, np.zeros(len(open_), np.int64))
+        before = np.where(constant, final, values[:, 0])
+        keys[open_, 1] = np.where(open_ > 0, before[open_ - 1], 0)
+        values[open_, 1] = self._run(columns, open_, keys[open_, 1])
+
+        def after(lane: np.ndarray, state: np.ndarray) -> np.ndarray:
+            return np.where(state < 0, -1, np.where(keys[lane, 0] == state, values[lane, 0], np.where(keys[lane, 1] == state, values[lane, 1], -1)))
+
+        known, end = constant.copy(), np.where(constant, final, -1)
+        if not known[0]:
+            known[0], end[0] = True, values[0, 0]
+        span = 1
+        while not known.all():
+            lane = np.flatnonzero(~known)
+            low = lane - span
+            fixed = known[low]
+            found = after(lane[fixed], end[low[fixed]])
+            up, down = lane[~fixed], low[~fixed]
+            made = np.stack([after(up, values[down, e]) for e in (0, 1)], axis=1)
+            keys[up], values[up] = keys[down], made
+            end[lane[fixed]], known[lane[fixed]] = found, True
+            span *= 2
+        while (end < 0).any():
+            lane = np.flatnonzero(end < 0)
+            lane = lane[end[lane - 1] >= 0]
+            end[lane] = self._run(columns, lane, end[lane - 1])
+        return end
+
     def counts(self, pre: Pretokens, n_texts: int) -> np.ndarray:
         """Tokens of each of the texts that ``pre`` was made of."""
         symbols, unit_ends = byte_symbols(pre)
