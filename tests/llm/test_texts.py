@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from valuegate.llm import crf, op3_decontamination, op6_toxicity, op7_substring_dedup, op8_warc_derivatives, op10_secret_scan
 from valuegate.llm.automaton import SuffixAutomaton
+from valuegate.llm.templates import UNITS
 from valuegate.llm.textvec import Words
 
 DOC = "doc_id long, text string, score string"
@@ -60,7 +61,7 @@ def test_exchanged_questions_are_found(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, question, "x"), (None, question, "x")], DOC)
     items = spark.createDataFrame([(7, question), (8, "too short"), (9, None), (7, question)], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]): r["exchanged"] for r in op3_decontamination.contaminated(docs, items).collect()}
-    assert found == {(0, 7): 0, (1, 7): 5} or found == {(0, 7): 0, (1, 7): 5, (6, 7): 0}
+    assert found == {(0, 7): 0, (1, 7): 5, (6, 7): 0, (None, 7): 0}
     assert op3_decontamination.contaminated(docs, items.limit(0)).count() == 0
     assert op3_decontamination.contaminated(docs.limit(0), items).count() == 0
 
@@ -85,13 +86,99 @@ def test_copies_in_another_case_and_short_items_are_found(spark):
     assert found == {(0, 7): 0, (1, 7): 0, (2, 7): 1, (3, 8): 0, (4, 8): 0, (5, 8): 0, (6, 9): 2, (7, 9): 0}
 
 
-def test_passages_of_the_benchmark(spark):
-    folder = "/root/testdata/sf0.01"
-    fold = lambda t: " ".join(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()))
-    docs = {r["doc_id"]: f" {fold(r['text'])} " for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    items = {r["item_id"]: f" {fold(r['text'])} " for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
-    got = {(r["doc_id"], r["item_id"]) for r in op3_decontamination.query(spark, folder).collect()}
-    assert {(d, i) for d, t in docs.items() for i, q in items.items() if q in t} <= got
+WORDS = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def template(text, cased):
+    """(token, value) pairs, by a loop over the words."""
+    text = (text or "").replace("İ", "I" if cased else "i")
+    low, out, end, before = text.lower(), [], 0, None
+    for m in WORDS.finditer(low):
+        opens = not out or re.search(r"[.!?:;\n\r]", text[end : m.start()])
+        if m[0][0] in "0123456789":
+            kind = "NUMBER"
+        elif cased and text[m.start()] != low[m.start()] and not opens:
+            kind = "NAME"
+        elif before == "NUMBER" and m[0] in UNITS:
+            kind = "UNIT"
+        else:
+            kind = None
+        if kind and before == kind:
+            out[-1] = (kind, (*out[-1][1], m[0]))
+        else:
+            out.append((kind, (m[0],)) if kind else (m[0], None))
+        end, before = m.end(), kind
+    return out
+
+
+def brute_contaminated(docs, items):
+    """(doc, item): matched, exchanged and place of the best match, over all places of all pairs."""
+    found = {}
+    for cased in (False, True):
+        made = {d: template(t, cased) for d, t in docs}
+        for item, text in items:
+            q = template(text, cased)
+            n = len(q)
+            size = n if n < 5 else min(13, -(-8 * n // 10))
+            if not n:
+                continue
+            at = {}
+            for j in range(n - size + 1):
+                at.setdefault(tuple(t for t, _ in q[j : j + size]), []).append(j)
+            for d, w in made.items():
+                hits = {}
+                for i in range(len(w) - size + 1):
+                    for j in at.get(tuple(t for t, _ in w[i : i + size]), ()) if n >= 5 or len(w) == n else ():
+                        hits.setdefault(i - j, []).append(i)
+                for offset, places in hits.items():
+                    slots = {(q[i - offset + k][1], w[i + k][1]) for i in places for k in range(size) if w[i + k][1]}
+                    exchanged = sum(a != b for a, b in slots)
+                    if not (len({a for a, _ in slots}) == len({b for _, b in slots}) == len(slots) or exchanged * 5 <= len(slots)):
+                        continue
+                    run = best = size
+                    for a, b in zip(places, places[1:]):
+                        run = run + b - a if b - a <= size else size
+                        best = max(best, run)
+                    key = (cased, best, -places[0])
+                    if (d, item) not in found or key > found[d, item][0]:
+                        found[d, item] = (key, exchanged)
+    return {k: (-place, matched, exchanged) for k, ((_, matched, place), exchanged) in found.items()}
+
+
+def test_contamination_as_by_brute_force(spark, sf_dir):
+    random.seed(12)
+    names, words = ["Oakdale", "Élodie", "Ödön", "Marlowe", "Riverside"], ["left", "the", "old", "station", "at", "km", "reached", "pm", "bridge", "went", "to", "and"]
+    made = lambda n: " ".join(random.choice([random.choice(names), str(random.randint(1, 60)), *random.choices(words, k=4)]) + random.choice(["", "", "", ",", "."]) for _ in range(n))
+    items = [(i, made(random.choice([1, 3, 4, 5, 6, 9, 12, 14, 17, 30, 45]))) for i in range(60)] + [(90, None), (91, "?!"), (92, "the km the km the km")]
+    docs = [(900, None), (901, ""), (902, "the km the km the km the km the km")]
+    for k in range(200):
+        _, text = random.choice(items[:60])
+        changed = random.choice([str.upper, str.lower, lambda t: t, lambda t: re.sub(r"\d+", lambda m: str(int(m[0]) + 3), t), lambda t: t.replace("Oakdale", "Springfield"), lambda t: re.sub(r"\d+", lambda m: str(random.randint(0, 99)), t)])(text)
+        docs.append((k, random.choice(["", made(6) + " ", "at 5 \u212a. "]) + changed + random.choice(["", " " + made(5)])))
+    docs += [(None, docs[10][1]), (None, docs[11][1]), (1, docs[4][1]), (2, docs[5][1])]
+    texts = [(str(k), t) for k, t in enumerate(t for _, t in docs)]
+    want = {}
+    for (k, item), row in brute_contaminated(texts, items).items():
+        d = docs[int(k)][0]
+        want.setdefault((d, item), []).append(row)
+    frame = spark.createDataFrame([(d, t, "x", "y") for d, t in docs], "doc_id long, text string, item_id string, matched string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]): (r["doc_token"], r["matched"], r["exchanged"]) for r in op3_decontamination.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(got[k] in want[k] for k in got)
+    read = lambda name, key: [(r[key], r["text"]) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()]
+    want = brute_contaminated(read("documents", "doc_id"), read("benchmark", "item_id"))
+    assert {(r["doc_id"], r["item_id"]): (r["doc_token"], r["matched"], r["exchanged"]) for r in op3_decontamination.query(spark, sf_dir).collect()} == want
+
+
+def test_neighbours_make_no_difference(spark):
+    question = "The committee asked Springfield why Marlowe had sold the old Shelbyville station to Harrington before the winter came."
+    texts = [question.replace("Marlowe", "Bennett"), "300 \u212a", "\u0130stanbul Élodie", question.upper(), "", None]
+    items = spark.createDataFrame([(7, question)], "item_id long, text string")
+    seen = set()
+    for order in (texts, texts[::-1], texts[2:] + texts[:2]):
+        docs = spark.createDataFrame([(texts.index(t), t, "x") for t in order], DOC).coalesce(1)
+        seen.add(frozenset((r["doc_id"], r["exchanged"], r["matched"]) for r in op3_decontamination.contaminated(docs, items).collect()))
+    assert len(seen) == 1 and {d for d, _, _ in next(iter(seen))} == {0, 3}
 
 
 def test_automaton_counts_occurrences():
