@@ -51,6 +51,7 @@ def test_vectors(spark, monkeypatch, block):
         v = base[i % 12] + rng.normal(size=16) * random.Random(i).choice([0, 0.05, 0.12, 0.6])
         rows.append((i, v.tolist(), i % 3 if i % 10 else None, "x"))
     rows += [(200, None, 1, "x"), (201, [0.0] * 16, 1, "x"), (202, [float("nan")] * 16, 1, "x"), (203, [1.0, None], 1, "x"), (204, [1e300] * 16, 1, "x"), (205, [1e-300] * 16, 1, "x"), (206, [], 1, "x"), (None, [1.0] * 16, 1, "x")]
+    rows += [(300 + i, base[0].tolist(), 0, "x") for i in range(9)] + [(320, (2 * base[0]).tolist(), 0, "x"), (321, base[0].tolist(), 2, "x"), (322, [1.0], 1, "x"), (323, [2.0], 1, "x")]
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in op1.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string")).collect()}
     assert len(got) == len(rows)
     good = [(i, np.array(v) / np.abs(v).max(), k) for i, v, k, _ in rows if i is not None and k is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
@@ -67,6 +68,32 @@ def test_vectors(spark, monkeypatch, block):
     assert op1.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (1, [0.0, 1.0], "a"), (3, [1.0, 0.0], "a"), (4, [0.0, 2.0], "a"), (4, [0.0, 2.0], "b"), (5, [0.0, 3.0], "b"), (None, [1.0, 0.0], "a")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(3)
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in op1.near_duplicates(frame).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (3, 1, 1, False), (4, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (0, 0, None, None)], key=lambda r: (r[0], r[1], r[2] or 0))
+
+
+def test_vectors_of_the_given_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    links, sets = Counter(), Sets()
+    by = {}
+    for r in rows:
+        x = np.array(r["embedding"] or [], float)
+        if r["label"] is not None and len(x) and np.isfinite(x).all() and x.any():
+            by.setdefault((r["label"], len(x)), []).append((r["vec_id"], x / np.sqrt(x @ x)))
+    for group in by.values():
+        x = np.array([v for _, v in group])
+        for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)), strict=True):
+            a, b = group[i][0], group[j][0]
+            links[a] += 1
+            links[b] += 1
+            sets.join(a, b)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in op1.query(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {r["vec_id"]: (links[r["vec_id"]], sets.find(r["vec_id"]), sets.find(r["vec_id"]) == r["vec_id"]) for r in rows}
+
+
 def shingles(text):
     words = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower())
     return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
