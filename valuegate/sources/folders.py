@@ -8,17 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path; a temporary folder is used only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a local session that names none, as in tests, gets a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="valuegate-")
         spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to a new folder and read again, for frames that many later steps use."""
+    """``df`` written as Parquet to a new folder and read back: cuts lineage and survives lost executors."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored table. Only for tables that nothing unwritten reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
