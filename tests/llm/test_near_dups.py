@@ -140,12 +140,44 @@ def test_documents(spark, monkeypatch, block):
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is None:
-            assert r["group_id"] is None and r["kept"]
+            assert r["group_id"] == sets.find(3) and not r["kept"]
         else:
             assert (r["group_id"], r["kept"]) == (sets.find(r["doc_id"]), sets.find(r["doc_id"]) == r["doc_id"])
     assert op9.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_documents_that_share_an_id_or_have_none(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, "one two three"), (1, long), (2, long + " more"), (2, "Something else"), (None, long), (None, "nobody's text"), (None, "Nobody's  text!"), (None, None), (3, None), (3, "ONE, two three")]
+    got = [(r["doc_id"], r["group_id"], r["kept"]) for r in op9.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True), (None, 1, False), (None, None, True), (None, None, False), (None, None, True), (3, 3, True), (3, 1, False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_no_near_pair_of_the_given_documents_is_lost(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    number, doc, name, count = {}, [], [], []
+    for k, r in enumerate(rows):
+        for s, n in shingles(r["text"]).items():
+            doc.append(k)
+            name.append(number.setdefault(s, len(number)))
+            count.append(n)
+    doc, name, count = map(np.array, (doc, name, count))
+    total, bounds = np.bincount(doc, weights=count, minlength=len(rows)), np.searchsorted(doc, np.arange(len(rows) + 1))
+    have, pairs, sets = np.zeros(len(number)), 0, Sets()
+    for k in range(len(rows)):
+        mine = slice(bounds[k], bounds[k + 1])
+        have[name[mine]] = count[mine]
+        common = np.bincount(doc, weights=np.minimum(have[name], count), minlength=len(rows))
+        have[name[mine]] = 0
+        for other in np.flatnonzero((common / np.maximum(total + total[k] - common, 1) >= 0.8) & (np.arange(len(rows)) < k)):
+            sets.join(rows[k]["doc_id"], rows[other]["doc_id"])
+            pairs += 1
+    assert pairs > 50
+    assert {r["doc_id"]: r["group_id"] for r in op9.query(spark, folder).collect()} == {r["doc_id"]: sets.find(r["doc_id"]) for r in rows}
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = table(spark, sf_dir, "documents")
@@ -164,4 +196,33 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         odd = stage(spark, odd, sf_dir).cache()
         assert odd.select("doc_id").distinct().count() == 3, name
-    assert F is not None
+
+
+def test_pipeline_over_odd_rows(spark, sf_dir, tmp_path):
+    """The whole run, with names that the operators use, ids that are shared or missing, and repeated rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, item = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    clash = {c: F.lit(f"own {c}") for c in ("key", "row", "found", "hex", "spans", "id", "group_id", "kept", "order", "score", "item_id")}
+    clean = "A quiet morning in the harbour, and the boats came back with nothing but ropes and old nets again."
+    other = "Nobody had told the gardener that the gate would be painted green before the first of the guests arrived."
+    rows = [(None, "see " + item), (None, clean), (10**6, other), (10**6, "It rained on the hills for nine days and every mill along the river ran again as it once had."), (10**6, other), (10**6 + 1, "the key is password=hunter2secret and no more of it stays in this line of text")]
+    added = spark.createDataFrame([(i, t, "en", "odd", len(t)) for i, t in rows], docs.schema)
+    docs.unionByName(added).withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        table(spark, sf_dir, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    folder = f"file://{tmp_path}"
+    packed = corpus_pipeline.run(spark, folder)
+    assert packed.filter("doc_id is null").select("start").distinct().count() == 1
+    assert packed.filter("doc_id = 1000000 and start = 0").count() == 2
+    stage = table(spark, folder, "documents")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        stage = step(spark, stage, folder).cache()
+        assert stage.columns == table(spark, folder, "documents").columns, name
+    kept = stage.filter("source = 'odd'").collect()
+    assert sorted(r["text"][:12] for r in kept) == sorted([clean[:12], other[:12], "It rained on", "the key is <"])
+    assert all(r[c] == f"own {c}" for r in kept for c in clash)
+    masked = next(r for r in kept if r["doc_id"] == 10**6 + 1)
+    assert "hunter2secret" not in masked["text"] and masked["n_chars"] == len(masked["text"])
+    empty = table(spark, folder, "documents").limit(0)
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, empty, folder).count() == 0, name

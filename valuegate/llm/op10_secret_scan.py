@@ -8,7 +8,7 @@ else those parts of it between joint characters whose own ratio is.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +36,19 @@ LEAST_PART, DROP = 20, 6.0
 #: Bounds of the training samples, in documents: of strings labelled random and of ordinary identifiers.
 RANDOM_DOCS, ORDINARY_DOCS = 50_000, 2_000
 MASK = "<secret>"
+#: Matches of a text that are handled at a time.
+GROUP = 256
+SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
 
-def found(text: Column, pattern: str) -> tuple[Column, Column]:
-    """The leftmost non-overlapping matches, and the pieces of text before, between and after them."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def located(text: Column, pattern: str, kind: str) -> Column:
+    """The leftmost non-overlapping matches: array of (start, rank, end, kind, value), in code points, the end exclusive.
 
-
-def located(matches: Column, pieces: Column, kind: str) -> Column:
-    """The spans of the matches: array of (start, rank, end, kind, value), in code points, the end exclusive."""
-    one = "struct<start:int,rank:int,end:int,kind:string,value:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("out"))
+    The text is cut at its matches. They are placed in groups of ``GROUP`` and the groups then put together, so that no long
+    array grows match by match.
+    """
+    none = F.array().cast(f"array<{SPAN}>")
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["p"])
@@ -54,34 +56,51 @@ def located(matches: Column, pieces: Column, kind: str) -> Column:
         span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["m"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{one}>"))
+    def placed(cut: Column) -> Column:
+        def group(acc: Column, g: Column) -> Column:
+            part = F.aggregate(F.slice(cut, g * GROUP + 1, F.lit(GROUP)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return _once(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
 
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        return F.when(F.size(cut) > 0, F.aggregate(_numbers(cut), start, group, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+    return _once(F.filter(pairs, lambda p: p["m"].isNotNull()), placed)
+
+
+def _numbers(items: Column) -> Column:
+    """The numbers of the groups of an array that is not empty."""
+    return F.sequence(F.lit(0), F.floor((F.size(items) - 1) / GROUP).cast("int"))
 
-def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with assign, access and hex: arrays of the spans of the fixed patterns."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = {kind: located(*found(text, pattern), kind) for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))}
-    spans["assign"] = F.filter(spans["assign"], lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= MIN_VALUE)
-    return docs.withColumns(spans)
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-def _share(docs: DataFrame, bound: int, id_col: str, total: int) -> DataFrame:
-    """About ``bound`` rows, or all if there are fewer, chosen by a hash of the id."""
-    if total <= bound:
-        return docs
-    return docs.filter(F.coalesce(F.abs(F.xxhash64(id_col) % 1_000_003), F.lit(0)) < math.ceil(1_000_003 * bound / total))
+
+def base_spans(text: Column) -> dict[str, Column]:
+    """The spans of the fixed patterns by kind: assign, access and hex."""
+    spans = {kind: located(text, pattern, kind) for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))}
+    spans["assign"] = F.filter(spans["assign"], lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= MIN_VALUE)
+    return spans
 
 
 def corpus_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", random_docs: int = RANDOM_DOCS, ordinary_docs: int = ORDINARY_DOCS) -> DataFrame:
-    """Labelled samples (value, random 0/1): strings that the fixed patterns mark are random, runs of letters are ordinary."""
+    """Labelled samples (value, random 0/1): strings that the fixed patterns mark are random, runs of letters are ordinary.
+
+    About ``random_docs`` and ``ordinary_docs`` documents are looked at, or all if there are fewer, chosen by a hash of id and
+    text. One pass.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.count()
-    marked = base_spans(_share(rows, random_docs, "id", total))
-    values = F.concat(F.transform("assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 2)), F.transform(F.concat("access", "hex"), lambda s: s["value"]))
-    random = marked.select(F.explode(values).alias("value")).withColumn("random", F.lit(1))
-    plain = _share(rows, ordinary_docs, "id", total).select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("value"))
-    return random.unionByName(plain.withColumn("random", F.lit(0)))
+    share = F.abs(F.xxhash64("id", "text") % 1_000_003)
+    within = lambda bound: share < math.ceil(1_000_003 * min(1.0, bound / max(total, 1)))
+    rows = rows.filter(within(max(random_docs, ordinary_docs))).withColumns({"marks": within(random_docs), "words": within(ordinary_docs)})
+    spans = base_spans(F.col("text"))
+    values = F.concat(F.transform(spans["assign"], lambda s: F.regexp_extract(s["value"], ASSIGN, 2)), F.transform(F.concat(spans["access"], spans["hex"]), lambda s: s["value"]))
+    labelled = lambda values, random: F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(random).alias("random")))
+    none = F.array().cast("array<struct<value:string,random:int>>")
+    both = F.concat(F.when(F.col("marks"), labelled(values, 1)).otherwise(none), F.when(F.col("words"), labelled(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 0)).otherwise(none))
+    return rows.select(F.explode(both).alias("s")).select("s.*")
 
 
 def _place(char: Column) -> Column:
@@ -128,9 +147,8 @@ def parts(run: Column, model: list[float]) -> Column:
     One pass over the pieces: neighbours are put together as long as that gains, and a piece that is random by itself is
     never left out.
     """
-    one = "struct<start:int,rank:int,end:int,kind:string,value:string>"
     pieces = F.transform(F.split(run["value"], "[+/_=-]", -1), lambda p: F.struct(F.length(p).alias("n"), ratio(p, model).alias("r")))
-    start = F.expr(f"named_struct('at', 0, 'start', 0, 'end', -1, 'sum', 0D, 'total', 0D, 'peak', 0D, 'best', 0D, 'out', cast(array() AS array<{one}>))")
+    start = F.expr(f"named_struct('at', 0, 'start', 0, 'end', -1, 'sum', 0D, 'total', 0D, 'peak', 0D, 'best', 0D, 'out', cast(array() AS array<{SPAN}>))")
 
     def ended(acc: Column) -> Column:
         good = (acc["end"] - acc["start"] >= LEAST_PART) & (acc["best"] >= LEAST_TOTAL)
@@ -164,48 +182,72 @@ def parts(run: Column, model: list[float]) -> Column:
                 zero("peak", F.lit(0.0)), a["best"].alias("best"), F.when(over, ended(a)).otherwise(a["out"]).alias("out"),
             )
 
-        once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-        return once(once(extended(acc, p), lambda a: grown(a, p)), closed)
+        return _once(_once(extended(acc, p), lambda a: grown(a, p)), closed)
 
     return F.aggregate(pieces, start, step, ended)
 
 
-def blanked(text: Column, spans: Column) -> Column:
-    """``text`` with spaces in place of the spans, so that all else keeps its place."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def rewritten(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with ``by(fresh, length)`` in place of each span; ``fresh`` is false for what goes on with a span before it.
+
+    A text is worked on in stretches of ``GROUP`` spans, so that neither it nor the result is copied for every span.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        begin, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin)).alias("out"))
+    def made(ordered: Column) -> Column:
+        def group(acc: Column, g: Column) -> Column:
+            part = F.slice(ordered, g * GROUP + 1, F.lit(GROUP))
+            last = F.array_max(F.transform(part, lambda s: s["end"]))
+            base = acc["at"]
 
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, step, end)).otherwise(text)
+            def within(stretch: Column) -> Column:
+                def step(a: Column, s: Column) -> Column:
+                    begin, end = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["end"])
+                    kept = F.substring(stretch, a["at"] - base + 1, begin - a["at"])
+                    return F.struct(end.alias("at"), F.concat(a["out"], kept, by(s["start"] >= a["at"], end - begin)).alias("out"))
 
+                return F.aggregate(part, F.struct(base.alias("at"), F.lit("").alias("out")), step)
 
-def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
-    """``docs`` with the arrays assign, access, hex and markov and all of them as ``spans``, by start and kind.
+            done = _once(F.substring(text, base + 1, F.greatest(last - base, F.lit(0))), within)
+            return _once(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["parts"], F.array(d["out"])).alias("parts")))
 
-    Narrow and row by row. A null or empty text has no spans. What spans of the fixed patterns hold is not reported
-    again; what they leave of a run is looked at as a run. Columns of ``docs`` named as the new ones are replaced.
-    """
-    marked = base_spans(docs, text_col)
-    rest = blanked(F.coalesce(F.col(text_col), F.lit("")), F.concat("assign", "access", "hex"))
-    runs = F.get(F.transform(F.array(rest), lambda t: located(*found(t, RUN), "markov")), F.lit(0))
-    whole = lambda s: ratio(s["value"], model) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_EACH * F.length(s["value"]))
-    marked = marked.withColumn("markov", F.flatten(F.transform(runs, lambda s: F.when(whole(s), F.array(s)).otherwise(parts(s, model)))))
-    return marked.withColumn("spans", F.array_sort(F.concat("assign", "access", "hex", "markov")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+        end = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+        return F.when(F.size(ordered) > 0, F.aggregate(_numbers(ordered), start, group, end)).otherwise(text)
+
+    return _once(F.array_sort(spans), made)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, so that all else keeps its place."""
+    return rewritten(text, spans, lambda fresh, length: F.repeat(F.lit(" "), length))
 
 
 def redact(text: Column, spans: Column, mask: str = MASK) -> Column:
     """``text`` with every span, or union of overlapping spans, replaced by ``mask``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return rewritten(text, spans, lambda fresh, length: F.when(fresh, mask).otherwise(""))
+
+
+def scan(docs: DataFrame, model: list[float], text_col: str = "text", into: str = "found") -> DataFrame:
+    """``docs`` with the column ``into``: a struct of the arrays assign, access, hex and markov and all of them as spans, by start and kind.
+
+    Narrow and row by row. A null or empty text has no spans; an empty table stays empty; a column of ``docs`` that is
+    named ``into`` is an error. What spans of the fixed patterns hold is not reported again; what they leave of a run is
+    looked at as a run.
+    """
+    if into in docs.columns:
+        raise ValueError(f"the table has a column {into}")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = lambda s: ratio(s["value"], model) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_EACH * F.length(s["value"]))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
+    def complete(base: Column) -> Column:
+        rest = blanked(text, F.concat(base["assign"], base["access"], base["hex"]))
+        runs = _once(rest, lambda t: located(t, RUN, "markov"))
+        markov = F.flatten(F.transform(runs, lambda s: F.when(whole(s), F.array(s)).otherwise(parts(s, model))))
+        every = lambda m: F.array_sort(F.concat(base["assign"], base["access"], base["hex"], m))
+        return _once(markov, lambda m: F.struct(base["assign"].alias("assign"), base["access"].alias("access"), base["hex"].alias("hex"), m.alias("markov"), every(m).alias("spans")))
 
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
+    base = F.struct(*(c.alias(kind) for kind, c in base_spans(text).items()))
+    return docs.withColumn(into, _once(base, complete))
 
 
 def named(spans: Column) -> Column:
@@ -214,7 +256,7 @@ def named(spans: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scanned = scan(docs, train(corpus_samples(docs)))
+    scanned = scan(docs, train(corpus_samples(docs))).select("doc_id", "found.*")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
-    sizes = reduce(lambda df, k: df.withColumn(f"n_{k}", F.size(k).cast("long")), KINDS, scanned)
-    return sizes.select("doc_id", "n_assign", "n_access", "n_hex", "n_markov", F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    sizes = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return scanned.select("doc_id", *sizes, F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))

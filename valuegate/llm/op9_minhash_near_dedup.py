@@ -7,9 +7,9 @@ shingle's weight in the document. A component keeps its earliest point, so two d
 probability of exactly their weighted Jaccard similarity. Points come in order of time and a process stops once it is
 later than all components of its document.
 
-Documents that agree in a band are candidates. Texts with equal words are one class from the start. Each bucket's members are
-first verified against its least one; buckets that then still hold several components are compared block against block.
-At similarity 0.8 a pair shares none of 25 bands of 4 with probability 2e-6.
+Documents that agree in a band are candidates. Texts with equal words are one class from the start, told apart by over 100
+bits of hashes. Each bucket's members are first verified against its least one; buckets that then still hold several
+components are compared block against block. At similarity 0.8 a pair shares none of 25 bands of 4 with probability 2e-6.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuegate.llm.blocks import dealt, runs
@@ -84,9 +85,9 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
-        texts, ids = frame["text"].tolist(), frame["doc_id"].to_numpy()
+        texts = frame.column("text").to_pylist()
         for a, b in batches(texts):
             text, hashes, weights, words = multisets(texts[a:b])
             keys = band_keys(signatures(text, hashes, weights, b - a))
@@ -95,32 +96,41 @@ def _sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             identity = np.zeros(b - a, np.uint64)
             identity[sizes > 0] = whole
             folded = np.bincount(text, weights=(hashes >> np.uint64(32)).astype(np.float64), minlength=b - a).astype(np.int64)
-            out = {"doc_id": ids[a:b], "word_key": identity.view(np.int64), "word_key2": folded, "n_words": sizes.astype(np.int64), "bands": list(keys)}
-            yield pd.DataFrame(out)
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets given as ascending hashes and counts."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = int(np.minimum(a[1][i], b[1][j]).sum())
-    union = int(a[1].sum() + b[1].sum()) - common
-    return common / union if union else 0.0
-
-
-def _multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
-    _, hashes, counts, _ = multisets([text])
-    return hashes, counts
+            bands = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * BANDS, pa.array(keys.reshape(-1)))
+            own = [frame.column(c).slice(a, b - a) for c in ("id", "key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(identity.view(np.int64)), pa.array(folded), pa.array(sizes.astype(np.int64)), bands], ["id", "key", "word_key", "word_key2", "n_words", "bands"])
+
+
+def similarities(texts: list[str], others: list[str], which: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of text i with ``others[which[i]]``; 0 where the sizes alone keep it under the threshold."""
+    doc, hashes, counts, _ = multisets(texts)
+    odoc, ohashes, ocounts, _ = multisets(others)
+    own = np.bincount(doc, weights=counts, minlength=len(texts))
+    its = np.bincount(odoc, weights=ocounts, minlength=len(others))[which]
+    near = np.minimum(own, its) >= (THRESHOLD - 1e-9) * np.maximum(own, its)
+    near &= own > 0
+    # The other side's elements, once for each text that they are compared with.
+    bounds = np.searchsorted(odoc, np.arange(len(others) + 1))
+    size = np.where(near, np.diff(bounds)[which], 0)
+    pair = np.repeat(np.arange(len(texts)), size)
+    take = np.repeat(bounds[:-1][which] - (np.cumsum(size) - size), size) + np.arange(len(pair))
+    mine = near[doc]
+    pair, keys, n = np.concatenate((doc[mine], pair)), np.concatenate((hashes[mine], ohashes[take])), np.concatenate((counts[mine], ocounts[take]))
+    order = np.lexsort((keys, pair))
+    pair, keys, n = pair[order], keys[order], n[order]
+    both = np.flatnonzero((pair[1:] == pair[:-1]) & (keys[1:] == keys[:-1]))
+    common = np.bincount(pair[both], weights=np.minimum(n[both], n[both + 1]), minlength=len(texts))
+    return common / np.maximum(own + its - common, 1)
 
 
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keeps the pairs whose similarity reaches the threshold; rows of one leader mostly come together."""
-    leader, own = None, None
+    """Keeps the pairs whose similarity reaches the threshold."""
     for frame in frames:
+        texts = frame["text_a"].tolist()
         hit = np.zeros(len(frame), bool)
-        for i, row in enumerate(frame.itertuples(index=False)):
-            if row.b != leader:
-                leader, own = row.b, _multiset(row.text_b)
-            hit[i] = similarity(_multiset(row.text_a), own) >= THRESHOLD
+        for a, b in batches(texts):
+            _, first, which = np.unique(frame["b"].to_numpy()[a:b], return_index=True, return_inverse=True)
+            hit[a:b] = similarities(texts[a:b], frame["text_b"].iloc[a + first].tolist(), which) >= THRESHOLD
         yield frame.loc[hit, ["a", "b"]]
 
 
@@ -134,7 +144,7 @@ def _join_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             comp = part["component"].to_numpy(np.int64).copy()
             if hi - lo < 2 or (comp == comp[0]).all():
                 continue
-            ids, own = part["doc_id"].to_numpy(np.int64), part["own"].to_numpy()
+            ids, own = part["node"].to_numpy(np.int64), part["own"].to_numpy()
             same = part["low"].iloc[0] == part["high"].iloc[0]
             doc, hashes, counts, _ = multisets(part["text"].tolist())
             total = np.bincount(doc, weights=counts, minlength=len(ids))
@@ -151,7 +161,7 @@ def _join_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 have[number[mine]] = counts[mine]
                 common = np.bincount(doc, weights=np.minimum(have[number], counts), minlength=len(ids))
                 have[number[mine]] = 0
-                near = other & (common >= THRESHOLD * (total + total[q] - common)) & (common > 0)
+                near = other & (common / np.maximum(total + total[q] - common, 1) >= THRESHOLD)
                 for x in np.flatnonzero(near):
                     if comp[x] != comp[q]:
                         found.append((ids[q], ids[x]))
@@ -159,52 +169,68 @@ def _join_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id, kept) for every row of ``docs``: the group is the component of links at similarity 0.8 or more,
-    named by its least id, and the document of that id is kept.
+def row_key(id_: Column, text: Column) -> Column:
+    """What rows that agree in id and text share: 128 bits."""
+    return F.unhex(F.md5(F.concat_ws("\x01", id_.isNull().cast("string"), id_.cast("string"), F.coalesce(text, F.lit("")))))
 
-    Words are folded: lower case, ASCII signs divide them. Texts of 1 to 4 words are one shingle; texts without words
-    (null, empty, signs only) link with nothing. Rows that repeat an id are one node and belong to the groups of all their
-    texts. A null id gives a row with a null group that is kept. Other columns are not read.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = rows.filter("doc_id is not null").mapInPandas(_sign, "doc_id long, word_key long, word_key2 long, n_words long, bands array<long>")
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, group_id, kept) for every row of ``docs``, as ``near_duplicates``; ``key`` is the row's ``row_key``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    signed = rows.mapInArrow(_sign, "id long, key binary, word_key long, word_key2 long, n_words long, bands array<long>")
     signed = written(signed, "signatures")
-    # One row a class of equal texts; the others hang on its least document.
-    worded = signed.filter("n_words > 0")
-    classes = worded.groupBy("word_key", "word_key2", "n_words").agg(F.min("doc_id").alias("rep"))
-    copies = worded.select("doc_id", "word_key", "word_key2", "n_words").join(classes, ["word_key", "word_key2", "n_words"]).filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    copies = written(copies, "copies")
-    single = worded.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    members = single.select("doc_id", "n_words", F.posexplode("bands").alias("band", "key")).select("doc_id", "n_words", F.xxhash64("band", "key").alias("bucket"))
+    # One node a class of equal texts; the row of the least id stands for it.
+    same = ["word_key", "word_key2", "n_words"]
+    top = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("top")
+    classes = signed.filter("n_words > 0").groupBy(*same).agg(top, F.any_value("bands").alias("bands"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "text-classes")
+    members = classes.select("node", "n_words", F.posexplode("bands").alias("band", "key")).select("node", "n_words", F.xxhash64("band", "key").alias("bucket"))
     buckets = members.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.sum("n_words").alias("words"), F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark")
+        F.count("*").alias("n"), F.sum("n_words").alias("words"), F.min("node").alias("leader"), F.max("node").alias("last"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")
     )
     # Buckets of the same members, from several bands, are one.
     buckets = buckets.filter("n > 1").groupBy("n", "words", "leader", "last", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "words", "leader")
     members = written(members.join(buckets, "bucket"), "members")
-    pairs = members.filter("doc_id != leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    # The ids grow with the corpus and are never broadcast, so the texts are joined alike at every size.
-    wanted = members.select("doc_id").distinct().hint("merge")
-    texts = written(rows.join(wanted, "doc_id", "left_semi"), "candidate-texts")
-    of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+    pairs = members.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    # The nodes grow with the corpus and are never broadcast, so the texts are joined alike at every size.
+    wanted = members.select("node").distinct().join(classes.select("node", F.col("top.key").alias("key")), "node").hint("merge")
+    texts = written(rows.select("key", "text").join(wanted, "key").groupBy("node").agg(F.any_value("text").alias("text")), "candidate-texts")
+    of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
     links = written(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(_verify, "a long, b long"), "leader-links")
-    # What the leaders did not settle: buckets of three or more documents in several components.
+    # What the leaders did not settle: buckets of three or more texts in several components.
     found = components(links)
-    placed = members.filter("n > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = members.filter("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.first("n").alias("n"), F.first("words").alias("words")).filter("first != last")
     open_ = open_.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("words") / BLOCK_WORDS)).alias("blocks"))
-    units = dealt(placed.select("doc_id", "bucket", "component"), open_, "bucket", "doc_id", "blocks").join(texts, "doc_id")
+    units = dealt(placed.select("node", "bucket", "component"), open_, "bucket", "node", "blocks").join(texts, "node")
     more = (
         units.repartition("bucket", "low", "high")
-        .sortWithinPartitions("bucket", "low", "high", "doc_id")
-        .select("bucket", "low", "high", "own", "doc_id", "component", "text")
+        .sortWithinPartitions("bucket", "low", "high", "node")
+        .select("bucket", "low", "high", "own", "node", "component", "text")
         .mapInPandas(_join_up, "a long, b long")
     )
-    every = components(links.unionAll(written(more, "block-links")).unionAll(copies))
-    joined = rows.select("doc_id").join(every.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    group = F.coalesce("component", "doc_id")
-    return joined.select(F.col("doc_id").alias(id_col), group.alias("group_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+    every = components(links.unionAll(written(more, "block-links")))
+    tops = every.join(classes.select("node", "top"), "node").groupBy("component").agg(F.min("top").alias("first"))
+    named = every.join(tops, "component").select("node", "first")
+    known = classes.select(*same, "node", "top").join(named, "node", "left").select(*same, F.coalesce("first", "top").alias("first"))
+    # Texts without words are of no class and stand for themselves.
+    joined = signed.select("id", "key", *same).join(written(known, "text-groups"), same, "left")
+    alone = F.col("first").isNull()
+    kept = alone | ((F.col("key") == F.col("first.key")) & F.col("id").eqNullSafe(F.col("first.id")))
+    return joined.select("id", "key", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("group_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, group_id, kept) for every row of ``docs``: the group is the component of links at similarity 0.8 or more,
+    named by its least id, and the document of that id is kept.
+
+    Words are folded: lower case, ASCII signs divide them. Texts of 1 to 4 words are one shingle; texts without words
+    (null, empty, signs only) link with nothing and are kept. Rows that share an id are documents of their own if their
+    texts differ; of those with the group's least id the first by a digest is kept. Rows that repeat id and text are alike in
+    all. A row with a null id belongs to the group of its text and stands for it only if no other row has an id; the
+    group's id is then null. An empty table gives an empty one. Other columns are not read.
+    """
+    return groups(docs, id_col, text_col).select(F.col("id").alias(id_col), "group_id", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,30 +25,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the least id; of rows that share an id one stays; rows without an id stay."""
-    kept = op9_minhash_near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    # The kept ids grow with the corpus: never broadcast.
-    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    """One document of each group stays, the one of the least id; of rows that agree in id and text one stays, the first by a hash of the row."""
+    kept = op9_minhash_near_dedup.groups(docs).filter("kept").select("key").distinct()
+    # Beside its key a row is one column, so no name of it can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), op9_minhash_near_dedup.row_key(F.col("doc_id").cast("long"), F.col("text")).alias("key"), F.xxhash64(*docs.columns).alias("order"))
+    one = rows.groupBy("key").agg(F.min_by("row", "order").alias("row"))
+    # The kept keys grow with the corpus: never broadcast.
+    return one.join(kept.hint("merge"), "key", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or one with exchanged values, go."""
-    found = op3_decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item, or one with exchanged values, go, whatever their id."""
+    found = op3_decontamination.matches(docs, table(spark, sf_dir, "benchmark")).select("key").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), op3_decontamination.text_key(F.col("text")).alias("key"))
+    return rows.join(found, "key", "left_anti").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret in a text is replaced by a mask; no document goes. ``n_chars`` follows the text."""
-    names = docs.columns
     model = op10_secret_scan.train(op10_secret_scan.corpus_samples(docs))
-    scanned = op10_secret_scan.scan(docs, model)
-    text = op10_secret_scan.redact(F.col("text"), F.col("spans"))
-    changed = scanned.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
-    if "n_chars" in names:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        changed = changed.withColumn("n_chars", F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars")))
-    return changed.select(names)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    scanned = op10_secret_scan.scan(rows, model).select("row", "text", "found.spans")
+    text = F.when(F.size("spans") > 0, op10_secret_scan.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    changed = scanned.select("row", "spans", text.alias("text"))
+    length = lambda kind: F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    made = {"text": F.col("text")} | ({"n_chars": length(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return changed.select(*(made.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
