@@ -27,18 +27,54 @@ def test_words_are_those_of_the_rule():
     assert w.bounds[1:].tolist() == [len(w.starts)] * 3
 
 
-def test_marginals_by_enumeration():
+@pytest.mark.parametrize("size", [1, 2, 3, 64])
+def test_marginals_by_enumeration(size):
     rng = np.random.default_rng(1)
-    emission, transition, initial = rng.normal(size=(5, 1)), rng.normal(size=(2, 2)), 0.3
-    weight = Counter()
-    for path in range(32):
-        s = [path >> k & 1 for k in range(5)]
-        weight[tuple(s)] = np.exp(initial * s[0] + sum(emission[k, 0] * s[k] for k in range(5)) + sum(transition[s[k], s[k + 1]] for k in range(4)))
-    total = sum(weight.values())
-    want = [sum(v for s, v in weight.items() if s[k]) / total for k in range(5)]
-    got, expected = crf.marginals(emission, np.ones((5, 1), bool), initial, transition)
-    assert np.allclose(got[:, 0], want)
-    assert np.isclose(expected.sum(), 4)
+    lengths = [5, 0, 9, 1, 2]
+    bounds = np.cumsum([0, *lengths])
+    emission, transition, initial = 3 * rng.normal(size=bounds[-1]), rng.normal(size=(2, 2)), 0.3
+    want, pairs = np.zeros(bounds[-1]), np.zeros((2, 2))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        n, total, one, two = b - a, 0.0, np.zeros(b - a), np.zeros((2, 2))
+        for path in range(1 << n if n else 0):
+            s = [path >> k & 1 for k in range(n)]
+            weight = np.exp(initial * s[0] + sum(emission[a + k] * s[k] for k in range(n)) + sum(transition[s[k], s[k + 1]] for k in range(n - 1)))
+            total += weight
+            one += weight * np.array(s)
+            for x, y in zip(s, s[1:], strict=False):
+                two[x, y] += weight
+        if n:
+            want[a:b], pairs = one / total, pairs + two / total
+    lie = crf.Segments(bounds, size)
+    got, expected = crf.marginals(emission, lie, initial, transition, counts=True)
+    flat = np.zeros(bounds[-1])
+    flat[lie.at[lie.inside]] = got[lie.inside]
+    assert np.allclose(flat, want) and np.allclose(expected, pairs)
+
+
+def test_training_finds_the_optimum():
+    """At the fitted weights a small change in any direction makes the likelihood, by enumeration, no greater."""
+    rng = np.random.default_rng(5)
+    bounds = np.cumsum([0, *rng.integers(1, 7, 30)])
+    features = rng.integers(-1, 4, (bounds[-1], 2))
+    labels = ((features == 1).any(axis=1) ^ (rng.random(bounds[-1]) < 0.2)).astype(np.int64)
+    weights, initial, transition = crf.fit(features, labels, bounds, 4, rounds=2000, rate=0.02)
+
+    def likelihood(x):
+        total = 0.0
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            scores = [sum(x[f] for f in features[i] if f >= 0) + x[4] for i in range(a, b)]
+            value = lambda s: x[5] * s[0] + sum(c * k for c, k in zip(scores, s, strict=True)) + sum(x[6 + 2 * p + q] for p, q in zip(s, s[1:], strict=False))  # noqa: B023, E731
+            total += value(labels[a:b].tolist()) - np.log(sum(np.exp(value([p >> k & 1 for k in range(b - a)])) for p in range(1 << (b - a))))
+        return total / bounds[-1] * 1000 - 5e-4 * (x @ x)
+
+    x = np.array([*weights, initial, *transition.reshape(-1)])
+    best = likelihood(x)
+    for k in range(len(x)):
+        for step in (-0.05, 0.05):
+            moved = x.copy()
+            moved[k] += step
+            assert likelihood(moved) < best + 1e-3
 
 
 def test_toxicity_learns_and_is_held_out(spark, sf_dir):
@@ -53,6 +89,18 @@ def test_toxicity_learns_and_is_held_out(spark, sf_dir):
     assert [(s["start"], s["end"]) for s in rows[4]["spans"]] == [(3, 8)]
     flat = op6_toxicity.train(docs.limit(0), labels)
     assert 0 < op6_toxicity.score(odd, flat).first()["score"] < 1
+    assert op6_toxicity.score(odd.limit(0), flat).count() == 0
+    assert {r["doc_id"]: r["h"] for r in odd.select("doc_id", op6_toxicity.held_out("doc_id").alias("h")).collect()}[None] is True
+
+
+def test_training_is_bounded_and_neighbours_count(spark):
+    rows = [(i, ("you are a zorp today " if i % 2 else "the zorp bird flew over ") + f"filler{i % 7} words follow here") for i in range(400)] + [(500, "zorp " * 200_000)]
+    docs = spark.createDataFrame([*rows, *rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = op6_toxicity.train(docs, labels, 150, 9000)
+    texts = spark.createDataFrame([(1, "you are a zorp today ok"), (2, "the zorp bird flew over there")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in op6_toxicity.score(texts, model).collect()}
+    assert got[2] < 0.5 < got[1]
 
 
 def test_exchanged_questions_are_found(spark):

@@ -1,7 +1,9 @@
-"""A linear-chain conditional random field with two states (plain 0, marked 1) in numpy, many sequences side by side.
+"""A linear-chain conditional random field with two states (plain 0, marked 1) in numpy.
 
-State 1 has an emission score, the sum of its features' weights; state 0 scores nothing. Texts are tagged in sequences of
-at most ``SEGMENT`` words, so a step handles all sequences' words of one position.
+State 1 has an emission score, the sum of its features' weights; state 0 scores nothing. The chain runs through a whole
+text. To work on many words at a time it is cut into segments: each segment's two-by-two transfer matrix is made side by
+side with all others, the matrices are multiplied along the text, and forward-backward then runs inside all segments with
+the messages that come in from both sides, so the cuts change nothing.
 """
 
 from __future__ import annotations
@@ -11,53 +13,94 @@ import numpy as np
 SEGMENT = 64
 
 
-def segments(bounds: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the sequences that the texts' words are cut into."""
-    counts = np.diff(bounds)
-    parts = -(-counts // size)
-    text = np.repeat(np.arange(len(counts)), parts)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = bounds[:-1][text] + number * size
-    return start, np.minimum(size, bounds[1:][text] - start)
+class Segments:
+    """Where the words of a batch of texts lie: segment by segment, a step handling all segments' words of one position."""
 
+    def __init__(self, bounds: np.ndarray, size: int = SEGMENT) -> None:
+        counts = np.diff(bounds)
+        parts = -(-counts // size)
+        text = np.repeat(np.arange(len(counts)), parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = bounds[:-1][text] + number * size
+        length = np.minimum(size, bounds[1:][text] - start)
+        steps = np.arange(int(length.max(initial=0)))[:, None]
+        self.inside = steps < length
+        self.at = np.where(self.inside, start + steps, 0)
+        self.first = number == 0
+        #: Segments by their number within the text: those of one number are multiplied side by side.
+        self.rounds = [np.flatnonzero(number == k) for k in range(int(number.max(initial=-1)) + 1)]
 
-def laid_out(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of the sequences as a (position, sequence) table, 0 beyond a sequence's end; and where words are."""
-    steps = np.arange(int(length.max(initial=0)))[:, None]
-    inside = steps < length
-    return np.where(inside, values[np.where(inside, start + steps, 0)], 0), inside
 
+def _times(pairs: np.ndarray, matrix: np.ndarray, psi: np.ndarray) -> np.ndarray:
+    """Row vectors (2, n) through one word: the transition, then the emission of state 1."""
+    return np.stack([pairs[0] * matrix[0, 0] + pairs[1] * matrix[1, 0], (pairs[0] * matrix[0, 1] + pairs[1] * matrix[1, 1]) * psi])
 
-def marginals(emission: np.ndarray, inside: np.ndarray, initial: float, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of state 1 at each word, and the expected counts of the four transitions, by forward-backward."""
-    steps, n = emission.shape
-    psi = np.exp(np.clip(emission, -30, 30))
-    m = np.exp(transition)
+
+def _messages(psi: np.ndarray, s: Segments, begin: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes into each segment from its left and from its right, each up to a factor."""
+    n = len(s.first)
+    left, right = np.ones((2, n)), np.ones((2, n))
+    if len(s.rounds) < 2:
+        left[:] = begin[:, None]
+        return left, right
+    rows, scale = np.zeros((2, 2, n)), np.zeros((2, n))
+    rows[0, 0], rows[1, 1] = 1.0, 1.0
+    for t in range(len(psi)):
+        for e in (0, 1):
+            new = _times(rows[e], matrix, psi[t])
+            total = new.sum(axis=0)
+            here = s.inside[t]
+            rows[e] = np.where(here, new / total, rows[e])
+            scale[e] += np.where(here, np.log(total), 0.0)
+    scale -= scale.max(axis=0)
+    rows *= np.exp(scale)[:, None]
+    # A text's first word has the begin scores for its transition, so its first segment's matrix is not used from the left.
+    head = s.rounds[0]
+    left[:, head] = begin[:, None]
+    start = np.zeros((2, n))
+    here = s.inside[0] & s.first
+    row = np.stack([np.full(n, begin[0]), begin[1] * psi[0]])
+    for t in range(1, len(psi)):
+        new = _times(row, matrix, psi[t])
+        row = np.where(s.inside[t], new / new.sum(axis=0), row)
+    start[:, here] = row[:, here]
+    out = start
+    for k in s.rounds[1:]:
+        left[:, k] = out[:, k - 1] / out[:, k - 1].sum(axis=0)
+        out[:, k] = rows[0][:, k] * left[0, k] + rows[1][:, k] * left[1, k]
+    for k in reversed(s.rounds[1:]):
+        back = np.stack([rows[0, 0, k] * right[0, k] + rows[0, 1, k] * right[1, k], rows[1, 0, k] * right[0, k] + rows[1, 1, k] * right[1, k]])
+        right[:, k - 1] = back / back.sum(axis=0)
+    return left, right
+
+
+def marginals(emission: np.ndarray, s: Segments, initial: float, transition: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of state 1 at each word of ``s``, (position, segment), and if asked the expected counts of the four transitions."""
+    steps, n = s.inside.shape
+    out, expected = np.zeros((steps, n)), np.zeros((2, 2))
+    if not n:
+        return out, expected
+    psi = np.exp(np.clip(np.where(s.inside, emission[s.at], 0.0), -30, 30))
+    m, begin = np.exp(transition), np.array([1.0, np.exp(initial)])
+    left, right = _messages(psi, s, begin, m)
     forward = np.zeros((steps, 2, n))
-    for t in range(steps):
-        if t == 0:
-            a0, a1 = np.ones(n), np.exp(initial) * psi[0]
-        else:
-            p0, p1 = forward[t - 1]
-            a0, a1 = p0 * m[0, 0] + p1 * m[1, 0], (p0 * m[0, 1] + p1 * m[1, 1]) * psi[t]
-        total = a0 + a1
-        forward[t, 0], forward[t, 1] = a0 / total, a1 / total
-    out = np.zeros((steps, n))
-    expected = np.zeros((2, 2))
-    b0, b1 = np.ones(n), np.ones(n)
+    a = np.where(s.first, np.stack([left[0], left[1] * psi[0]]), _times(left, m, psi[0]))
+    forward[0] = a / a.sum(axis=0)
+    for t in range(1, steps):
+        a = _times(forward[t - 1], m, psi[t])
+        forward[t] = a / a.sum(axis=0)
+    b = right
     for t in range(steps - 1, -1, -1):
-        f0, f1 = forward[t, 0] * b0, forward[t, 1] * b1
-        out[t] = np.where(inside[t], f1 / (f0 + f1), 0)
-        if t:
-            p0, p1 = forward[t - 1]
-            c1 = psi[t] * b1
-            parts = np.array([p0 * m[0, 0] * b0, p0 * m[0, 1] * c1, p1 * m[1, 0] * b0, p1 * m[1, 1] * c1])
-            here = inside[t]
-            parts /= parts.sum(axis=0)
-            expected += (parts * here).sum(axis=1).reshape(2, 2)
-            n0, n1 = m[0, 0] * b0 + m[0, 1] * c1, m[1, 0] * b0 + m[1, 1] * c1
-            scale = n0 + n1
-            b0, b1 = np.where(here, n0 / scale, 1.0), np.where(here, n1 / scale, 1.0)
+        here = s.inside[t]
+        f = forward[t] * b
+        out[t] = np.where(here, f[1] / f.sum(axis=0), 0)
+        c1 = psi[t] * b[1]
+        if counts:
+            before, linked = (forward[t - 1], here) if t else (left, here & ~s.first)
+            parts = np.array([before[0] * m[0, 0] * b[0], before[0] * m[0, 1] * c1, before[1] * m[1, 0] * b[0], before[1] * m[1, 1] * c1])
+            expected += (parts / parts.sum(axis=0) * linked).sum(axis=1).reshape(2, 2)
+        back = np.stack([m[0, 0] * b[0] + m[0, 1] * c1, m[1, 0] * b[0] + m[1, 1] * c1])
+        b = np.where(here, back / back.sum(axis=0), b)
     return out, expected
 
 
@@ -66,35 +109,33 @@ def fit(features: np.ndarray, labels: np.ndarray, bounds: np.ndarray, n_features
 
     ``features`` is (word, slot) with -1 for none; ``labels`` 0 or 1 a word; ``bounds`` as the texts' word bounds.
     """
-    start, length = segments(bounds)
-    steps = np.arange(int(length.max(initial=0)))[:, None]
-    inside = steps < length
-    at = np.where(inside, start + steps, 0)
-    gold = np.where(inside, labels[at], 0)
-    pairs = np.zeros((2, 2))
-    both = inside[1:]
-    for i in (0, 1):
-        for j in (0, 1):
-            pairs[i, j] = ((gold[:-1] == i) & (gold[1:] == j) & both).sum()
+    s = Segments(bounds)
+    # In the texts' order, the word before each word that is not the first of its text.
+    follows = np.ones(len(labels), bool)
+    follows[bounds[:-1][np.diff(bounds) > 0]] = False
+    after = np.flatnonzero(follows)
+    pairs = np.bincount(2 * labels[after - 1] + labels[after], minlength=4).reshape(2, 2)
+    heads = labels[~follows]
     # weights, bias, initial, transitions
     x = np.zeros(n_features + 1 + 1 + 4)
     x[n_features] = -2.0
     first, second = np.zeros_like(x), np.zeros_like(x)
     used = features >= 0
-    total = max(1, int(inside.sum()))
+    which, word = features[used], np.nonzero(used)[0].astype(np.int32)
+    total = max(1, len(labels))
+    prob = np.zeros(len(labels))
     for k in range(1, rounds + 1):
-        weights = np.append(x[:n_features], 0.0)
-        score = weights[features].sum(axis=1) + x[n_features]
-        prob, expected = marginals(np.where(inside, score[at], 0), inside, x[n_features + 1], x[n_features + 2 :].reshape(2, 2))
-        gap = np.zeros(len(labels))
-        gap[at[inside]] = (gold - prob)[inside]
+        score = np.bincount(word, weights=x[which], minlength=len(labels)) + x[n_features]
+        found, expected = marginals(score, s, x[n_features + 1], x[n_features + 2 :].reshape(2, 2), counts=True)
+        prob[s.at[s.inside]] = found[s.inside]
+        gap = labels - prob
         grad = np.zeros_like(x)
-        grad[:n_features] = np.bincount(features[used], weights=np.broadcast_to(gap[:, None], features.shape)[used], minlength=n_features)
+        grad[:n_features] = np.bincount(which, weights=gap[word], minlength=n_features)
         grad[n_features] = gap.sum()
-        grad[n_features + 1] = (gold[0] - prob[0]).sum()
+        grad[n_features + 1] = (heads - prob[~follows]).sum()
         grad[n_features + 2 :] = (pairs - expected).reshape(-1)
         grad = grad / total * 1000 - penalty * x
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         x += rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
-    return np.append(x[:n_features], x[n_features]), float(x[n_features + 1]), x[n_features + 2 :].reshape(2, 2)
+    return x[: n_features + 1], float(x[n_features + 1]), x[n_features + 2 :].reshape(2, 2)
