@@ -258,9 +258,9 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("most", [1, 512])
+@pytest.mark.parametrize("most", [1, 3, 512])
 def test_repeats_are_removed_as_by_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(op7_substring_dedup, "ANCHOR_PASSAGES", most)
+    monkeypatch.setattr(op7_substring_dedup, "SHARD_PASSAGES", most)
     random.seed(9)
     word = lambda: "w%d" % random.randint(0, 10**6)
     common = [word() for _ in range(60)]
@@ -269,7 +269,7 @@ def test_repeats_are_removed_as_by_brute_force(spark, monkeypatch, most):
         a, b = sorted(random.sample(range(61), 2))
         texts.append(" ".join([word() for _ in range(random.randint(0, 30))] + common[a:b] + [word() for _ in range(random.randint(0, 30))]))
     texts += texts[-5:]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(len(texts) - 1, texts[-1], "x"), (None, texts[-1], "x")], DOC).repartition(3)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(len(texts) - 1, texts[-1], "x"), (None, texts[-1], "x")], "doc_id long, text string, n_words string").repartition(3)
     want = brute([*texts, texts[-1], texts[-1]])
     rows = op7_substring_dedup.remove_repeats(docs).collect()
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in rows)
