@@ -159,7 +159,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nodes = written(nodes.mapInArrow(_signed(kind), "class binary, rep long, weight long, group long, dim int, vector binary, node long, signs binary"), "vectors")
     # Buckets first without their vectors: those of one member go before anything large is moved.
     members = nodes.select("node", "group", "signs").mapInArrow(_members, "node long, number int, bucket long")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = written(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(members.join(crowded, "bucket"), "bucket-members")
     same = members.groupBy("bucket").agg(F.first("n").alias("n"), F.first("number").alias("number"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
     kept = same.groupBy("n", "low", "high", "mark").agg(F.min(F.struct("number", "bucket")).alias("b")).select("b.bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))

@@ -190,6 +190,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     # Buckets of the same members, from several bands, are one.
     buckets = buckets.filter("n > 1").groupBy("n", "words", "leader", "last", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "words", "leader")
+    # Written, so that a join on a frequent bucket can be dealt out.
+    buckets = written(buckets, "buckets")
     members = written(members.join(buckets, "bucket"), "members")
     pairs = members.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     # The nodes grow with the corpus and are never broadcast, so the texts are joined alike at every size.
