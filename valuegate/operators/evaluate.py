@@ -21,7 +21,11 @@ def cell(column: Column, kind: T.DataType) -> Column:
     """A value as text, so that equal answers read the same: null is empty, floats have nine figures, whole floats read as whole numbers."""
     if isinstance(kind, T.FloatType | T.DoubleType):
         exponent = F.floor(F.log10(F.abs(column)))
-        figures = F.round(column / F.pow(F.lit(10.0), exponent - 8)).cast("long")
+        rounded = F.round(column / F.pow(F.lit(10.0), exponent - 8)).cast("long")
+        # Rounding may carry into one more figure, and the logarithm may be off by one beside a power of ten.
+        over, under = F.abs(rounded) >= 1_000_000_000, F.abs(rounded) < 100_000_000
+        exponent = F.when(over, exponent + 1).when(under, exponent - 1).otherwise(exponent)
+        figures = F.when(over | under, F.round(column / F.pow(F.lit(10.0), exponent - 8)).cast("long")).otherwise(rounded)
         unit = F.pow(F.lit(10.0), 8 - exponent).cast("long")
         whole = (exponent >= 0) & (exponent <= 8) & (figures % unit == 0)
         text = F.when(whole, (figures / unit).cast("long").cast("string")).otherwise(F.concat(figures.cast("string"), F.lit("e"), exponent.cast("string")))
@@ -96,7 +100,7 @@ def summarise(scored: DataFrame) -> DataFrame:
     rows = scored.groupBy("variant").agg(
         F.count("*").alias("asked"), yes("success").alias("executed"), yes("correct").alias("correct"), F.count("correct").alias("scored"),
         yes("refusal").alias("refusals"), yes("escalated").alias("escalations"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
-        F.round(F.sum("dollars"), 6).alias("dollars"), F.round(F.median("ms"), 1).alias("ms_median"), F.round(F.median("perplexity"), 3).alias("perplexity_median"),
+        F.round(F.sum(F.col("dollars").cast("decimal(28,8)")), 6).cast("double").alias("dollars"), F.round(F.median("ms"), 1).alias("ms_median"), F.round(F.median("perplexity"), 3).alias("perplexity_median"),
     )
     return rows.withColumns(
         {

@@ -31,7 +31,7 @@ _CONSENSUS = """counts AS (SELECT question, result_hash, count(*) AS votes FROM
 _SUMMARY = """summary AS (SELECT *, CASE WHEN asked > 0 THEN round(executed / asked, 4) ELSE 0 END AS executable_rate, CASE WHEN scored > 0 THEN round(correct / scored, 4) ELSE 0 END AS accuracy,
   round_even(tokens / asked, 0)::bigint AS tokens_per_question, round(dollars / asked * 100, 4) AS dollars_per_100 FROM (
   SELECT variant, count(*) AS asked, count_if(success) AS executed, count_if(coalesce(correct, false)) AS correct, count(correct) AS scored, count_if(refusal) AS refusals, count_if(escalated) AS escalations,
-  sum(prompt_tokens + completion_tokens)::bigint AS tokens, round(sum(dollars), 6) AS dollars, round(median(ms), 1) AS ms_median, round(median(perplexity), 3) AS perplexity_median FROM scored GROUP BY variant))"""
+  sum(prompt_tokens + completion_tokens)::bigint AS tokens, round(sum(dollars::decimal(28, 8)), 6)::double AS dollars, round(median(ms), 1) AS ms_median, round(median(perplexity), 3) AS perplexity_median FROM scored GROUP BY variant))"""
 
 
 def results(t: Tables) -> DataFrame:
@@ -94,10 +94,10 @@ def outcome_matrix(t: Tables) -> DataFrame:
 
 @query(
     "split_questions",
-    f"WITH results AS ({RESULTS}) SELECT * FROM (SELECT question, CASE WHEN NOT bool_or(ok) THEN 'all fail' WHEN NOT bool_and(ok) THEN 'split' END AS kind FROM (SELECT question, variant, bool_or(success AND ms > 20) AS ok FROM results WHERE question % 2 = 0 AND attempt % 9 = 0 GROUP BY 1, 2) GROUP BY 1) WHERE kind IS NOT NULL",
+    f"WITH results AS ({RESULTS}) SELECT * FROM (SELECT question, CASE WHEN NOT bool_or(ok) THEN 'all fail' WHEN NOT bool_and(ok) THEN 'split' END AS kind FROM (SELECT question, variant, bool_or(success AND ms > 150) AS ok FROM results GROUP BY 1, 2) GROUP BY 1) WHERE kind IS NOT NULL",
 )
 def split_questions(t: Tables) -> DataFrame:
-    return ev.split_questions(results(t).filter("question % 2 = 0 AND attempt % 9 = 0").withColumn("success", F.expr("success AND ms > 20")))
+    return ev.split_questions(results(t).withColumn("success", F.expr("success AND ms > 150")))
 
 
 _ATTEMPTS = "SELECT user_id * 100000 + event_id - event_id % 3 AS run, event_id % 3 AS rung, user_id % 2 AS starting, event_type <> 'error' AS valid, CASE WHEN event_id % 11 <> 0 THEN 1 + value / 100 END AS perplexity FROM events"
@@ -112,7 +112,7 @@ def cascade_pick(t: Tables) -> DataFrame:
     return ev.cascade(t.sql(_ATTEMPTS))
 
 
-_REPAIRS = "SELECT user_id AS run, event_id AS round, concat('SELECT ', event_type, ' ', event_id % 10) AS sql FROM events WHERE value > 150"
+_REPAIRS = "SELECT user_id AS run, event_id AS round, concat('SELECT ', event_type, ' ', event_id % 10) AS sql FROM events"
 
 
 @query("repair_pick", f"WITH a AS ({_REPAIRS}) SELECT run, arg_max(sql, round) AS sql, count(*) AS rounds, string_agg(sql, ' | ' ORDER BY round) AS history FROM a GROUP BY run")

@@ -25,7 +25,7 @@ _LOG = [
     "SELECT count(DISTINCT o.o_custkey) FROM orders o WHERE o.o_orderpriority = :v1", "", "-- nothing", "SELECT 1; DROP TABLE orders", "DELETE FROM orders", "SELECT load_extension(1)",
     "SELECT AVG(o_price) FROM orders WHERE o_custkey = :v1", "SELECT o_custkey FROM orders WHERE o_orderkey = :v2", "SELECT MAX(o_totalprice) FROM orders",
     "WITH x AS (SELECT c_name FROM customer) SELECT x.c_name FROM x JOIN lineitem ON 1 = 1 /* drop */",
-    "SELECT ''; drop'' AS s, o.o_colour FROM orders o;", "CREATE TABLE z (a int)",
+    "SELECT ''; drop'' AS s, o.o_colour FROM orders o;", "SELECT o_custkey AS s FROM orders /* never closed; drop", "SELECT o_custkey FROM orders o WHERE o.o_tone = ''it''''s; drop", "CREATE TABLE z (a int)",
 ]
 LOG = "SELECT o_orderkey AS log_id, CASE " + " ".join(f"WHEN o_orderkey % {len(_LOG)} = {i} THEN '{s}'" for i, s in enumerate(_LOG)) + f" END AS sql, o_orderkey % {len(_LOG)} IN (0, 6, 7, 8) AS bound FROM orders"
 
@@ -119,14 +119,15 @@ def _schema(t: Tables) -> list[tuple[str, str]]:
     return [(r["table_name"].lower(), r["column_name"].lower()) for r in pr.columns(t).collect()]
 
 
-_BARE = """regexp_replace(regexp_replace(regexp_replace(trim(sql), '(?s)--[^\\n]*|/\\*.*?\\*/', ' ', 'g'), '''(?:[^'']|'''')*''|"(?:[^"]|"")*"', ' '''' ', 'g'), '^\\s+|[\\s;]+$', '', 'g')"""
+_sq = lambda p: "'" + p.replace("'", "''") + "'"
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(trim(sql), {_sq(sqllog.COMMENT)}, ' ', 'g'), {_sq(sqllog.STRING)}, {_sq(sqllog.BLANK)}, 'g'), {_sq(sqllog.ENDS)}, '', 'g')"
 _LINT = f"""WITH {pr.INVENTORY_SQL}, log AS (SELECT *, {_BARE} AS bare, CASE WHEN bound THEN [':v1'] END AS expected FROM ({LOG})),
   schema_columns AS (SELECT list((lower(table_name), lower(column_name))) AS pairs, list(lower(column_name)) AS names FROM inventory),
   cut AS (SELECT *, list_transform(regexp_extract_all(bare, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: lower(w)) AS words, list_distinct(regexp_extract_all(sql, ':v\\d+')) AS used,
-    list_transform(regexp_extract_all(bare, '(?i)\\b(?:FROM|JOIN)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1), lambda w: lower(w)) AS sources FROM log, schema_columns),
+    list_transform(regexp_extract_all(bare, {_sq(sqllog.SOURCE)}, 1), lambda w: lower(w)) AS sources FROM log, schema_columns),
   scoped AS (SELECT *, list_transform(list_filter(pairs, lambda p: list_contains(sources, p[1])), lambda p: p[2]) AS scope FROM cut),
-  found AS (SELECT *, list_distinct(list_concat(list_filter(regexp_extract_all(bare, '\\b[A-Za-z_][A-Za-z0-9_]*\\.([A-Za-z_][A-Za-z0-9_]+)\\b', 1), lambda w: NOT list_contains(names, lower(w))),
-    CASE WHEN len(scope) > 0 THEN list_filter(regexp_extract_all(bare, '(?i)\\b(?:AVG|SUM|MIN|MAX)\\s*\\(\\s*(?:DISTINCT\\s+)?([A-Za-z_][A-Za-z0-9_]+)\\s*\\)', 1), lambda w: NOT list_contains(scope, lower(w))) ELSE [] END)) AS invented FROM scoped)"""
+  found AS (SELECT *, list_distinct(list_concat(list_filter(regexp_extract_all(bare, {_sq(sqllog.QUALIFIED)}, 1), lambda w: NOT list_contains(names, lower(w))),
+    CASE WHEN len(scope) > 0 THEN list_filter(regexp_extract_all(bare, {_sq(sqllog.AGGREGATE)}, 1), lambda w: NOT list_contains(scope, lower(w))) ELSE [] END)) AS invented FROM scoped)"""
 _IN = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
@@ -146,8 +147,8 @@ def sql_log_lint(t: Tables) -> DataFrame:
 
 @query("sql_unknown_columns", f"{_LINT} SELECT log_id, unnest(invented) AS column_name FROM found")
 def sql_unknown_columns(t: Tables) -> DataFrame:
-    log = _log(t).select("log_id", sqllog.bare(F.col("sql")).alias("bare"))
-    return log.select("log_id", F.explode(sqllog.unknown_columns(F.col("bare"), _schema(t))).alias("column_name"))
+    log = _log(t).select("log_id", sqllog.bare(F.col("sql")).alias("bare")).withColumn("read", sqllog.sources(F.col("bare")))
+    return log.select("log_id", F.explode(sqllog.unknown_columns(F.col("bare"), F.col("read"), _schema(t))).alias("column_name"))
 
 
 @query("sql_log_tables", f"{_LINT} SELECT table_name, count(*) AS n FROM (SELECT unnest(list_distinct(sources)) AS table_name FROM cut) GROUP BY table_name")

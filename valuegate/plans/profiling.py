@@ -12,14 +12,12 @@ from valuegate.operators import relational as rel
 from valuegate.plans.registry import TABLES, Tables, query
 
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-INDEXED = ["region", "nation", "customer", "orders", "part", "events"]
-#: Text columns of the given tables, and those of ``INDEXED`` that hold a vocabulary.
+#: Text columns of the given tables.
 TEXTS = {
     "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
     "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"],
     "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"],
 }
-TIER_A = [("region", "r_name"), ("nation", "n_name"), ("customer", "c_mktsegment"), ("orders", "o_orderpriority"), ("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("events", "event_type"), ("events", "props")]
 #: Business terms for the given tables; the last two are wrong on purpose.
 GLOSSARY = [
     ("segment", ["market segment", "segments"], ["customer.c_mktsegment"], "segments are upper case"),
@@ -40,7 +38,23 @@ INVENTORY_SQL = (
     "inventory AS (SELECT table_name, column_name, CASE WHEN data_type IN ('INTEGER', 'BIGINT', 'SMALLINT', 'BOOLEAN') THEN 'INT' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'REAL' ELSE 'TEXT' END AS compact_type, "
     "row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position)::int AS ordinal FROM information_schema.columns WHERE table_name IN (" + ", ".join(map(_quote, TABLES)) + "))"
 )
-VALUES_SQL = "value_index AS (" + " UNION ALL ".join(f"SELECT DISTINCT trim({c}) AS value, '{t}.{c}' AS ref FROM {t} WHERE trim({c}) <> ''" for t, c in TIER_A) + ")"
+def _tier_sql(names: list[str], limit: int) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT count(*) FROM {t}) AS n, count({c}) AS n_distinct, avg(length(trim({c}))) FILTER (trim({c}) <> '') AS mean FROM (SELECT DISTINCT {c} FROM {t})" for t in names for c in TEXTS.get(t, [])
+    )
+    return f"""SELECT table_name, column_name, CASE WHEN reason IS NULL THEN CASE WHEN n_distinct <= {limit} THEN 'A' ELSE 'B' END END AS tier, n_distinct,
+      coalesce(reason, CASE WHEN n_distinct <= {limit} THEN 'bounded vocabulary' ELSE n_distinct || ' distinct: resolved on demand' END) AS reason FROM (
+      SELECT *, CASE WHEN n_distinct < 2 THEN 'constant or empty' WHEN n_distinct > 200000 THEN '> 200000 distinct: not a vocabulary' WHEN n_distinct / n > 0.9 AND n_distinct > 100 THEN printf('near-unique (%.0f%%)', 100.0 * n_distinct / n)
+      WHEN mean IS NULL THEN 'no usable value' WHEN mean < 2 THEN printf('values too short (%.1f chars)', mean) WHEN mean > 120 THEN printf('free text (%.0f chars)', mean) END AS reason FROM ({parts}))"""
+
+
+def values_sql(name: str, tier: str, limit: int) -> str:
+    """The distinct values of the columns of a tier, as common table expressions."""
+    every = " UNION ALL ".join(f"SELECT DISTINCT trim({c}) AS value, '{t}.{c}' AS ref FROM {t} WHERE trim({c}) <> ''" for t, cs in TEXTS.items() for c in cs)
+    return f"{name}_tiers AS MATERIALIZED (SELECT table_name || '.' || column_name AS ref FROM ({_tier_sql(TABLES, limit)}) WHERE tier = '{tier}'), {name} AS MATERIALIZED (SELECT value, ref FROM ({every}) JOIN {name}_tiers USING (ref))"
+
+
+VALUES_SQL = values_sql("value_index", "A", 5000)
 EXACT_SQL = f"{VALUES_SQL}, exact AS (SELECT DISTINCT lower(regexp_replace(trim(value), '\\s+', ' ', 'g')) AS value FROM value_index)"
 _NORMAL_WORDS = "unnest(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 CONCEPTS_SQL = "concepts AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(phrase), '[a-z0-9]+')) AS word FROM (SELECT replace(term, '_', ' ') AS phrase FROM glossary UNION ALL SELECT unnest(synonyms) FROM glossary)) WHERE length(word) > 1)"
@@ -59,22 +73,16 @@ def glossary(t: Tables) -> DataFrame:
 
 
 def index(t: Tables) -> DataFrame:
-    tables = t.all(INDEXED)
-    return ix.build(tables, pf.column_tiers(tables))
+    """The tier-A values of all tables, written once for a query."""
+    return t.once("value-index", lambda: ix.build(t.all(), tiers(t)))
 
 
-def grammar(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(GRAMMAR,)], "line string").select(F.explode(dic.split_list(F.col("line"))).alias("word")).distinct()
+def tiers(t: Tables, limit: int = pf.VOCABULARY_LIMIT) -> DataFrame:
+    return t.once(f"column-tiers-{limit}", lambda: pf.column_tiers(t.all(), limit))
 
 
-def _tier_sql(names: list[str], limit: int) -> str:
-    parts = " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, '{c}' AS column_name, (SELECT count(*) FROM {t}) AS n, count({c}) AS n_distinct, avg(length(trim({c}))) FILTER (trim({c}) <> '') AS mean FROM (SELECT DISTINCT {c} FROM {t})" for t in names for c in TEXTS.get(t, [])
-    )
-    return f"""SELECT table_name, column_name, CASE WHEN reason IS NULL THEN CASE WHEN n_distinct <= {limit} THEN 'A' ELSE 'B' END END AS tier, n_distinct,
-      coalesce(reason, CASE WHEN n_distinct <= {limit} THEN 'bounded vocabulary' ELSE n_distinct || ' distinct: resolved on demand' END) AS reason FROM (
-      SELECT *, CASE WHEN n_distinct < 2 THEN 'constant or empty' WHEN n_distinct > 200000 THEN '> 200000 distinct: not a vocabulary' WHEN n_distinct / n > 0.9 AND n_distinct > 100 THEN printf('near-unique (%.0f%%)', 100.0 * n_distinct / n)
-      WHEN mean IS NULL THEN 'no usable value' WHEN mean < 2 THEN printf('values too short (%.1f chars)', mean) WHEN mean > 120 THEN printf('free text (%.0f chars)', mean) END AS reason FROM ({parts}))"""
+def grammar(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(GRAMMAR,)], "line string").select(F.explode(dic.split_list(F.col("line"))).alias("word")).distinct()
 
 
 @query("column_inventory", f"WITH {INVENTORY_SQL} SELECT * FROM inventory")
@@ -128,9 +136,9 @@ def column_tiers(t: Tables) -> DataFrame:
     return pf.column_tiers(t.all())
 
 
-@query("column_tiers_strict", _tier_sql(INDEXED, 50))
+@query("column_tiers_strict", _tier_sql(TABLES, 50))
 def column_tiers_strict(t: Tables) -> DataFrame:
-    return pf.column_tiers(t.all(INDEXED), 50)
+    return pf.column_tiers(t.all(), 50)
 
 
 @query("value_index_build", f"WITH {VALUES_SQL} SELECT * FROM value_index")
@@ -142,10 +150,9 @@ def value_index_build(t: Tables) -> DataFrame:
     return t.spark.read.parquet(folder).select("value", "ref")
 
 
-@query("index_stats", f"WITH {VALUES_SQL}, tiers AS ({_tier_sql(INDEXED, 5000)}) SELECT 'tier ' || coalesce(tier, 'none') AS measure, count(*) AS n FROM tiers GROUP BY tier UNION ALL SELECT 'values', count(*) FROM value_index")
+@query("index_stats", f"WITH {VALUES_SQL}, tiers AS ({_tier_sql(TABLES, 5000)}) SELECT 'tier ' || coalesce(tier, 'none') AS measure, count(*) AS n FROM tiers GROUP BY tier UNION ALL SELECT 'values', count(*) FROM value_index")
 def index_stats(t: Tables) -> DataFrame:
-    tiers = pf.column_tiers(t.all(INDEXED))
-    return ix.stats(tiers, ix.build(t.all(INDEXED), tiers))
+    return ix.stats(tiers(t), index(t))
 
 
 @query("exact_values", f"WITH {EXACT_SQL} SELECT value FROM exact")
@@ -163,9 +170,9 @@ def longest_value_words(t: Tables) -> DataFrame:
     return ix.longest_value_words(ix.exact_values(index(t)))
 
 
-@query("carries_information", "SELECT o_orderpriority AS value, length(trim(o_orderpriority)) >= 3 AND regexp_matches(o_orderpriority, '\\p{L}') AS informs FROM (SELECT DISTINCT o_orderpriority FROM orders UNION SELECT DISTINCT l_returnflag FROM lineitem UNION SELECT o_orderkey::varchar FROM orders WHERE o_orderkey < 50)")
+@query("carries_information", "SELECT o_orderpriority AS value, length(trim(o_orderpriority)) >= 3 AND regexp_matches(o_orderpriority, '\\p{L}') AS informs FROM (SELECT DISTINCT o_orderpriority FROM orders UNION SELECT DISTINCT l_returnflag FROM lineitem UNION SELECT o_orderkey::varchar FROM orders)")
 def carries_information(t: Tables) -> DataFrame:
-    values = t("orders").select(F.col("o_orderpriority").alias("value")).union(t("lineitem").select("l_returnflag")).union(t("orders").filter("o_orderkey < 50").select(F.col("o_orderkey").cast("string"))).distinct()
+    values = t("orders").select(F.col("o_orderpriority").alias("value")).union(t("lineitem").select("l_returnflag")).union(t("orders").select(F.col("o_orderkey").cast("string"))).distinct()
     return values.select("value", ix.carries_information(F.col("value")).alias("informs"))
 
 
@@ -253,7 +260,7 @@ def vocabulary_stats(t: Tables) -> DataFrame:
     return rel.row_counts(frames).select(F.col("table_name").alias("measure"), F.col("n_rows").alias("n"))
 
 
-_NAMED = "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'orders' ELSE 'customer' END AS table_name FROM orders WHERE o_orderkey < 300 UNION SELECT o_orderkey, 'lineitem' FROM orders WHERE o_orderkey < 300 AND o_orderkey % 3 = 0 UNION SELECT o_orderkey, 'nation' FROM orders WHERE o_orderkey < 300"
+_NAMED = "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'orders' ELSE 'customer' END AS table_name FROM orders UNION SELECT o_orderkey, 'lineitem' FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT o_orderkey, 'nation' FROM orders"
 
 
 @query("table_scope", f"WITH named AS ({_NAMED}), counts AS (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in STAR) + ") SELECT doc, table_name FROM named JOIN counts USING (table_name) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n_rows, table_name) <= 2")
@@ -264,9 +271,9 @@ def table_scope(t: Tables) -> DataFrame:
 @query(
     "column_scope",
     f"""WITH {FKS_SQL}, keyed AS (SELECT table_name, key_column AS column_name FROM found WHERE key_column IS NOT NULL UNION SELECT table_name, column_name FROM links UNION SELECT ref_table, ref_column FROM links),
-    r AS (SELECT o_orderkey AS doc, 'orders' AS table_name, 'o_orderpriority' AS column_name FROM orders WHERE o_orderkey < 100 UNION SELECT o_orderkey, 'customer', 'c_segment' FROM orders WHERE o_orderkey < 50)
+    r AS (SELECT o_orderkey AS doc, 'orders' AS table_name, 'o_orderpriority' AS column_name FROM orders UNION SELECT o_orderkey, 'customer', 'c_segment' FROM orders WHERE o_orderkey % 2 = 0)
     SELECT doc, table_name, column_name FROM r SEMI JOIN inventory USING (table_name, column_name) UNION SELECT doc, table_name, k.column_name FROM r JOIN keyed k USING (table_name)""",
 )
 def column_scope(t: Tables) -> DataFrame:
-    resolved = t.sql("SELECT o_orderkey AS doc, 'orders' AS table_name, 'o_orderpriority' AS column_name FROM orders WHERE o_orderkey < 100 UNION SELECT o_orderkey, 'customer', 'c_segment' FROM orders WHERE o_orderkey < 50")
+    resolved = t.sql("SELECT o_orderkey AS doc, 'orders' AS table_name, 'o_orderpriority' AS column_name FROM orders UNION SELECT o_orderkey, 'customer', 'c_segment' FROM orders WHERE o_orderkey % 2 = 0")
     return pf.column_scope(resolved, key_columns(t), columns(t))

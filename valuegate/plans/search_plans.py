@@ -53,16 +53,17 @@ def search_rank(t: Tables) -> DataFrame:
     return se.rank(found, scope)
 
 
-_BM = "SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents WHERE lang = 'en'"
-_BQ = "SELECT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z]+')[1:6]) AS token FROM benchmark"
+_LETTERS = "[a-zà-öø-ÿ]+"
+_BM = f"SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS token FROM documents"
+_BQ = f"SELECT item_id AS query, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS token FROM benchmark"
 
 
 @query("bm25_topk", f"""WITH d AS ({_BM}), q AS (SELECT DISTINCT * FROM ({_BQ})), tf AS (SELECT doc, token, count(*) AS tf FROM d GROUP BY ALL), dl AS (SELECT doc, count(*) AS dl FROM d GROUP BY doc), w AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
     SELECT query, doc, score FROM (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN df USING (token) JOIN tf USING (token) JOIN dl USING (doc), w GROUP BY query, doc) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 10""")
 def bm25_topk(t: Tables) -> DataFrame:
-    words = lambda c: tx.find_all(F.lower(c), "[a-z]+")
-    docs = t("documents").filter("lang = 'en'").select(F.col("doc_id").alias("doc"), F.explode(words("text")).alias("token"))
-    asked = t("benchmark").select(F.col("item_id").alias("query"), F.explode(F.slice(words("text"), 1, 6)).alias("token"))
+    words = lambda c: tx.find_all(F.lower(c), _LETTERS)
+    docs = t("documents").select(F.col("doc_id").alias("doc"), F.explode(words("text")).alias("token"))
+    asked = t("benchmark").select(F.col("item_id").alias("query"), F.explode(words("text")).alias("token"))
     return se.bm25(asked, docs, 10)
 
 
