@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Lower-case Latin letters with marks, and what is left without them, by Unicode's own decomposition.
 _MARKED = [c for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(unicodedata.normalize("NFKD", c)) > 1 and unicodedata.normalize("NFKD", c)[0].isascii() and all(unicodedata.combining(x) for x in unicodedata.normalize("NFKD", c)[1:])]
 _PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _MARKED)
+#: Titles before a person's name, and what counts as a number of its own.
 TITLE = r"(?i)^(mr|mrs|ms|miss|dr|prof|sir|m|mme|mlle)\b\.?"
 NUMBER = r"(?<![\w.])\d+(?:[.,]\d+)?(?![\w.])"
 #: Words, some with their trailing blank, that call for grouping, ordering or arithmetic.
@@ -41,6 +42,11 @@ def trigrams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, 3))
 
 
+def preview(text: Column, most: int = 90) -> Column:
+    """The beginning of the text in one line."""
+    return F.left(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(most))
+
+
 def numbers(text: Column) -> Column:
     return find_all(text, NUMBER)
 

@@ -42,12 +42,19 @@ def allowlist(sources: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged).groupBy("word").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-def integrity(glossary: DataFrame, columns: DataFrame) -> DataFrame:
-    """(term, problem): terms without columns, and columns that do not exist."""
+def filled(columns: dict[str, DataFrame]) -> DataFrame:
+    """(ref, n): how many rows of its table have a value in each referenced column (``table.column``)."""
+    parts = [frame.agg(F.count(ref.split(".")[1]).alias("n")).select(F.lit(ref).alias("ref"), "n") for ref, frame in columns.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def integrity(glossary: DataFrame, columns: DataFrame, counts: DataFrame) -> DataFrame:
+    """(term, problem): terms without columns, columns that do not exist, and columns without any value."""
     none = glossary.filter(F.size("columns") == 0).select("term", F.lit("no column declared").alias("problem"))
     refs = glossary.select("term", F.explode("columns").alias("ref"))
     known = columns.select(F.concat_ws(".", "table_name", "column_name").alias("ref"))
-    return none.unionAll(refs.join(known, "ref", "left_anti").select("term", F.concat("ref", F.lit(": unknown column")).alias("problem")))
+    unknown = refs.join(known, "ref", "left_anti").select("term", F.concat("ref", F.lit(": unknown column")).alias("problem"))
+    return none.unionAll(unknown).unionAll(refs.join(counts.filter("n = 0"), "ref").select("term", F.concat("ref", F.lit(": no value"))))
 
 
 def cards(columns: DataFrame, indexed: DataFrame, glossary: DataFrame) -> DataFrame:

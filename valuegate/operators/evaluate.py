@@ -20,13 +20,17 @@ ESCALATE_ABOVE = 1.8
 def cell(column: Column, kind: T.DataType) -> Column:
     """A value as text, so that equal answers read the same: null is empty, floats have nine figures, whole floats read as whole numbers."""
     if isinstance(kind, T.FloatType | T.DoubleType):
+        ten = lambda e: F.pow(F.lit(10.0), e)
+        # Powers beyond a double's range are taken in two steps.
+        half = lambda e: F.floor(e / 2)
+        scaled = lambda e: F.round(F.when(F.abs(e) > 290, column / ten(half(e)) / ten(e - 8 - half(e))).otherwise(column / ten(e - 8))).cast("long")
         exponent = F.floor(F.log10(F.abs(column)))
-        rounded = F.round(column / F.pow(F.lit(10.0), exponent - 8)).cast("long")
+        rounded = scaled(exponent)
         # Rounding may carry into one more figure, and the logarithm may be off by one beside a power of ten.
         over, under = F.abs(rounded) >= 1_000_000_000, F.abs(rounded) < 100_000_000
         exponent = F.when(over, exponent + 1).when(under, exponent - 1).otherwise(exponent)
-        figures = F.when(over | under, F.round(column / F.pow(F.lit(10.0), exponent - 8)).cast("long")).otherwise(rounded)
-        unit = F.pow(F.lit(10.0), 8 - exponent).cast("long")
+        figures = F.when(over | under, scaled(exponent)).otherwise(rounded)
+        unit = ten(F.greatest(F.least(8 - exponent, F.lit(8)), F.lit(0))).cast("long")
         whole = (exponent >= 0) & (exponent <= 8) & (figures % unit == 0)
         text = F.when(whole, (figures / unit).cast("long").cast("string")).otherwise(F.concat(figures.cast("string"), F.lit("e"), exponent.cast("string")))
         plain = F.when(F.isnan(column), "nan").when(F.abs(column) == float("inf"), column.cast("string")).when(column == 0, "0")
@@ -122,6 +126,19 @@ def rank(summaries: DataFrame) -> DataFrame:
     return summaries.select("variant", "accuracy", F.row_number().over(order).alias("place"))
 
 
+def rank_by_cost(summaries: DataFrame) -> DataFrame:
+    """(place, variant, accuracy, dollars_per_100): by accuracy, then what a hundred questions cost, then latency."""
+    order = Window.orderBy(F.desc("accuracy"), "dollars_per_100", "ms_median", "variant")
+    return summaries.select("variant", "accuracy", "dollars_per_100", F.row_number().over(order).alias("place"))
+
+
+def totals(attempts: DataFrame) -> DataFrame:
+    """(run, calls, prompt_tokens, completion_tokens, tokens, dollars): what all attempts of a run took together."""
+    sums = [F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens")]
+    rows = attempts.groupBy("run").agg(F.count("*").alias("calls"), *sums, F.sum(F.col("dollars").cast("decimal(28,8)")).cast("double").alias("dollars"))
+    return rows.withColumn("tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
 def outcomes(results: DataFrame, variants: list[str]) -> DataFrame:
     """A row for each question, a column for each variant: whether any of its runs succeeded."""
     return results.groupBy("question").pivot("variant", variants).agg(F.bool_or("success"))

@@ -47,6 +47,13 @@ def stats(tiers: DataFrame, index: DataFrame) -> DataFrame:
     return by.unionAll(index.agg(F.count("*").alias("n")).select(F.lit("values"), "n"))
 
 
+def report(tiers: DataFrame, index: DataFrame) -> DataFrame:
+    """The tiers with n_indexed: how many values of each column the index holds."""
+    sizes = index.groupBy("ref").agg(F.count("*").alias("n_indexed"))
+    joined = tiers.withColumn("ref", F.concat_ws(".", "table_name", "column_name")).join(sizes, "ref", "left")
+    return joined.select("table_name", "column_name", "tier", "n_distinct", "reason", F.coalesce("n_indexed", F.lit(0)).alias("n_indexed"))
+
+
 def exact_values(index: DataFrame) -> DataFrame:
     return index.select(normal(F.col("value")).alias("value")).distinct()
 

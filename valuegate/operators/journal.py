@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE = "timestamp timestamp, context string, allowed boolean, length long, bypassed boolean"
+from valuegate.operators.gate import TOKEN, fingerprint
+
+LINE = "timestamp timestamp, context string, allowed boolean, length long, bypassed boolean, token_count long, fingerprint string, refused_tokens array<string>"
+
+
+def verdict_lines(verdicts: DataFrame, texts: DataFrame, context: str, at: Column) -> DataFrame:
+    """Journal lines of the gate's verdicts (id, allowed, refused, n_tokens, fingerprint) on texts (id, text)."""
+    return texts.join(verdicts.select("id", "allowed", "refused", "n_tokens", "fingerprint"), "id").select(
+        at.alias("timestamp"), F.lit(context).alias("context"), "allowed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("length"), F.lit(False).alias("bypassed"),
+        F.col("n_tokens").cast("long").alias("token_count"), "fingerprint", F.col("refused").alias("refused_tokens"),
+    )
+
+
+def bypass_lines(texts: DataFrame, context: str, at: Column) -> DataFrame:
+    """Journal lines of texts that were sent past the gate on purpose."""
+    none = F.array().cast("array<string>")
+    length = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    return texts.select(at.alias("timestamp"), F.lit(context).alias("context"), F.lit(True).alias("allowed"), length.alias("length"), F.lit(True).alias("bypassed"), F.lit(0).cast("long").alias("token_count"), F.lit("").alias("fingerprint"), none.alias("refused_tokens"))
+
+
+def sweep_lines(known: DataFrame, texts: DataFrame, context: str, at: Column) -> DataFrame:
+    """Journal lines of what came back with stored values in it; ``known`` are the gate's hits (id, value, size). Clean texts give none."""
+    hits = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "value")))["value"].alias("refused"))
+    text = F.coalesce("text", F.lit(""))
+    found = texts.join(hits, "id").select("id", F.lit(False).alias("allowed"), "refused", F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("n_tokens"), fingerprint(text).alias("fingerprint"))
+    return verdict_lines(found, texts, context, at)
 
 
 def append(lines: DataFrame, folder: str) -> None:

@@ -49,6 +49,14 @@ def refusals(resolutions: DataFrame) -> DataFrame:
     return rows.select("id", reason.alias("reason"), F.array_join(F.when(F.size("persons") > 0, F.col("persons")).otherwise(F.col("unknown")), "|").alias("mentions")).filter("reason is not null")
 
 
+def suggestions(resolutions: DataFrame, most: int = 4) -> DataFrame:
+    """(id, mention, offered): for each value that is unknown or doubtful the stored values worth offering: its own match if it is near enough, then the ``alternatives`` (column = value)."""
+    doubtful = (F.col("kind") == "value") & (F.col("value").isNull() | (F.col("score") < CONFIDENT))
+    own = F.when(F.col("value").isNotNull() & (F.col("score") >= USEFUL), F.array("value")).otherwise(F.array().cast("array<string>"))
+    others = F.filter(F.transform("alternatives", lambda a: F.when(F.contains(a, F.lit(" = ")), F.substring(a, F.length(F.substring_index(a, " = ", 1)) + 4, F.length(a)))), lambda v: F.coalesce(v != "", F.lit(False)))
+    return resolutions.filter(doubtful).select("id", "mention", F.slice(F.array_distinct(F.concat(own, others)), 1, most).alias("offered"))
+
+
 def confidence(resolutions: DataFrame) -> DataFrame:
     """``resolutions`` with status: confident, needs confirmation, unresolved, or not a value."""
     status = F.when(F.col("kind") != "value", "not a value").when(F.col("value").isNull(), "unresolved").when(F.col("score") >= CONFIDENT, "confident").otherwise("needs confirmation")
@@ -75,6 +83,14 @@ def pseudonymise(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.toDF(*(mapping[c] for c in df.columns))
 
 
+def relations(links: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(table_label, column_label, ref_table_label, ref_column_label): foreign keys under their labels; keys that lead out of the labelled tables would name one, so they are left out."""
+    named = lambda names, c: names.select(F.col("name").alias(c), F.col("label").alias(f"{c}_label"))
+    rows = links.join(named(tables, "table_name"), "table_name").join(named(tables, "ref_table"), "ref_table")
+    rows = rows.join(named(columns, "column_name"), "column_name").join(named(columns, "ref_column"), "ref_column")
+    return rows.select(F.col("table_name_label").alias("table_label"), F.col("column_name_label").alias("column_label"), "ref_table_label", "ref_column_label")
+
+
 def restore(log: DataFrame, mapping: list[tuple[str, str]]) -> DataFrame:
     """(log_id, sql): labels become the real names again. ``mapping`` is (name, label), as many as the schema has names."""
     pairs = F.array(*(F.struct(F.lit(label).alias("old"), F.lit(name).alias("new")) for name, label in mapping))
@@ -97,6 +113,18 @@ def rewrite(texts: DataFrame, tagged: DataFrame, glossary: DataFrame, mapping: d
     return texts.join(by, "id", "left").select("id", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(tx.substitute(F.col("text"), F.col("pairs"))).alias("text"))
 
 
+def rewrite_notes(tagged: DataFrame, glossary: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """(id, notes): of each label that a text's words became, what it is and which labelled columns of its term go with it, in the order of the triggers' length."""
+    pairs = F.array(*(F.struct(F.lit(r).alias("ref"), F.lit(x).alias("label")) for r, x in mapping.items()))
+    labelled = F.filter(F.transform("columns", lambda c: F.get(F.filter(pairs, lambda p: p["ref"] == c), F.lit(0))["label"]), lambda x: x.isNotNull())
+    terms = glossary.select("term", labelled.alias("labels")).filter(F.size("labels") > 0)
+    each = tagged.select("id", F.explode("tags").alias("t")).select("id", F.col("t.term").alias("term"), F.length("t.trigger").alias("n"), F.col("t.position").alias("at")).join(terms, "term")
+    first = each.groupBy("id", F.col("labels")[0].alias("label")).agg(F.min(F.struct((-F.col("n")).alias("a"), F.col("at").alias("b"), "labels")).alias("m"))
+    related = F.slice("m.labels", 2, 3)
+    note = F.concat("label", F.lit(" is the subject of the question"), F.when(F.size(related) > 0, F.concat(F.lit("; related columns: "), F.array_join(related, ", "))).otherwise(""))
+    return first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m.a", "m.b", note.alias("note"))))["note"].alias("notes"))
+
+
 def labelled_recall(expected: DataFrame, resolved: DataFrame) -> DataFrame:
     """(set, expected, found, extra, recall, precision) over (set, id, item) rows."""
     want, got = expected.distinct().withColumn("w", F.lit(1)), resolved.distinct().withColumn("g", F.lit(1))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from valuegate.functions import similarity as sim
 from valuegate.functions import text as tx
+from valuegate.sources.folders import stored
 
 LEAST, LEAST_FUZZY = 0.55, 0.80
-CANDIDATES, CONTAINED, FUZZY, RESULTS, LINKS = 300, 5000, 20, 5, 4
+CONTAINED, FUZZY, RESULTS, LINKS, DOCUMENTS = 5000, 20, 5, 4, 10
 LEAST_LINK = 0.25
 
 
@@ -34,31 +35,40 @@ def scored(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.round(sim.similarity_of("mention", "value", tx.parts(F.col("value"))), 4))
 
 
+def prefix_scored(mentions: DataFrame, index: DataFrame, least: float = LEAST) -> DataFrame:
+    """(mention, value, ref, score, level) of the values that score enough: level 0 if they match all tokens, 1 if some. Every candidate is scored."""
+    found = scored(prefix_candidates(mentions, index)).filter(F.col("score") >= least)
+    return found.select("mention", "value", "ref", "score", F.when(F.col("matched") == F.col("n_tokens"), 0).otherwise(1).alias("level"))
+
+
+def first_level(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key's rows those of the least level."""
+    return found.withColumn("first", F.min("level").over(Window.partitionBy(*keys))).filter(F.col("level") == F.col("first")).drop("first")
+
+
 def search_prefix(mentions: DataFrame, index: DataFrame, least: float = LEAST) -> DataFrame:
-    """(mention, value, ref, score): values that match all tokens and score enough; for mentions without any, those that match some.
+    """(mention, value, ref, score): values that match all tokens and score enough; for mentions without any, those that match some."""
+    return first_level(prefix_scored(mentions, index, least), ["mention"]).select("mention", "value", "ref", "score")
 
-    Of more than 300 candidates of a mention the ones with most matched tokens, then the shortest, are scored.
-    """
-    order = Window.partitionBy("mention", "all").orderBy(F.desc("matched"), F.length("value"), "value", "ref")
-    found = prefix_candidates(mentions, index).withColumn("all", F.col("matched") == F.col("n_tokens"))
-    found = scored(found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CANDIDATES)).filter(F.col("score") >= least)
-    strict = found.filter("all").select("mention").distinct()
-    return found.filter("all").unionAll(found.filter("not all").join(strict, "mention", "left_anti")).select("mention", "value", "ref", "score")
+
+def _pieces(text: Column, places: Column, size: int) -> Column:
+    return F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
 
 
 def search_contains(mentions: DataFrame, values: DataFrame, most: int = CONTAINED) -> DataFrame:
-    """(mention, value, ref): distinct values that hold the mention, at most ``most`` of a column. Values are blocked by the mention's first three characters."""
+    """(mention, value, ref): distinct values that hold the mention, at most ``most`` of a column. Values are blocked by the mention's first three characters, or all of a shorter one; an empty mention has none."""
     key = lambda c: F.left(F.lower(F.trim(c)), F.lit(3))
     low = F.lower("value")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, 3)))
+    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    grams = F.array_distinct(F.concat(*(_pieces(low, places, n) for n in (1, 2, 3))))
     each = values.select("value", "ref").distinct().withColumn("key", F.explode(grams))
-    met = mentions.select("mention", key(F.col("mention")).alias("key")).distinct().join(each, "key").filter(F.contains(low, F.lower(F.trim("mention"))))
+    met = mentions.select("mention", key(F.col("mention")).alias("key")).filter("key <> ''").distinct().join(each, "key").filter(F.contains(low, F.lower(F.trim("mention"))))
     order = Window.partitionBy("mention", "ref").orderBy("value")
     return met.select("mention", "value", "ref").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
 
 
-def search_fuzzy(mentions: DataFrame, index: DataFrame, least: float = LEAST_FUZZY, most: int = FUZZY) -> DataFrame:
-    """(mention, value, ref, score): values whose whole ratio reaches ``least``.
+def search_fuzzy(mentions: DataFrame, index: DataFrame, least: float = LEAST_FUZZY, most: int | None = FUZZY) -> DataFrame:
+    """(mention, value, ref, score): values whose whole ratio reaches ``least``, the best ``most`` of a mention.
 
     A ratio r needs lengths within a factor of (2 - r) / r and enough common characters; both bounds lose nothing. The lengths
     are the join key, the character counts a filter before scoring.
@@ -72,8 +82,10 @@ def search_fuzzy(mentions: DataFrame, index: DataFrame, least: float = LEAST_FUZ
     shared = F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0), lambda acc, c: acc + F.least(count(a, c), count(b, c)))
     met = met.filter(2 * shared >= least * (F.length(a) + F.length(b)) - 1e-9)
     hits = met.withColumn("score", F.round(sim.ratio_of(a, b), 4)).filter(F.col("score") >= least)
-    order = Window.partitionBy("mention").orderBy(F.desc("score"), "value", "ref")
-    return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("mention", "value", "ref", "score")
+    if most:
+        order = Window.partitionBy("mention").orderBy(F.desc("score"), "value", "ref")
+        hits = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return hits.select("mention", "value", "ref", "score")
 
 
 def rank(found: DataFrame, scope: DataFrame | None = None, most: int = RESULTS) -> DataFrame:
@@ -89,7 +101,10 @@ def rank(found: DataFrame, scope: DataFrame | None = None, most: int = RESULTS)
 
 
 def value_search(mentions: DataFrame, index: DataFrame, tier_b: DataFrame | None = None, scope: DataFrame | None = None) -> DataFrame:
-    """The cascade: prefixes, then columns resolved on demand, then misspellings, each for mentions that nothing was found for."""
+    """The cascade: prefixes, then columns resolved on demand, then misspellings, each for mentions that nothing was found for.
+
+    ``scope`` (mention, ref, position) only orders; ``cascade`` searches within a scope.
+    """
     found = search_prefix(mentions, index)
     left = mentions.join(found.select("mention").distinct(), "mention", "left_anti")
     if tier_b is not None:
@@ -99,6 +114,31 @@ def value_search(mentions: DataFrame, index: DataFrame, tier_b: DataFrame | None
     return rank(found.unionAll(search_fuzzy(left, index)), scope)
 
 
+def cascade(asked: DataFrame, index: DataFrame, scope: DataFrame, tier_b: DataFrame | None = None) -> DataFrame:
+    """(type, mention, value, ref, score, position, scoped): what each mention of a type may be.
+
+    ``scope`` has the columns (type, ref, position) that a type is looked for in. Within them prefixes go first, then columns
+    resolved on demand, then misspellings; only if all of them find nothing there, the same is done in all columns.
+    """
+    first = stored(prefix_scored(asked.select("mention").distinct(), index), "prefix-hits")
+    limited = scope.select("type").distinct().withColumn("limited", F.lit(True))
+    inside = asked.join(first, "mention").join(scope, ["type", "ref"]).select("type", "mention").distinct().withColumn("inside", F.lit(True))
+    some = first.select("mention").distinct().withColumn("some", F.lit(True))
+    state = asked.join(limited, "type", "left").join(inside, ["type", "mention"], "left").join(some, "mention", "left")
+    left = state.filter(F.when(F.col("limited"), F.col("inside").isNull()).otherwise(F.col("some").isNull())).select("mention").distinct()
+    every = first.unionAll(search_fuzzy(left, index, most=None).withColumn("level", F.lit(3)))
+    if tier_b is not None:
+        found = scored(search_contains(left, tier_b)).filter(F.col("score") >= LEAST)
+        every = every.unionAll(found.select("mention", "value", "ref", "score", F.lit(2)))
+    met = asked.join(every, "mention").join(scope, ["type", "ref"], "left")
+    keys = ["type", "mention"]
+    met = met.withColumn("scoped", F.max(F.col("position").isNotNull()).over(Window.partitionBy(*keys)))
+    met = first_level(met.filter(~F.col("scoped") | F.col("position").isNotNull()), keys)
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "value", "ref")
+    met = met.withColumn("place", F.row_number().over(order)).filter((F.col("level") < 3) | (F.col("place") <= FUZZY))
+    return met.select("type", "mention", "value", "ref", "score", "position", "scoped")
+
+
 def _grams(df: DataFrame, keys: list[str], text: Column, name: str) -> DataFrame:
     """(keys, gram, name, norm): the counts of a text's trigrams and their length as a vector."""
     counts = df.select(*keys, F.explode(tx.trigrams(text)).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias(name))
@@ -153,7 +193,7 @@ def nearest_examples(texts: DataFrame, examples: DataFrame, leaked: DataFrame, m
     return hits.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= most).select("id", "example", "score")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, most: int = CANDIDATES) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, most: int = DOCUMENTS) -> DataFrame:
     """(query, doc, score): the best documents by BM25 over (query, token) and (doc, token) rows, tokens repeated as they occur."""
     tf = docs.groupBy("doc", "token").agg(F.count("*").alias("tf"))
     sizes = docs.groupBy("doc").agg(F.count("*").alias("dl"))

@@ -87,6 +87,26 @@ def variant_rank(t: Tables) -> DataFrame:
     return ev.rank(ev.summarise(scored(t)))
 
 
+@query("variant_rank_cost", f"{_ALL}, {_SUMMARY} SELECT variant, accuracy, dollars_per_100, row_number() OVER (ORDER BY accuracy DESC, dollars_per_100, ms_median, variant) AS place FROM summary")
+def variant_rank_cost(t: Tables) -> DataFrame:
+    return ev.rank_by_cost(ev.summarise(scored(t)))
+
+
+@query("attempt_totals", f"{_ALL} SELECT question AS run, count(*) AS calls, sum(prompt_tokens)::bigint AS prompt_tokens, sum(completion_tokens)::bigint AS completion_tokens, sum(prompt_tokens + completion_tokens)::bigint AS tokens, sum(dollars::decimal(28, 8))::double AS dollars FROM costed GROUP BY question")
+def attempt_totals(t: Tables) -> DataFrame:
+    return ev.totals(scored(t).withColumnRenamed("question", "run"))
+
+
+@query("benchmark_report", f"{_ALL}, {_SUMMARY} SELECT variant, asked, executed, accuracy, tokens FROM summary")
+def benchmark_report(t: Tables) -> DataFrame:
+    """The summary as JSON lines, written and read again."""
+    from valuegate.sources.folders import new_folder
+
+    folder, rows = new_folder(t.spark, "report"), ev.summarise(scored(t))
+    rows.coalesce(1).write.json(folder)
+    return t.spark.read.schema(rows.schema).json(folder).select("variant", "asked", "executed", "accuracy", "tokens")
+
+
 @query("outcome_matrix", f"WITH results AS ({RESULTS}) SELECT question, " + ", ".join(f"bool_or(success) FILTER (variant = '{v}') AS {v}" for v in VARIANTS) + " FROM results GROUP BY question")
 def outcome_matrix(t: Tables) -> DataFrame:
     return ev.outcomes(results(t), VARIANTS)

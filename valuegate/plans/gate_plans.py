@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from valuegate.operators import gate, sqllog
 from valuegate.operators import index as ix
+from valuegate.operators import journal as jr
 from valuegate.plans import profiling as pr
 from valuegate.plans.registry import Tables, query
 
@@ -77,6 +78,30 @@ def gate_sweep(t: Tables) -> DataFrame:
     return known(t, t.sql(REPLIES))
 
 
+_LINES = f"""SELECT 'send' AS context, v.allowed, array_to_string(v.refused, '|') AS refused, v.n_tokens::bigint AS token_count, v.fingerprint, length(m.text)::bigint AS length, false AS bypassed FROM verdict v JOIN messages m USING (id) WHERE id % 10 <> 0
+  UNION ALL SELECT 'baseline', true, '', 0, '', length(text), true FROM messages WHERE id % 10 = 0"""
+
+
+@query("gate_journal", f"{_BASE}, {_over(_REFUSED, 'messages')}, {_over(_VERDICT, 'messages')} {_LINES}")
+def gate_journal(t: Tables) -> DataFrame:
+    """Verdicts and deliberate bypasses appended to a journal and read again."""
+    from valuegate.sources.folders import new_folder
+
+    folder, now = new_folder(t.spark, "journal"), F.current_timestamp()
+    texts, past = (messages(t).filter(f"id % 10 {op} 0") for op in ("<>", "="))
+    jr.append(jr.verdict_lines(verdict(t, texts), texts, "send", now), folder)
+    jr.append(jr.bypass_lines(past, "baseline", now), folder)
+    lines = jr.scan(t.spark, folder)
+    return lines.select("context", "allowed", F.array_join("refused_tokens", "|").alias("refused"), "token_count", "fingerprint", "length", "bypassed")
+
+
+@query("gate_sweep_journal", f"WITH {pr.EXACT_SQL}, {pr.ALLOWED_SQL}, replies AS ({REPLIES}), toks AS ({_over(_WS, 'replies')}), {_KNOWN} SELECT 'answer' AS context, false AS allowed, (SELECT string_agg(value, '|' ORDER BY -size, value) FROM known k WHERE k.id = r.id) AS refused, len({_CUT})::bigint AS token_count, substr(sha256(text), 1, 16) AS fingerprint FROM replies r WHERE id IN (SELECT id FROM known)")
+def gate_sweep_journal(t: Tables) -> DataFrame:
+    replies = t.sql(REPLIES)
+    lines = jr.sweep_lines(known(t, replies), replies, "answer", F.current_timestamp())
+    return lines.select("context", "allowed", F.array_join("refused_tokens", "|").alias("refused"), "token_count", "fingerprint")
+
+
 _RULE = f"""ruled AS (SELECT *, CASE WHEN origin = 'authored' AND text = '{CONSTANT}' THEN '{gate.RULES["authored"]}'
   WHEN origin = 'template' AND regexp_matches(text, '^Use t\\d+ with \\d+ rows$') THEN '{gate.RULES["template"]}'
   WHEN origin = 'schema' AND text LIKE '%o_orderkey%' THEN '{gate.RULES["schema"]}'

@@ -55,6 +55,9 @@ def values_sql(name: str, tier: str, limit: int) -> str:
 
 
 VALUES_SQL = values_sql("value_index", "A", 5000)
+#: A strict limit on vocabularies, so that the given tables have columns that are resolved on demand.
+STRICT = 50
+TIER_B_SQL = values_sql("tier_b", "B", STRICT)
 EXACT_SQL = f"{VALUES_SQL}, exact AS (SELECT DISTINCT lower(regexp_replace(trim(value), '\\s+', ' ', 'g')) AS value FROM value_index)"
 _NORMAL_WORDS = "unnest(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 CONCEPTS_SQL = "concepts AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(phrase), '[a-z0-9]+')) AS word FROM (SELECT replace(term, '_', ' ') AS phrase FROM glossary UNION ALL SELECT unnest(synonyms) FROM glossary)) WHERE length(word) > 1)"
@@ -77,6 +80,11 @@ def index(t: Tables) -> DataFrame:
     return t.once("value-index", lambda: ix.build(t.all(), tiers(t)))
 
 
+def tier_b(t: Tables) -> DataFrame:
+    """The distinct values of columns that are resolved on demand, under the strict limit."""
+    return t.once("tier-b", lambda: ix.build(t.all(), tiers(t, STRICT), "B"))
+
+
 def tiers(t: Tables, limit: int = pf.VOCABULARY_LIMIT) -> DataFrame:
     return t.once(f"column-tiers-{limit}", lambda: pf.column_tiers(t.all(), limit))
 
@@ -90,15 +98,6 @@ def column_inventory(t: Tables) -> DataFrame:
     return columns(t)
 
 
-@query(
-    "schema_summary",
-    f"WITH {INVENTORY_SQL}, counts AS (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLES) + ") SELECT table_name, n_rows, count(*) AS n_columns FROM counts JOIN inventory USING (table_name) GROUP BY ALL",
-)
-def schema_summary(t: Tables) -> DataFrame:
-    sizes = columns(t).groupBy("table_name").agg(F.count("*").alias("n_columns"))
-    return rel.row_counts(t.all()).join(sizes, "table_name").select("table_name", "n_rows", "n_columns")
-
-
 @query("ingest_report", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in STAR))
 def ingest_report(t: Tables) -> DataFrame:
     from valuegate.sources.ingest import ingest
@@ -126,6 +125,16 @@ def fk_inference(t: Tables) -> DataFrame:
     return _links(t)
 
 
+@query(
+    "schema_summary",
+    f"WITH {FKS_SQL}, counts AS (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLES) + ") SELECT table_name, n_rows, count(*) AS n_columns, (SELECT count(*) FROM links l WHERE l.table_name = counts.table_name) AS n_links FROM counts JOIN inventory USING (table_name) GROUP BY ALL",
+)
+def schema_summary(t: Tables) -> DataFrame:
+    sizes = columns(t).groupBy("table_name").agg(F.count("*").alias("n_columns"))
+    links = _links(t).groupBy("table_name").agg(F.count("*").alias("n_links"))
+    return rel.row_counts(t.all()).join(sizes, "table_name").join(links, "table_name", "left").select("table_name", "n_rows", "n_columns", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 @query("key_columns", f"WITH {FKS_SQL} SELECT table_name, key_column AS column_name FROM found WHERE key_column IS NOT NULL UNION SELECT table_name, column_name FROM links UNION SELECT ref_table, ref_column FROM links")
 def key_columns(t: Tables) -> DataFrame:
     return pf.key_columns(key_inference(t), _links(t))
@@ -136,9 +145,9 @@ def column_tiers(t: Tables) -> DataFrame:
     return pf.column_tiers(t.all())
 
 
-@query("column_tiers_strict", _tier_sql(TABLES, 50))
+@query("column_tiers_strict", _tier_sql(TABLES, STRICT))
 def column_tiers_strict(t: Tables) -> DataFrame:
-    return pf.column_tiers(t.all(), 50)
+    return tiers(t, STRICT)
 
 
 @query("value_index_build", f"WITH {VALUES_SQL} SELECT * FROM value_index")
@@ -165,6 +174,25 @@ def value_tokens(t: Tables) -> DataFrame:
     return ix.value_tokens(index(t))
 
 
+_STRICT_TOKENS = "SELECT DISTINCT unnest(regexp_extract_all(lower(value), '[a-zà-ÿ0-9]{3,}')) AS token FROM value_index WHERE len(regexp_extract_all(value, '[A-Za-zÀ-ÿ]+')) <= 3"
+_WORDS_B = "SELECT DISTINCT unnest(regexp_extract_all(lower(value), '[a-zà-ÿ0-9]{3,}')) AS word FROM tier_b"
+
+
+@query("tier_b_words", f"WITH {TIER_B_SQL} {_WORDS_B}")
+def tier_b_words(t: Tables) -> DataFrame:
+    return ix.words(tier_b(t))
+
+
+@query("value_tokens_strict", f"WITH {values_sql('value_index', 'A', STRICT)}, {TIER_B_SQL} SELECT token FROM ({_STRICT_TOKENS}) UNION SELECT word FROM ({_WORDS_B})")
+def value_tokens_strict(t: Tables) -> DataFrame:
+    return ix.value_tokens(ix.build(t.all(), tiers(t, STRICT)), tier_b_words(t))
+
+
+@query("index_meta", f"WITH {VALUES_SQL}, t AS ({_tier_sql(TABLES, 5000)}) SELECT t.table_name, t.column_name, tier, n_distinct, reason, count(value) AS n_indexed FROM t LEFT JOIN value_index v ON v.ref = t.table_name || '.' || t.column_name GROUP BY ALL")
+def index_meta(t: Tables) -> DataFrame:
+    return ix.report(tiers(t), index(t))
+
+
 @query("longest_value_words", f"WITH {EXACT_SQL} SELECT least(greatest(max(len(string_split(value, ' '))), 6), 32)::int AS n_words FROM exact")
 def longest_value_words(t: Tables) -> DataFrame:
     return ix.longest_value_words(ix.exact_values(index(t)))
@@ -215,9 +243,14 @@ def names_a_column(t: Tables) -> DataFrame:
     return pf.names_a_column(t.sql(MENTIONS), head_words(t))
 
 
-@query("glossary_integrity", f"WITH {INVENTORY_SQL}, {GLOSSARY_SQL} SELECT term, 'no column declared' AS problem FROM glossary WHERE len(columns) = 0 UNION ALL SELECT term, ref || ': unknown column' FROM (SELECT term, unnest(columns) AS ref FROM glossary) WHERE ref NOT IN (SELECT table_name || '.' || column_name FROM inventory)")
+_NAMED_COLUMNS = sorted({c for _, _, cs, _ in GLOSSARY for c in cs} - {"part.p_colour"})
+
+
+@query("glossary_integrity", f"WITH {INVENTORY_SQL}, {GLOSSARY_SQL} SELECT term, 'no column declared' AS problem FROM glossary WHERE len(columns) = 0 UNION ALL SELECT term, ref || ': unknown column' FROM (SELECT term, unnest(columns) AS ref FROM glossary) WHERE ref NOT IN (SELECT table_name || '.' || column_name FROM inventory) UNION ALL SELECT term, ref || ': no value' FROM (SELECT term, unnest(columns) AS ref FROM glossary) JOIN (" + " UNION ALL ".join(f"SELECT '{r}' AS ref, count({r.split('.')[1]}) FILTER ({r.split('.')[1]} IS NOT NULL) AS n FROM {r.split('.')[0]}" for r in _NAMED_COLUMNS) + ") USING (ref) WHERE n = 0")
 def glossary_integrity(t: Tables) -> DataFrame:
-    return dic.integrity(glossary(t), columns(t))
+    used = {r["ref"] for r in glossary(t).select(F.explode("columns").alias("ref")).distinct().collect()}  # the dictionary's references
+    known = {f"{name}.{c}" for name, frame in t.all().items() for c in frame.columns}
+    return dic.integrity(glossary(t), columns(t), dic.filled({r: t(r.split(".")[0]) for r in sorted(used & known)}))
 
 
 _CARDS_SQL = f"""{INVENTORY_SQL}, {GLOSSARY_SQL}, {VALUES_SQL}, phrases AS (SELECT term, replace(term, '_', ' ') AS phrase FROM glossary UNION SELECT term, unnest(synonyms) FROM glossary),
@@ -248,9 +281,11 @@ def allowed(t: Tables) -> DataFrame:
     return dic.allowlist({"schema": dic.schema_words(columns(t)), "glossary": dic.concept_words(glossary(t)), "grammar": grammar(t)})
 
 
-@query("allowlist_build", f"WITH {ALLOWED_SQL} SELECT * FROM allowed")
+@query("allowlist_build", f"WITH {ALLOWED_SQL}, {VALUES_SQL}, {TOKENS_SQL} SELECT word, sources, word IN (SELECT token FROM value_tokens) AS stored FROM allowed")
 def allowlist_build(t: Tables) -> DataFrame:
-    return allowed(t)
+    """Every allowed word, its sources, and whether stored values hold it, which the gate then lets pass."""
+    tokens = ix.value_tokens(index(t)).select(F.col("token").alias("word"), F.lit(True).alias("stored"))
+    return allowed(t).join(tokens, "word", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
 
 
 @query("vocabulary_stats", f"WITH {ALLOWED_SQL}, {VALUES_SQL}, {TOKENS_SQL} SELECT 'columns' AS measure, count(*) AS n FROM inventory UNION ALL SELECT 'terms', count(*) FROM glossary UNION ALL SELECT 'allowed words', count(*) FROM allowed UNION ALL SELECT 'values', count(*) FROM value_index UNION ALL SELECT 'value tokens', count(*) FROM value_tokens")
@@ -268,6 +303,12 @@ def table_scope(t: Tables) -> DataFrame:
     return pf.table_scope(t.sql(_NAMED), rel.row_counts(t.all(STAR)), 2)
 
 
+@query("table_scope_hub", f"WITH named AS (SELECT * FROM ({_NAMED}) WHERE doc % 4 <> 0 UNION SELECT o_orderkey, 'nowhere' FROM orders WHERE o_orderkey % 4 = 0), known AS (SELECT * FROM named WHERE table_name IN ({', '.join(map(_quote, STAR))}) UNION SELECT DISTINCT doc, 'part' FROM named), counts AS (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in STAR) + ") SELECT doc, table_name FROM known JOIN counts USING (table_name) QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n_rows, table_name) <= 2")
+def table_scope_hub(t: Tables) -> DataFrame:
+    named = t.sql(_NAMED).filter("doc % 4 <> 0").unionAll(t.sql("SELECT o_orderkey, 'nowhere' FROM orders WHERE o_orderkey % 4 = 0"))
+    return pf.table_scope(named, rel.row_counts(t.all(STAR)), 2, hub="part")
+
+
 @query(
     "column_scope",
     f"""WITH {FKS_SQL}, keyed AS (SELECT table_name, key_column AS column_name FROM found WHERE key_column IS NOT NULL UNION SELECT table_name, column_name FROM links UNION SELECT ref_table, ref_column FROM links),

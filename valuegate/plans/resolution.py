@@ -21,7 +21,7 @@ def resolved(t: Tables) -> DataFrame:
     entities = t.sql(ENTITIES)
     kinds = stored(tp.mention_kinds(t, entities.select("mention", "type").distinct()).distinct(), "kinds")
     scope = t.spark.createDataFrame([("segment", "customer.c_mktsegment", 0), ("product", "part.p_name", 0), ("product", "part.p_type", 1)], "type string, ref string, position int")
-    return rs.resolve(entities.join(kinds, "mention"), pr.index(t), stored(pr.cards(t), "cards"), stored(pr.head_words(t), "heads"), scope, tp._generic())
+    return rs.resolve(entities.join(kinds, "mention"), pr.index(t), stored(pr.cards(t), "cards"), stored(pr.head_words(t), "heads"), scope, tp._generic(), pr.tier_b(t))
 
 
 @query("entity_resolution")

@@ -39,7 +39,15 @@ def search_fuzzy(t: Tables) -> DataFrame:
 
 @query("value_search")
 def value_search(t: Tables) -> DataFrame:
-    return se.value_search(mentions(t), pr.index(t))
+    return se.value_search(mentions(t), pr.index(t), pr.tier_b(t))
+
+
+_PIECES = "SELECT DISTINCT mention FROM (SELECT substr(p_name, 2, 6) AS mention FROM part UNION ALL SELECT upper(substr(p_name, 4)) FROM part UNION ALL SELECT c_mktsegment FROM customer) m"
+
+
+@query("search_on_demand", f"WITH {pr.TIER_B_SQL}, m AS ({_PIECES}) SELECT DISTINCT mention, value, ref FROM m, tier_b WHERE contains(lower(value), lower(trim(mention)))")
+def search_on_demand(t: Tables) -> DataFrame:
+    return se.search_contains(t.sql(_PIECES), pr.tier_b(t))
 
 
 _FOUND = "SELECT DISTINCT p_type AS mention, p_name AS value, concat('part.c', p_size % 7) AS ref, round((p_size % 10) / 10.0, 1) AS score FROM part"

@@ -170,6 +170,11 @@ def entities_flatten(t: Tables) -> DataFrame:
     return tg.flatten_entities(entities(t))
 
 
+@query("entities_fallback", f"WITH {_SINGLE} SELECT id, term AS type, trigger AS entity, 0.5::double AS score, -1 AS start, -1 AS \"end\" FROM tags")
+def entities_fallback(t: Tables) -> DataFrame:
+    return tg.fallback_entities(t.sql(MESSAGES), pr.glossary(t))
+
+
 @query("span_dedup", "WITH m AS (SELECT o_orderkey AS id, c_mktsegment AS s, o_orderpriority AS p FROM orders JOIN customer ON o_custkey = c_custkey) SELECT id, s || ':segment|' || p || ':priority' AS spans FROM m")
 def span_dedup(t: Tables) -> DataFrame:
     kept = tg.dedup_spans(tg.flatten_entities(entities(t)))
@@ -228,6 +233,20 @@ def refusals(t: Tables) -> DataFrame:
     return mk.refusals(t.sql(DOUBTS))
 
 
+_OFFERS = "SELECT id, place, mention, value, score, kind, concat('orders.o_orderpriority = ', mention) AS one, concat('part.p_name = x', id % 5) AS two FROM doubts"
+
+
+@query("refusal_suggestions", f"WITH doubts AS ({DOUBTS}) SELECT id, mention, CASE WHEN value IS NOT NULL AND score >= 0.65 THEN value || '|' WHEN value IS NULL OR value <> mention OR score < 0.65 THEN '' END || CASE WHEN value IS NOT NULL AND score >= 0.65 AND value = mention THEN '' ELSE mention || '|' END || 'x' || (id % 5) AS offered FROM doubts WHERE kind = 'value' AND (value IS NULL OR score < 0.75)")
+def refusal_suggestions(t: Tables) -> DataFrame:
+    rows = t.sql(_OFFERS, doubts=t.sql(DOUBTS)).withColumn("alternatives", F.array("one", "two", F.lit("no value")))
+    return mk.suggestions(rows).withColumn("offered", F.array_join("offered", "|"))
+
+
+@query("fn_preview", "SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 90) AS preview FROM documents")
+def fn_preview(t: Tables) -> DataFrame:
+    return t("documents").select("doc_id", tx.preview(F.col("text")).alias("preview"))
+
+
 @query("confidence_split", f"WITH d AS ({DOUBTS}) SELECT CASE WHEN kind <> 'value' THEN 'not a value' WHEN value IS NULL THEN 'unresolved' WHEN score >= 0.75 THEN 'confident' ELSE 'needs confirmation' END AS status, count(*) AS n FROM d GROUP BY 1")
 def confidence_split(t: Tables) -> DataFrame:
     return mk.confidence(t.sql(DOUBTS)).groupBy("status").agg(F.count("*").alias("n"))
@@ -259,9 +278,24 @@ def drawn(t: Tables) -> dict[str, str]:
     return {r["name"]: r["label"] for r in both.collect()}
 
 
-@query("pseudonym_map", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _DRAWN.items()) + ") v(name, label) WHERE (SELECT count(*) FROM nation) > 0")
+_LABELS_SQL = lambda column, letter: f"SELECT name, '{letter}' || row_number() OVER (ORDER BY md5('{_SEED}' || name)) AS label FROM (SELECT DISTINCT {column} AS name FROM inventory)"
+
+
+@query("pseudonym_map", f"WITH {pr.INVENTORY_SQL} {_LABELS_SQL('table_name', 't')} UNION ALL {_LABELS_SQL('column_name', 'c')}")
 def pseudonym_map(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(drawn(t).items()), "name string, label string")
+    one, two = every_label(t)
+    return one.unionAll(two)
+
+
+def every_label(t: Tables) -> tuple[DataFrame, DataFrame]:
+    columns = pr.columns(t)
+    return tuple(mk.labels(columns.select(F.col(c).alias("name")), letter, _SEED) for c, letter in (("table_name", "t"), ("column_name", "c")))
+
+
+@query("pseudonym_relations", f"WITH {pr.FKS_SQL}, tl AS ({_LABELS_SQL('table_name', 't')}), cl AS ({_LABELS_SQL('column_name', 'c')}) SELECT a.label AS table_label, b.label AS column_label, c.label AS ref_table_label, d.label AS ref_column_label FROM links JOIN tl a ON a.name = table_name JOIN cl b ON b.name = column_name JOIN tl c ON c.name = ref_table JOIN cl d ON d.name = ref_column WHERE table_name <> 'lineitem' AND ref_table <> 'lineitem'")
+def pseudonym_relations(t: Tables) -> DataFrame:
+    tables, columns = every_label(t)
+    return mk.relations(pr.fk_inference(t), tables.filter("name <> 'lineitem'"), columns)
 
 
 @query("pseudonymise_table", f"SELECT n_nationkey AS {_DRAWN['n_nationkey']}, n_name AS {_DRAWN['n_name']}, n_regionkey AS {_DRAWN['n_regionkey']} FROM nation")
@@ -294,6 +328,13 @@ def rewrite_labels(t: Tables) -> DataFrame:
     return mk.rewrite(texts, tg.tag(texts, glossary), glossary, {"customer.c_mktsegment": "t1.c1", "region.r_name": "t2.c5"})
 
 
+@query("rewrite_notes", f"WITH {_SINGLE}, l AS (SELECT id, place, length(trigger) AS n, CASE term WHEN 'segment' THEN 't1.c1 is the subject of the question' WHEN 'world_region' THEN 't2.c5 is the subject of the question' WHEN 'part' THEN 't3.c7 is the subject of the question; related columns: t3.c8' END AS note FROM tags) SELECT id, string_agg(note, '|' ORDER BY n DESC, place) AS notes FROM l WHERE note IS NOT NULL GROUP BY id")
+def rewrite_notes(t: Tables) -> DataFrame:
+    labels = {"customer.c_mktsegment": "t1.c1", "region.r_name": "t2.c5", "part.p_name": "t3.c7", "part.p_type": "t3.c8"}
+    glossary = pr.glossary(t)
+    return mk.rewrite_notes(tg.tag(t.sql(MESSAGES), glossary), glossary, labels).withColumn("notes", F.array_join("notes", "|"))
+
+
 _EXPECTED = "SELECT concat('set', o_orderkey % 3) AS set, o_orderkey AS id, o_orderpriority AS item FROM orders UNION ALL SELECT concat('set', o_orderkey % 3), o_orderkey, o_orderstatus FROM orders"
 _RESOLVED = "SELECT concat('set', o_orderkey % 3) AS set, o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN '9-NONE' ELSE o_orderpriority END AS item FROM orders WHERE o_orderkey % 4 <> 0"
 
