@@ -48,8 +48,6 @@ def located(text: Column, pattern: str, kind: str) -> Column:
     array grows match by match.
     """
     none = F.array().cast(f"array<{SPAN}>")
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["p"])
         end = begin + F.length(pair["m"])
@@ -62,9 +60,15 @@ def located(text: Column, pattern: str, kind: str) -> Column:
             return _once(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
 
         start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
-        return F.when(F.size(cut) > 0, F.aggregate(_numbers(cut), start, group, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+        return F.aggregate(_numbers(cut), start, group, lambda acc: F.flatten(acc["out"]))
+
+    def cut(matches: Column) -> Column:
+        # Texts without a match, nearly all, are not cut at all.
+        before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        pairs = F.zip_with(before, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+        return F.when(F.size(matches) > 0, _once(pairs, placed)).otherwise(none)
 
-    return _once(F.filter(pairs, lambda p: p["m"].isNotNull()), placed)
+    return _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
 
 
 def _numbers(items: Column) -> Column:
