@@ -1,11 +1,11 @@
 """Near-duplicate documents by BagMinHash: weighted-Jaccard signatures of shingle multisets, bands, exact verification.
 
 A document is the multiset of its five-word shingles. Every shingle carries Poisson processes over its discretised
-weight: one for the levels below 1, one each for [1, 2), [2, 4), [4, 8) and so on, at a rate of the interval's length.
-A point has a time, a signature component and a level, all drawn from the shingle's hash; it counts if the level is below the
-shingle's weight in the document. A component keeps its earliest point, so two documents agree in a component with
-probability of exactly their weighted Jaccard similarity. Points come in order of time and a process stops once it is
-later than all components of its document.
+weight: one for the levels below 1, one each for [1, 2), [2, 4), [4, 8) and so on, at a rate of the interval's length,
+split in halves down to single levels as far as its points matter. A point has a time and a signature component, drawn
+from hashes of shingle and interval; it counts if its level is below the shingle's weight in the document. A component
+keeps its earliest point, so two documents agree in a component with probability of exactly their weighted Jaccard
+similarity. A process stops once it is later than all components of its document.
 
 Documents that agree in a band are candidates. Texts with equal words are one class from the start, told apart by over 100
 bits of hashes. Each bucket's members are first verified against its least one; buckets that then still hold several
@@ -49,8 +49,17 @@ def multisets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return text[first], hashes[first], np.diff(np.append(first, len(hashes))), words
 
 
+def _waits(seed: np.ndarray) -> np.ndarray:
+    """Exponential waiting times of rate 1."""
+    return -np.log1p(-((seed >> np.uint64(11)).astype(np.float64) * 2.0**-53))
+
+
 def signatures(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_texts: int, size: int = BANDS * ROWS) -> np.ndarray:
-    """BagMinHash signatures of weighted sets; weights are positive whole numbers. A text without elements has infinities."""
+    """BagMinHash signatures of weighted sets; weights are positive whole numbers. A text without elements has infinities.
+
+    A process over more than one level is known by its first point alone. It is split in halves: one has that point, the
+    other draws a later one. So a half that lies above the weight, or whose first point is too late, is never looked into.
+    """
     sig = np.full((n_texts, size), np.inf)
     flat = sig.reshape(-1)
     # The processes of each element: level intervals [0, 1), [1, 2), [2, 4) ... that begin below its weight.
@@ -58,22 +67,28 @@ def signatures(text: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_text
     element = np.repeat(np.arange(len(hashes)), parts)
     interval = np.arange(len(element)) - np.repeat(np.cumsum(parts) - parts, parts)
     low = np.where(interval > 0, 2.0 ** (interval - 1), 0.0)
-    rate = np.where(interval > 0, low, 1.0)
-    seed = mix(hashes[element] + interval.astype(np.uint64) * _ODD)
+    wide = np.where(interval > 0, low, 1.0)
+    seed = mix(mix(hashes[element] + interval.astype(np.uint64) * _ODD) + _ODD)
     doc, weight = text[element], weights[element].astype(np.float64)
-    time = np.zeros(len(element))
-    unit = 2.0**-53
+    time = _waits(seed) / wide
     while len(seed):
-        seed = mix(seed + _ODD)
-        time = time - np.log1p(-((seed >> np.uint64(11)).astype(np.float64) * unit)) / rate
-        alive = time < sig.max(axis=1)[doc]
-        if not alive.all():
-            seed, time, doc, weight, low, rate = (v[alive] for v in (seed, time, doc, weight, low, rate))
-        other = mix(seed ^ _ODD)
-        level = low + rate * ((other >> np.uint64(40)).astype(np.float64) * 2.0**-24)
-        counts = (low == 0) | (np.floor(level) < weight)
-        at = doc[counts] * size + ((other[counts] & np.uint64(0xFFFFFFFF)) % np.uint64(size)).astype(np.int64)
-        np.minimum.at(flat, at, time[counts])
+        alive = (time < sig.max(axis=1)[doc]) & (low < weight)
+        seed, time, doc, weight, low, wide = (v[alive] for v in (seed, time, doc, weight, low, wide))
+        single, several = np.flatnonzero(wide == 1), np.flatnonzero(wide > 1)
+        component = (mix(seed[single] ^ _ODD) % np.uint64(size)).astype(np.int64)
+        np.minimum.at(flat, doc[single] * size + component, time[single])
+        # A process of one level goes on to its next point; a wider one becomes its halves.
+        following = mix(seed[single] + _ODD)
+        half = wide[several] / 2
+        upper = (mix(seed[several] ^ _ODD) & np.uint64(1)).astype(bool)
+        first, second = mix(seed[several] + _ODD), mix(seed[several] + _ODD + _ODD)
+        later = time[several] + _waits(second) / half
+        rest = np.concatenate((single, several, several))
+        doc, weight = doc[rest], weight[rest]
+        time = np.concatenate((time[single] + _waits(following), time[several], later))
+        low = np.concatenate((low[single], low[several] + half * upper, low[several] + half * ~upper))
+        wide = np.concatenate((wide[single], half, half))
+        seed = np.concatenate((following, first, second))
     return sig
 
 
