@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from valuegate.functions import similarity as sim
 from valuegate.operators import resolve, search
+from valuegate.plans.registry import QUERIES
 
 GENERIC = ["the", "of", "and", "per"]
 INDEX = [
@@ -159,6 +160,31 @@ def test_nearest_examples(spark):
         assert sorted(got.get(i, [])) == sorted((-round(sim.token_set(text, e), 4), e) for e in usable)[:3]
 
 
+def test_nearest_examples_in_several_units(spark, monkeypatch):
+    monkeypatch.setattr(search, "EXAMPLES", 7)
+    monkeypatch.setattr(search, "TEXTS", 11)
+    test_nearest_examples(spark)
+
+
+def test_fuzzy_search(spark):
+    random.seed(8)
+    made = lambda: "".join(random.choice("aab0 é") for _ in range(random.randint(0, 12)))
+    index = [(made(), random.choice(["x.a", "x.b"])) for _ in range(300)] + [("Customer#%09d" % i, "x.c") for i in range(40)] + [(None, "x.a"), ("aab" * 40, "x.a")]
+    mentions = [made() for _ in range(60)] + ["customer#000000017", "Custmer#00000001", "aab" * 39, "", None]
+    got = {}
+    for r in search.search_fuzzy(spark.createDataFrame([(m,) for m in mentions], "mention string"), spark.createDataFrame(index, "value string, ref string")).collect():
+        got.setdefault(r["mention"], set()).add((-r["score"], r["value"], r["ref"]))
+    for m in set(filter(None, mentions)):
+        near = sorted((-round(sim.ratio(m.lower(), v.lower()), 4), v, r) for v, r in set(index) if v)
+        assert got.pop(m, set()) == set([h for h in near if h[0] <= -0.8][:20]), m
+    assert not got
+
+
+def test_layout_by_a_join_key(spark, sf_dir):
+    plan = QUERIES["join_key_layout"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "hashpartitioning(o_orderkey" not in plan and "hashpartitioning(l_orderkey" not in plan
+
+
 def test_fingerprints_carry(spark):
     from valuegate.operators import evaluate
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from valuegate.sources.folders import stored
 LEAST, LEAST_FUZZY = 0.55, 0.80
 CONTAINED, FUZZY, RESULTS, LINKS, DOCUMENTS = 5000, 20, 5, 4, 10
 LEAST_LINK = 0.25
+#: Texts and worked examples that meet in one unit.
+TEXTS, EXAMPLES = 4096, 512
 
 
 def _tokens(text: Column) -> Column:
@@ -67,21 +73,50 @@ def search_contains(mentions: DataFrame, values: DataFrame, most: int = CONTAINE
     return met.select("mention", "value", "ref").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
 
 
+def _letters(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+
+
+def _times(text: Column, c: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, c, F.lit("")))
+
+
+def _numbered(text: Column) -> Column:
+    """The characters of a text, those that repeat told apart by a number: common characters of two texts are then common elements of two sets."""
+    each = lambda c: F.transform(F.sequence(F.lit(1), _times(text, c)), lambda k: F.concat(c, k.cast("string")))
+    return F.flatten(F.transform(_letters(text), each))
+
+
+def _rarest_first(texts: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(low, keys): of each text its numbered characters, the rarest first."""
+    each = texts.select("low", F.explode(_numbered(F.col("low"))).alias("key")).join(rarity, "key", "left")
+    return each.groupBy("low").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("keys"))
+
+
 def search_fuzzy(mentions: DataFrame, index: DataFrame, least: float = LEAST_FUZZY, most: int | None = FUZZY) -> DataFrame:
     """(mention, value, ref, score): values whose whole ratio reaches ``least``, the best ``most`` of a mention.
 
-    A ratio r needs lengths within a factor of (2 - r) / r and enough common characters; both bounds lose nothing. The lengths
-    are the join key, the character counts a filter before scoring.
+    A ratio r needs lengths within a factor of (2 - r) / r and r / 2 of all characters in common. Texts with t characters in
+    common share one among the rarest of each, if all but t - 1 are taken: length and such a character are the join key, and
+    frequent characters are hardly ever one. The bounds lose nothing; the common characters are counted before scoring.
     """
-    a, b = F.lower("mention"), F.lower("value")
-    low, high = F.ceil(F.length(a) * (least / (2 - least)) - 1e-9), F.floor(F.length(a) * ((2 - least) / least) + 1e-9)
-    asked = mentions.select("mention").distinct().filter(F.length("mention") > 0).withColumn("size", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
-    met = asked.join(index.select("value", "ref").distinct().withColumn("size", F.length("value").cast("long")), "size")
-    letters = F.array_distinct(F.split(a, ""))
-    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
-    shared = F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0), lambda acc, c: acc + F.least(count(a, c), count(b, c)))
-    met = met.filter(2 * shared >= least * (F.length(a) + F.length(b)) - 1e-9)
-    hits = met.withColumn("score", F.round(sim.ratio_of(a, b), 4)).filter(F.col("score") >= least)
+    size, low = F.length("low"), F.col("low")
+    shortest = lambda n: F.ceil(n * (least / (2 - least)) - 1e-9)
+    common = lambda n, m: F.ceil((n + m) * (least / 2) - 1e-9)
+    values = index.select("value", "ref", F.lower("value").alias("low")).filter("low <> ''").distinct()
+    texts = values.select("low").distinct()
+    rarity = texts.select(F.explode(_numbered(low)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    rarity = stored(rarity, "rarity")
+    theirs = _rarest_first(texts, rarity).withColumn("first", F.slice("keys.key", F.lit(1), (size - common(shortest(size), size) + 1).cast("int")))
+    theirs = theirs.select(F.col("low").alias("other"), size.cast("long").alias("size"), F.explode("first").alias("key"))
+    named = mentions.select("mention", F.lower("mention").alias("low")).filter("low <> ''").distinct()
+    sizes = F.sequence(F.greatest(shortest(size), F.lit(1)), F.floor(size * ((2 - least) / least) + 1e-9))
+    ours = _rarest_first(named.select("low").distinct(), rarity).withColumn("size", F.explode(sizes))
+    ours = ours.select("low", "size", F.explode(F.slice("keys.key", F.lit(1), (size - common(size, F.col("size")) + 1).cast("int"))).alias("key"))
+    shared = F.aggregate(_letters(low), F.lit(0), lambda acc, c: acc + F.least(_times(low, c), _times(F.col("other"), c)))
+    met = ours.join(theirs, ["size", "key"]).select("low", "other").distinct().filter(2 * shared >= least * (size + F.length("other")) - 1e-9)
+    near = met.withColumn("score", F.round(sim.ratio_of("low", "other"), 4)).filter(F.col("score") >= least)
+    hits = near.join(named, "low").join(values.withColumnRenamed("low", "other"), "other")
     if most:
         order = Window.partitionBy("mention").orderBy(F.desc("score"), "value", "ref")
         hits = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
@@ -179,16 +214,42 @@ def link_columns(mentions: DataFrame, cards: DataFrame, heads: DataFrame, most:
     return pairs.select("mention", "ref", final.alias("score")).filter(F.col("score") >= LEAST_LINK).withColumn("p", F.row_number().over(order)).filter(F.col("p") <= most).drop("p")
 
 
+def _nearest(most: int):
+    """Of each text of a unit the best of its examples that share a word with it."""
+
+    def run(texts: pd.DataFrame, examples: pd.DataFrame) -> pd.DataFrame:
+        plain = lambda text: " ".join(text.split()).lower()
+        known = [(e, plain(e)) for e in examples["example"]]
+        holders = defaultdict(list)
+        for i, (example, _) in enumerate(known):
+            for word in set(example.split()):
+                holders[word].append(i)
+        rows = []
+        for id_, text in zip(texts["id"], texts["text"], strict=True):
+            own = plain(text)
+            met = {i for word in set(text.split()) for i in holders.get(word, ())}
+            scores = ((-round(sim.token_set(text, known[i][0]), 4), known[i][0]) for i in met if known[i][1] != own)
+            rows += [(id_, example, -score) for score, example in heapq.nsmallest(most, scores)]
+        return pd.DataFrame(rows, columns=["id", "example", "score"])
+
+    return run
+
+
 def nearest_examples(texts: DataFrame, examples: DataFrame, leaked: DataFrame, most: int = 3) -> DataFrame:
     """(id, example, score): the nearest examples by token-set ratio, never the text itself, never one that holds a stored value.
 
-    Texts and examples meet on shared words, the join key; pairs without one would score lowest.
+    All texts are asked against all examples, in units of ``TEXTS`` and ``EXAMPLES``. A unit gives each text its best few,
+    so no pair becomes a row and no word is a key. Examples without a word of the text would score lowest and do not count.
     """
-    usable = examples.join(leaked.select("example").distinct(), "example", "left_anti")
-    words = lambda df, c, keep: df.select(*keep, F.explode(F.array_distinct(F.split(F.trim(c), r"\s+"))).alias("w"))
-    met = words(texts, "text", ["id", "text"]).join(words(usable, "example", ["example"]), "w").select("id", "text", "example").distinct()
-    same = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    hits = met.filter(same("text") != same("example")).withColumn("score", F.round(sim.token_set_of("text", "example"), 4))
+    usable = examples.select("example").filter("example IS NOT NULL").distinct().join(leaked.select("example").distinct(), "example", "left_anti")
+    usable, asked = stored(usable, "usable-examples"), texts.select("id", "text").filter("text IS NOT NULL").distinct()
+    blocks, shares = (max(1, -(-df.count() // n)) for df, n in ((usable, EXAMPLES), (asked, TEXTS)))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("share", dealt(shares, "id", "text")).withColumn("block", every(blocks))
+    right = usable.withColumn("block", dealt(blocks, "example")).withColumn("share", every(shares))
+    kind = f"id {texts.schema['id'].dataType.simpleString()}, example string, score double"
+    hits = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInPandas(_nearest(most), kind)
     order = Window.partitionBy("id").orderBy(F.desc("score"), "example")
     return hits.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= most).select("id", "example", "score")
 

@@ -10,6 +10,7 @@ from valuegate.operators import index as ix
 from valuegate.operators import profile as pf
 from valuegate.operators import relational as rel
 from valuegate.plans.registry import TABLES, Tables, query
+from valuegate.sources.folders import laid_out
 
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 #: Text columns of the given tables.
@@ -140,6 +141,17 @@ def key_columns(t: Tables) -> DataFrame:
     return pf.key_columns(key_inference(t), _links(t))
 
 
+@query("join_key_layout", "SELECT o_orderpriority, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_orders FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
+def join_key_layout(t: Tables) -> DataFrame:
+    """Both ends of an inferred link laid out by it and joined without a shuffle."""
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = laid_out(t("orders").select("o_orderkey", "o_orderpriority"), "orders", ["o_orderkey"], buckets)
+    lines = laid_out(t("lineitem").select("l_orderkey"), "lines", ["l_orderkey"], buckets)
+    met = orders.join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    each = met.groupBy("o_orderkey", "o_orderpriority").agg(F.count("*").alias("n"))  # on the key still: no shuffle either
+    return each.groupBy("o_orderpriority").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_orders"))
+
+
 @query("column_tiers", _tier_sql(TABLES, 5000))
 def column_tiers(t: Tables) -> DataFrame:
     return pf.column_tiers(t.all())
