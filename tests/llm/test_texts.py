@@ -374,6 +374,24 @@ def test_warc_records_link_and_read_back(spark, tmp_path):
     assert {r["headers"]["WARC-Record-ID"]: r["block"] for r in back} == {r["record_id"]: r["block"] for r in rows.values()}
 
 
+def test_headers_of_the_source_are_kept(spark, tmp_path):
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html\nX-Long: a: b\r\n\r\n"
+    pages = spark.createDataFrame([(1, "u\r\nWARC-Type: x", "<p>One</p>", head, "2024-01-02T03:04:05Z"), (2, "v", "<p>Two</p>", None, None), (3, "w", None, "", None)], "page_id long, url string, html string, h string, at string")
+    records = op8_warc_derivatives.derivatives(pages, headers_col="h", date_col="at")
+    rows = {(r["page_id"], r["warc_type"]): r for r in records.collect()}
+    assert rows[1, "response"]["block"] == "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Long: a: b\r\n\r\n<p>One</p>"
+    assert rows[1, "response"]["content_type"] == "application/http; msgtype=response"
+    assert rows[1, "metadata"]["block"].endswith("source-status: HTTP/1.1 200 OK\r\nsource-header-Content-Type: text/html\r\nsource-header-X-Long: a: b\r\n")
+    assert {rows[1, k]["source_payload_digest"] for k in ("response", "metadata", "conversion")} == {"sha256:" + hashlib.sha256(b"<p>One</p>").hexdigest()}
+    assert {r["warc_date"] for (page, _), r in rows.items() if page == 1} == {"2024-01-02T03:04:05Z"}
+    plain = {(r["page_id"], r["warc_type"]): r for r in op8_warc_derivatives.derivatives(pages).collect()}
+    assert all(rows[key] == plain[key] for key in plain if key[0] != 1)
+    op8_warc_derivatives.write_warc(records, f"file://{tmp_path}/w")
+    back = op8_warc_derivatives.read_warc(spark, f"file://{tmp_path}/w").collect()
+    assert sorted((r["headers"]["WARC-Record-ID"], r["block"], r["whole"]) for r in back) == sorted((r["record_id"], r["block"], True) for r in rows.values())
+    assert {r["headers"]["WARC-Target-URI"] for r in back} == {"u%0D%0AWARC-Type: x", "v", "w"}
+
+
 def test_character_references_are_decoded(spark):
     texts = ["&copy; 2024 Acme &middot; M&uuml;ller &#8212; &#x1F600;&#X41;&#65b", "&amp;lt; &AMP;copy; &amp;amp;#65;", "a&ampb &copy2 &notit; &notin; &am & &; &#; &#x; &nosuch; x&yz", "&#128;&#x9f;&#xD800;&#0;&#1114112;&#99999999999999999999;&#0000000000065;", "&fjlig;&NotEqualTilde;&CounterClockwiseContourIntegral;", "none", ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")

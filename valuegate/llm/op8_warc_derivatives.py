@@ -102,14 +102,23 @@ def _identifier(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def derivatives(pages: DataFrame, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _header_lines(headers: Column) -> Column:
+    return F.filter(F.split(headers, r"\r?\n"), lambda x: F.trim(x) != "")
+
+
+def derivatives(pages: DataFrame, date: str = DATE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", headers_col: str | None = None, date_col: str | None = None) -> DataFrame:
     """Three records a page: response, metadata, conversion.
 
+    ``headers_col`` names the status and header lines that the server sent: a response then holds them before the body, as
+    HTTP does, and its metadata keeps each of them. A page without any is recorded by its body alone. ``date_col`` names
+    the dates of capture; ``date`` stands where it is null or not given.
     A null URL or body counts as empty; a page of no text gives a conversion record of length 0; repeated rows give their
     records again; a null page id stays null. Other columns are not read.
     """
     url, html = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
-    base = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), html.alias("html"))
+    headers = _header_lines(F.coalesce(F.col(headers_col), F.lit(""))) if headers_col else F.array().cast("array<string>")
+    captured = F.coalesce(F.col(date_col).cast("string"), F.lit(date)) if date_col else F.lit(date)
+    base = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), html.alias("html"), headers.alias("headers"), captured.alias("warc_date"))
     base = base.withColumns({"text": plain_text(F.col("html")), "payload": _digest(F.col("html"))})
     key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     base = base.withColumn("response_id", _identifier(F.lit("response"), key, F.col("url"), F.col("payload")))
@@ -119,31 +128,39 @@ def derivatives(pages: DataFrame, date: str = DATE, id_col: str = "page_id", url
         F.lit("outlinks: "), F.regexp_count("html", F.lit(LINK)).cast("string"), F.lit(END),
         F.lit("source-payload-digest: "), F.col("payload"), F.lit(END),
         F.lit("source-content-length: "), F.octet_length("html").cast("string"), F.lit(END),
+        F.array_join(F.transform("headers", lambda x: F.concat(F.when(x.contains(":"), "source-header-").otherwise("source-status: "), x, F.lit(END))), ""),
     )
+    http = F.size("headers") > 0
+    response = F.when(http, F.concat(F.array_join("headers", END), F.lit(END + END), F.col("html"))).otherwise(F.col("html"))
 
-    def record(kind: str, content_type: str, block: Column) -> Column:
+    def record(kind: str, content_type: Column, block: Column) -> Column:
         own = F.col("response_id") if kind == "response" else _identifier(F.lit(kind), F.col("response_id"))
         return F.struct(
             F.lit(kind).alias("warc_type"), own.alias("record_id"),
             (F.lit("") if kind == "response" else F.col("response_id")).alias("refers_to"),
-            F.lit(content_type).alias("content_type"), block.alias("block"),
+            content_type.alias("content_type"), block.alias("block"),
         )
 
-    records = F.array(record("response", "text/html", F.col("html")), record("metadata", "application/warc-fields", fields), record("conversion", "text/plain", F.col("text")))
-    rows = base.select("page_id", F.col("url").alias("target_uri"), F.col("payload").alias("source_payload_digest"), F.explode(records).alias("r"))
+    records = F.array(
+        record("response", F.when(http, "application/http; msgtype=response").otherwise("text/html"), response),
+        record("metadata", F.lit("application/warc-fields"), fields),
+        record("conversion", F.lit("text/plain"), F.col("text")),
+    )
+    rows = base.select("page_id", "warc_date", F.col("url").alias("target_uri"), F.col("payload").alias("source_payload_digest"), F.explode(records).alias("r"))
     return rows.select(
-        "page_id", "r.warc_type", "r.record_id", "r.refers_to", "target_uri", F.lit(date).alias("warc_date"), "r.content_type",
+        "page_id", "r.warc_type", "r.record_id", "r.refers_to", "target_uri", "warc_date", "r.content_type",
         F.octet_length("r.block").cast("long").alias("content_length"), _digest(F.col("r.block")).alias("block_digest"), "source_payload_digest", "r.block",
     )
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """One string a record: header lines, an empty line and the block."""
+    """One string a record: header lines, an empty line and the block. Line ends within a value are percent-encoded."""
     header = [
         ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"),
         ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     ]
-    lines = [F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit(END))).otherwise("") for name, c in header]
+    one_line = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    lines = [F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"{name}: "), one_line(c), F.lit(END))).otherwise("") for name, c in header]
     return records.select(F.concat(F.lit("WARC/1.1" + END), *lines, F.lit(END), "block").alias("value"))
 
 
