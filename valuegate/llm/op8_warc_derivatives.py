@@ -112,6 +112,7 @@ def derivatives(pages: DataFrame, date: str = DATE, id_col: str = "page_id", url
     ``headers_col`` names the status and header lines that the server sent: a response then holds them before the body, as
     HTTP does, and its metadata keeps each of them. A page without any is recorded by its body alone. ``date_col`` names
     the dates of capture; ``date`` stands where it is null or not given.
+
     A null URL or body counts as empty; a page of no text gives a conversion record of length 0; repeated rows give their
     records again; a null page id stays null. Other columns are not read.
     """
