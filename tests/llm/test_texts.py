@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -401,3 +402,18 @@ def test_character_references_are_decoded(spark):
     assert all(r["t"] == html.unescape(r["text"]).replace("\xa0", " ") for r in names.select("text", op8_warc_derivatives.decoded(F.col("text")).alias("t")).collect())
     pages = spark.createDataFrame([(1, "u", "<p>x&nbsp;&#xA0; y<footer>&copy; Z &middot; &lt;p&gt;</footer>")], "page_id long, url string, html string")
     assert op8_warc_derivatives.derivatives(pages).filter("warc_type = 'conversion'").first()["block"] == "x y\n© Z · <p>"
+
+
+def test_warc_records_agree_with_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    got = op8_warc_derivatives.query(spark, sf_dir)
+    columns = sorted(got.columns)
+    rows = con.execute(f"SELECT {', '.join(columns)} FROM ({op8_warc_derivatives.ORACLE_SQL})").fetchall()
+    assert Counter(map(tuple, got.select(*columns).collect())) == Counter(rows)
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    texts = [f"a&{n}b&" for n in html.entities.html5] + ["&#128;&#x9f;&#xD800;&#0;&#1114112;&#0000000000065;&#x1F600", "&amp;lt; &AMP;copy; &; &#; &#x;", ""]
+    con.execute("CREATE TABLE texts (t varchar)")
+    con.executemany("INSERT INTO texts VALUES (?)", [[t] for t in texts])
+    for text, decoded in con.execute(f"SELECT t, {op8_warc_derivatives._decoded_sql('t', quote)} FROM texts").fetchall():
+        assert decoded == html.unescape(text).replace("\xa0", " ")

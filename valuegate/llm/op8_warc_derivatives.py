@@ -7,6 +7,7 @@ repeated run gives the same ones; rows that agree in page id, URL and body give
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,6 @@ NAMES = {name: " " if text == "\xa0" else text for name, text in html5.items()}
 OLD_NAMES = "^&(?:" + "|".join(sorted((n for n in NAMES if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 #: Numbers from 128 on that the standard reads as Windows-1252.
 WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
-#: The references that the SQL knows; it has no general decoding, so its text differs where a page holds others.
-REFERENCES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#38;", "&"), ("&amp;", "&")]
 SPACING = [
     (r"[ \t\r\f]+", " "),
     (r" ?\n[ \n]*", "\n"),
@@ -188,14 +187,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(table(spark, sf_dir, "pages"))
 
 
+def _decoded_sql(text: str, quote: Callable[[str], str]) -> str:
+    """The rule of HTML for character references, said in SQL for pieces that follow an ampersand."""
+    names = f"MAP([{', '.join(map(quote, NAMES))}], [{', '.join(map(quote, NAMES.values()))}])"
+    ten, sixteen = (f"ltrim(regexp_extract(r, {quote(p)}, 1), '0')" for p in ("^#([0-9]+)", "^#[xX]([0-9a-fA-F]+)"))
+    code = f"CASE WHEN greatest(length({ten}), length({sixteen})) > 7 THEN 0 WHEN {ten} <> '' THEN {ten}::int WHEN {sixteen} <> '' THEN ('0x' || {sixteen})::int ELSE 0 END"
+    char = f"CASE WHEN n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) WHEN n BETWEEN 128 AND 159 THEN substr({quote(WINDOWS)}, n - 127, 1) WHEN n = 160 THEN ' ' ELSE chr(n) END"
+    old = f"regexp_extract(r, {quote(OLD_NAMES.replace('&', '', 1))}, 0)"
+    named = f"CASE WHEN r = '' THEN '&' ELSE coalesce(names[r], names[{old}] || substr(r, length({old}) + 1), '&' || r) END"
+    one = f"CASE WHEN r[1] = '#' THEN list_transform([{code}], lambda n: {char})[1] ELSE {named.replace('names', names)} END || substr(p, length(r) + 1)"
+    piece = f"list_transform([regexp_extract(p, {quote(REFERENCE)}, 0)], lambda r: {one})[1]"
+    pieces = f"string_split({text}, '&')"
+    return f"array_to_string(list_concat({pieces}[1:1], list_transform({pieces}[2:], lambda p: {piece})), '')"
+
+
 def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     text = "html"
     replaced = lambda text, pattern, by: f"regexp_replace({text}, {quote(pattern)}, {'chr(10)' if by == chr(10) else quote(by)}, 'g')"
     for pattern, by in CLEANING:
         text = replaced(text, pattern, by)
-    for reference, by in REFERENCES:
-        text = f"replace({text}, {quote(reference)}, {quote(by)})"
+    cleaned, text = text, "text"
     for pattern, by in SPACING:
         text = replaced(text, pattern, by)
     uuid = lambda m: f"'<urn:uuid:' || substr({m}, 1, 8) || '-' || substr({m}, 9, 4) || '-' || substr({m}, 13, 4) || '-' || substr({m}, 17, 4) || '-' || substr({m}, 21, 12) || '>'"
@@ -213,7 +225,9 @@ def _oracle() -> str:
     derived = lambda kind: uuid(f"md5('{kind}' || chr(10) || response_id)")
     return f"""
 WITH base AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-cleaned AS (SELECT *, {text} AS text, 'sha256:' || sha256(html) AS payload FROM base),
+shown AS (SELECT *, {cleaned} AS shown FROM base),
+decoded AS (SELECT * EXCLUDE (shown), {_decoded_sql("shown", quote)} AS text FROM shown),
+cleaned AS (SELECT * REPLACE ({text} AS text), 'sha256:' || sha256(html) AS payload FROM decoded),
 hashed AS (SELECT *, md5('response' || chr(10) || coalesce(page_id::varchar, '') || chr(10) || url || chr(10) || payload) AS name FROM cleaned),
 named AS (SELECT *, {uuid("name")} AS response_id FROM hashed),
 records AS ({part("response", "response_id", "''", "text/html", "html")}
