@@ -17,6 +17,9 @@ from valuegate.llm import (
     op8_warc_derivatives,
     op9_minhash_near_dedup,
     op10_secret_scan,
+    op11_chat_formatting,
+    op12_embedding_whitening,
+    op13_conversation_repair,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_derivatives": op8_warc_derivatives.query,
     "op9_minhash_near_dedup": op9_minhash_near_dedup.query,
     "op10_secret_scan": op10_secret_scan.query,
+    "op11_chat_formatting": op11_chat_formatting.query,
+    "op12_embedding_whitening": op12_embedding_whitening.query,
+    "op13_conversation_repair": op13_conversation_repair.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_warc_derivatives": op8_warc_derivatives.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_warc_derivatives": op8_warc_derivatives.ORACLE_SQL, "op11_chat_formatting": op11_chat_formatting.ORACLE_SQL}
