@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from valuegate.llm.components import each_with
+
 
 def dealt(members: DataFrame, sizes: DataFrame, key: str, row: str, blocks: str) -> DataFrame:
     """``members`` of the buckets in ``sizes``, once for each unit (``low``, ``high``) that its block takes part in.
 
     ``sizes`` has ``key`` and the number of blocks; a member's block is a hash of its ``row``, so no rank within a bucket is needed.
     """
-    joined = members.join(sizes, key)
+    joined = each_with(members, sizes, key)
     own = joined.withColumn("own", F.pmod(F.xxhash64(row), F.col(blocks)).cast("int"))
     unit = F.transform(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1), lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")))
     return own.withColumn("unit", F.explode(unit)).select("*", "unit.low", "unit.high").drop("unit", blocks)

@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps, in DataFrame operations only.
 
 Kiveris et al., "Connected components in MapReduce and beyond", 2014. No node's neighbours are ever collected: a step is a
-minimum for each node, pre-aggregated before its shuffle, joined back to the links, so a hub's links can be split by adaptive execution.
+minimum for each node, pre-aggregated before its shuffle and joined back to the links. ``each_with`` gives that join an exchange on
+both sides, so that adaptive execution deals a hub's links out over tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,16 @@ from valuegate.llm.storage import written
 MAX_ROUNDS = 60
 
 
+def each_with(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``known``, which has one row for each ``key`` (long), as an aggregate by that key has.
+
+    An aggregate is dealt by the key already, so a join on the key reads it as it is, and adaptive execution splits a hot
+    key only between two exchanges of the join itself. The join is therefore on the key's complement, by which neither side is dealt.
+    """
+    turned = known.withColumn("_turned", F.bitwise_not(key)).drop(key)
+    return rows.withColumn("_turned", F.bitwise_not(key)).join(turned, "_turned").drop("_turned")
+
+
 def _star(links: DataFrame) -> DataFrame:
     """Of links (a, b): each a with the least of itself and its neighbours."""
     return links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -23,11 +34,11 @@ def _step(links: DataFrame) -> DataFrame:
     """One large-star and one small-star step over links with a > b."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # Large star: greater neighbours go to the least neighbour.
-    large = both.filter(F.col("b") > F.col("a")).join(_star(both), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = each_with(both.filter(F.col("b") > F.col("a")), _star(both), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = large.distinct()
     # Small star: a node and its lesser neighbours go to the least of them.
     least = large.groupBy("a").agg(F.min("b").alias("m"))
-    moved = large.join(least, "a")
+    moved = each_with(large, least, "a")
     small = moved.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valuegate.llm.blocks import dealt, runs
-from valuegate.llm.components import components
+from valuegate.llm.components import components, each_with
 from valuegate.llm.storage import table, written
 from valuegate.llm.textvec import mix
 
@@ -158,7 +158,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nodes = usable.join(one, "class").select("class", "rep", "weight", F.xxhash64("v.label", "v.dim").alias("group"), "v.dim", "v.vector", F.monotonically_increasing_id().alias("node"))
     nodes = written(nodes.mapInArrow(_signed(kind), "class binary, rep long, weight long, group long, dim int, vector binary, node long, signs binary"), "vectors")
     # Buckets first without their vectors: those of one member go before anything large is moved.
-    members = nodes.select("node", "group", "signs").mapInArrow(_members, "node long, number int, bucket long")
+    members = written(nodes.select("node", "group", "signs").mapInArrow(_members, "node long, number int, bucket long"), "memberships")
     crowded = written(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(members.join(crowded, "bucket"), "bucket-members")
     same = members.groupBy("bucket").agg(F.first("n").alias("n"), F.first("number").alias("number"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
@@ -171,7 +171,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     found = components(compared.select(F.col("node").alias("a"), F.col("least").alias("b")))
     small = nodes.select("node", "class", "rep", "weight")
     names = found.join(small, "node").groupBy("component").agg(F.min("rep").alias("least"))
-    named = found.join(names, "component").select("node", "least")
+    named = each_with(found, names, "component").select("node", "least")
     known = small.join(counts, "node", "left").join(named, "node", "left")
     known = known.select("class", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("least")).filter("n_links > 0")
     joined = light.join(known, "class", "left")

@@ -9,8 +9,10 @@ block's row alone; readers skip the other blocks by ``low`` and ``high`` or by t
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from valuegate.llm.storage import new_folder, table
 
 BLOCK_IDS = 1 << 17
 END_ID = 1
+#: Ranges of document ids that a scan is told.
+SPANS = 64
 BLOCKS = "shard int, block int, first long, bits int, low long, high long, n_ids long, doc_ids array<long>, doc_sizes array<long>, payload binary"
 SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("bits", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int64())), ("payload", pa.binary())])
 
@@ -105,9 +109,14 @@ def _placed(blocks: DataFrame) -> DataFrame:
 
 
 def _documents(blocks: DataFrame, wanted: list[int] | None = None) -> DataFrame:
+    """The documents of ``blocks``; ``wanted`` (ascending) only some of them."""
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = None if wanted is None else set(wanted)
         for batch in batches:
+            if wanted is not None:
+                bounds = zip(batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)
+                batch = batch.filter(pa.array([a is not None and bisect_left(wanted, a) < bisect_right(wanted, b) for a, b in bounds], pa.bool_()))
             for row in batch.to_pylist():
                 sizes = np.asarray(row["doc_sizes"], np.int64)
                 starts = np.cumsum(sizes) - sizes
@@ -130,10 +139,15 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
-    """The rows of ``read_ids`` of some documents: only blocks whose range of ids holds one are unpacked, and of them only those documents."""
-    blocks = _placed(read_blocks(spark, folder))
-    within = reduce(Column.__or__, [(F.col("low") <= k) & (F.col("high") >= k) for k in doc_ids], F.lit(False))
-    return _documents(blocks.filter(within), doc_ids)
+    """The rows of ``read_ids`` of some documents: only blocks whose range of ids holds one are unpacked, and of them only those documents.
+
+    However many there are, the scan gets ``SPANS`` ranges of ids at most, cut at the widest gaps; each block then looks its own range up.
+    """
+    wanted = sorted({k for k in doc_ids if k is not None})
+    gaps = sorted(sorted(range(1, len(wanted)), key=lambda i: wanted[i - 1] - wanted[i])[: SPANS - 1])
+    spans = [(wanted[a], wanted[b - 1]) for a, b in pairwise([0, *gaps, len(wanted)])] if wanted else []
+    within = reduce(Column.__or__, [(F.col("low") <= b) & (F.col("high") >= a) for a, b in spans], F.lit(False))
+    return _documents(_placed(read_blocks(spark, folder)).filter(within), wanted)
 
 
 def read_span(spark: SparkSession, folder: str, start: int, count: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuegate.llm.blocks import dealt, runs
-from valuegate.llm.components import components
+from valuegate.llm.components import components, each_with
 from valuegate.llm.storage import table, written
 from valuegate.llm.textvec import Words, batches, grams, mix
 
@@ -228,7 +228,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     every = components(links.unionAll(written(more, "block-links")))
     tops = every.join(classes.select("node", "top"), "node").groupBy("component").agg(F.min("top").alias("first"))
-    named = every.join(tops, "component").select("node", "first")
+    named = each_with(every, tops, "component").select("node", "first")
     known = classes.select(*same, "node", "top").join(named, "node", "left").select(*same, F.coalesce("first", "top").alias("first"))
     # Texts without words are of no class and stand for themselves.
     joined = signed.select("id", "key", *same).join(written(known, "text-groups"), same, "left")
