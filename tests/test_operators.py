@@ -65,9 +65,10 @@ def test_substitute_keeps_c1_out_of_c10(spark):
 def test_gate_blocks_every_informing_value(spark):
     values = spark.createDataFrame([("small ring",), ("building",), ("12",), ("x y z",)], "value string")
     texts = spark.createDataFrame([(i, f"please send {v} now") for i, v in enumerate(["Small  Ring", "BUILDING", "12", "x y z", "order"])] + [(9, None)], "id long, text string")
-    hits = {(r["id"], r["value"]) for r in gate.known_values(texts, values, spark.createDataFrame([("order",)], "word string")).collect()}
+    listed = lambda v: gate.denylist(gate.denied_values(v, spark.createDataFrame([("order",)], "word string")), spark.createDataFrame([], "token string"))
+    hits = {(r["id"], r["value"]) for r in gate.known_values(texts, listed(values)).collect()}
     assert hits == {(0, "small ring"), (1, "building"), (3, "x y z")}
-    assert gate.known_values(texts, values.limit(0), spark.createDataFrame([("order",)], "word string")).count() == 0
+    assert gate.known_values(texts, listed(values.limit(0))).count() == 0
 
 
 def test_fingerprint_ignores_order_not_duplicates(spark):

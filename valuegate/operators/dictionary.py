@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valuegate.sources.local import local_rows
+
 TERM = "term string, synonyms array<string>, columns array<string>, note string"
 
 
 def terms(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, TERM)
+    return local_rows(spark, rows, TERM)
 
 
 def split_list(column: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valuegate.operators.bloom import Bloom
+from valuegate.operators.bloom import build as build_bloom
 from valuegate.operators.index import NGRAM_CEILING, carries_information
+from valuegate.sources.local import local_rows
 
 #: Stored values that are sent to every task; the index has a bound for each column, so more than this needs hundreds of columns.
 SENT_VALUES = 200_000
@@ -31,39 +35,115 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 16)
 
 
-def known_values(texts: DataFrame, exact: DataFrame, exempt: DataFrame) -> DataFrame:
-    """(id, value, size): stored values among the word n-grams of ``texts`` (id, text).
+def denied_values(exact: DataFrame, exempt: DataFrame) -> DataFrame:
+    """(value, size): what counts as a stored value in a text. A single word does not if it is exempt or carries no information; nor do values of over 32 words."""
+    sized = exact.select("value", F.size(F.split("value", " ")).alias("size")).filter(F.col("size") <= NGRAM_CEILING)
+    told = (F.col("size") > 1) | carries_information(F.col("value"))
+    one = exempt.select(F.col("word").alias("value"), F.lit(1).alias("size"))
+    return sized.filter(told).join(one, ["value", "size"], "left_anti")
 
-    Only lengths that occur among the values are made, up to 32 words; longer values never match. A single word does not
-    count if it is exempt or carries no information. Without values nothing is found; without exemptions more is. Up to
+
+def denied_tokens(value_tokens: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(token): words of stored values that carry information and are not allowed."""
+    return value_tokens.select("token").filter(carries_information(F.col("token"))).join(allowed.select(F.col("word").alias("token")), "token", "left_anti")
+
+
+def _node(before: Column, word: Column) -> Column:
+    """The key of a node of the trie of stored values: that of the node before it, and one word more. The root is 0."""
+    return F.xxhash64(before, word)
+
+
+def _end(node: Column) -> Column:
+    """The key of a node where a stored value ends."""
+    return F.xxhash64(node, F.lit("end"))
+
+
+@dataclass(frozen=True)
+class Denylist:
+    """Stored values and words as tables, and as two filters that texts are tested by where they stand.
+
+    ``trie`` holds every beginning of every value and marks the ends; ``words`` holds the tokens.
+    """
+
+    values: DataFrame
+    tokens: DataFrame
+    trie: Bloom
+    words: Bloom
+    longest: int
+    small: bool
+
+
+FILTERS = "trie binary, words binary, longest int, n long"
+
+
+def filters(values: DataFrame, tokens: DataFrame) -> DataFrame:
+    """One row of ``FILTERS`` for stored tables of ``denied_values`` and ``denied_tokens``; its size has a bound."""
+    row = values.agg(F.count("*").alias("n"), F.max("size").alias("longest")).first()
+    empty = F.array().cast("array<bigint>")
+    path = F.aggregate(F.split("value", " "), empty, lambda acc, w: F.concat(acc, F.array(_node(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")), w))))
+    walked = values.select(path.alias("path"))
+    nodes = walked.select(F.explode(F.concat("path", F.array(_end(F.element_at("path", -1))))).alias("key")).distinct()
+    trie, words = build_bloom(nodes), build_bloom(tokens.select(F.xxhash64("token").alias("key")))
+    return local_rows(values.sparkSession, [(trie.data, words.data, row["longest"] or 0, row["n"])], FILTERS)
+
+
+def denylist(values: DataFrame, tokens: DataFrame, made: DataFrame | None = None) -> Denylist:
+    """``made`` are the tables' ``filters``, if they were kept."""
+    row = (filters(values, tokens) if made is None else made).first()
+    return Denylist(values, tokens, Bloom(bytes(row["trie"])), Bloom(bytes(row["words"])), row["longest"], row["n"] <= SENT_VALUES)
+
+
+def trie_matches(words: Column, deny: Denylist) -> Column:
+    """array<struct<size, value>>: stretches of ``words`` that seem to be stored values.
+
+    From every word on the trie is walked one word further a step, by those stretches alone that still begin a value; so a text makes
+    as many stretches as its words begin values, not one for each length at each word.
+    """
+    at = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
+    live = F.transform(at, lambda i: F.struct(i.alias("next"), F.lit(0).cast("long").alias("node")))
+    start = F.struct(live.alias("live"), F.array().cast("array<struct<size:int,value:string>>").alias("found"))
+
+    def step(acc: Column, size: Column) -> Column:
+        reach = F.filter(acc["live"], lambda s: s["next"] <= F.size(words))
+        walked = F.transform(reach, lambda s: F.struct((s["next"] + 1).alias("next"), _node(s["node"], F.get(words, s["next"] - 1)).alias("node")))
+        seen = F.filter(walked, lambda s: deny.trie.may_hold(s["node"]))
+
+        def after(seen: Column) -> Column:
+            ends = F.filter(seen, lambda s: deny.trie.may_hold(_end(s["node"])))
+            text = lambda s: F.array_join(F.transform(F.sequence(s["next"] - size, s["next"] - 1), lambda i: F.get(words, i - 1)), " ")
+            named = F.transform(ends, lambda s: F.struct(size.alias("size"), text(s).alias("value")))
+            return F.struct(seen.alias("live"), F.concat(acc["found"], named).alias("found"))
+
+        return F.get(F.transform(F.array(seen), after), F.lit(0))  # what is live is worked out once
+
+    sizes = F.array(*map(F.lit, range(1, deny.longest + 1))) if deny.longest else F.array().cast("array<int>")
+    return F.aggregate(sizes, start, step, lambda acc: F.array_distinct(acc["found"]))
+
+
+def known_values(texts: DataFrame, deny: Denylist) -> DataFrame:
+    """(id, value, size): stored values among the words of ``texts`` (id, text).
+
+    Stretches are found in each text by itself, in one narrow pass; only those become rows, and meet the stored values. Up to
     ``SENT_VALUES`` values go to the texts, which then are not shuffled.
     """
-    sized = exact.withColumn("size", F.size(F.split("value", " "))).filter(F.col("size") <= NGRAM_CEILING)
-    counts = {r["size"]: r["count"] for r in sized.groupBy("size").count().collect()}  # 32 at most
-    sizes = sorted(counts)
-    if sum(counts.values()) <= SENT_VALUES:
-        sized = F.broadcast(sized)
-    if not sizes:
-        return texts.select("id", F.lit("").alias("value"), F.lit(0).alias("size")).limit(0)
-    words = texts.select("id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD.replace("A-Z", "")), F.lit(0)).alias("ws"))
-
-    def grams(n: int) -> Column:
-        starts = F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("size"), F.array_join(F.slice("ws", i, n), " ").alias("value")))
-
-    found = words.select("id", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("g")).select("id", "g.size", "g.value").join(sized, ["value", "size"])
-    single = found.filter((F.col("size") == 1) & carries_information(F.col("value"))).join(exempt.select(F.col("word").alias("value")), "value", "left_anti")
-    return found.filter("size > 1").select("id", "value", "size").unionAll(single.select("id", "value", "size"))
-
-
-def refused_tokens(texts: DataFrame, allowed: DataFrame, value_tokens: DataFrame) -> DataFrame:
-    """(id, token, place): tokens that are not allowed, carry information and occur in short stored values; the first spelling of each."""
-    tokens = texts.select("id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))).alias("place", "token"))
-    tokens = tokens.withColumn("key", F.lower("token"))
-    shaped = reduce(Column.__or__, [F.col("token").rlike(p) for p in PATTERNS])
-    left = tokens.filter(~shaped & carries_information(F.col("key"))).join(value_tokens.select(F.col("token").alias("key")), "key", "left_semi")
-    left = left.join(allowed.select(F.col("word").alias("key")), "key", "left_anti")
-    return left.groupBy("id", "key").agg(F.min(F.struct("place", "token")).alias("t")).select("id", "t.token", "t.place")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD.replace("A-Z", "")), F.lit(0))
+    found = texts.select("id", words.alias("ws")).select("id", F.explode(trie_matches(F.col("ws"), deny)).alias("g")).select("id", "g.size", "g.value")
+    values = F.broadcast(deny.values) if deny.small else deny.values
+    return found.join(values, ["value", "size"], "left_semi").select("id", "value", "size")
+
+
+def refused_tokens(texts: DataFrame, deny: Denylist) -> DataFrame:
+    """(id, token, place): tokens that are not allowed, carry information and occur in short stored values; the first spelling of each.
+
+    Tokens are tested against the filter and the allowed shapes before any becomes a row.
+    """
+    tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
+    each = F.transform(tokens, lambda t, i: F.struct(i.alias("place"), t.alias("token"), F.lower(t).alias("key")))
+    shaped = lambda t: reduce(Column.__or__, [t.rlike(p) for p in PATTERNS])
+    likely = F.filter(each, lambda t: deny.words.may_hold(F.xxhash64(t["key"])) & ~shaped(t["token"]))
+    rows = texts.select("id", F.explode(likely).alias("t")).select("id", "t.*")
+    first = rows.groupBy("id", "key").agg(F.min(F.struct("place", "token")).alias("t"))
+    return first.join(deny.tokens.select(F.col("token").alias("key")), "key", "left_semi").select("id", "t.token", "t.place")
 
 
 def verdicts(texts: DataFrame, known: DataFrame, refused: DataFrame) -> DataFrame:
@@ -71,10 +151,11 @@ def verdicts(texts: DataFrame, known: DataFrame, refused: DataFrame) -> DataFram
     one = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "value"))).alias("k")).select("id", F.col("k.value").alias("values"))
     two = refused.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("r")).select("id", F.col("r.token").alias("tokens"))
     text = F.coalesce("text", F.lit(""))
-    joined = texts.join(one, "id", "left").join(two, "id", "left")
+    # What is told of a text is worked out first, so that texts are never shuffled.
+    told = texts.select("id", F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("n_tokens"), fingerprint(text).alias("fingerprint"))
+    joined = told.join(one, "id", "left").join(two, "id", "left")
     return joined.select(
-        "id", (F.col("values").isNull() & F.col("tokens").isNull()).alias("allowed"), F.coalesce("values", "tokens", F.array().cast("array<string>")).alias("refused"),
-        F.size(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("n_tokens"), fingerprint(text).alias("fingerprint"),
+        "id", (F.col("values").isNull() & F.col("tokens").isNull()).alias("allowed"), F.coalesce("values", "tokens", F.array().cast("array<string>")).alias("refused"), "n_tokens", "fingerprint",
         F.when(F.col("values").isNotNull(), DENYLIST).otherwise(MEMBERSHIP).alias("rule"),
     )
 

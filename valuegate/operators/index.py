@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from valuegate.sources.local import local_rows
+
 SHORT_WORDS = 3
 NGRAM_FLOOR, NGRAM_CEILING = 6, 32
 #: Numbers written as words.
@@ -24,11 +26,14 @@ def build(tables: dict[str, DataFrame], tiers: DataFrame, tier: str = "A") -> Da
 
     The tiers are a row for each column, so they are read to know which columns to scan.
     """
-    chosen = [(r["table_name"], r["column_name"]) for r in tiers.filter(F.col("tier") == tier).select("table_name", "column_name").collect()]
-    parts = [tables[t].select(F.trim(c).alias("value")).filter("value <> ''").distinct().withColumn("ref", F.lit(f"{t}.{c}")) for t, c in sorted(chosen)]
+    chosen = sorted((r["table_name"], r["column_name"]) for r in tiers.filter(F.col("tier") == tier).select("table_name", "column_name").collect())
+    parts = []
+    for table in dict.fromkeys(t for t, _ in chosen):  # a scan a table, one shuffle for all
+        each = F.array(*(F.struct(F.trim(c).alias("value"), F.lit(f"{t}.{c}").alias("ref")) for t, c in chosen if t == table))
+        parts.append(tables[table].select(F.explode(each).alias("v")).select("v.*"))
     if not parts:
-        return next(iter(tables.values())).sparkSession.createDataFrame([], "value string, ref string")
-    return reduce(DataFrame.unionAll, parts)
+        return local_rows(next(iter(tables.values())).sparkSession, [], "value string, ref string")
+    return reduce(DataFrame.unionAll, parts).filter("value <> ''").distinct()
 
 
 def write(index: DataFrame, folder: str) -> None:

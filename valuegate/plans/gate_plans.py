@@ -10,6 +10,8 @@ from valuegate.operators import index as ix
 from valuegate.operators import journal as jr
 from valuegate.plans import profiling as pr
 from valuegate.plans.registry import Tables, query
+from valuegate.sources.folders import stored
+from valuegate.sources.local import local_rows
 
 MESSAGES = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'How many orders per segment and region in total?'
   ELSE concat('How many orders for ', c_name, ' in ', c_mktsegment, ' with priority ', o_orderpriority, ' over ', cast(cast(floor(o_totalprice) AS bigint) AS string)) END AS text FROM orders JOIN customer ON o_custkey = c_custkey"""
@@ -49,13 +51,12 @@ def messages(t: Tables) -> DataFrame:
 
 
 def known(t: Tables, texts: DataFrame) -> DataFrame:
-    return gate.known_values(texts, ix.exact_values(pr.index(t)), pr.allowed(t))
+    return gate.known_values(texts, pr.denylist(t))
 
 
 def verdict(t: Tables, texts: DataFrame) -> DataFrame:
-    values = pr.index(t)
-    allowed = pr.allowed(t)
-    return gate.verdicts(texts, gate.known_values(texts, ix.exact_values(values), allowed), gate.refused_tokens(texts, allowed, ix.value_tokens(values)))
+    deny = pr.denylist(t)
+    return gate.verdicts(texts, gate.known_values(texts, deny), gate.refused_tokens(texts, deny))
 
 
 @query("gate_known_values", f"{_BASE} SELECT * FROM known")
@@ -65,7 +66,7 @@ def gate_known_values(t: Tables) -> DataFrame:
 
 @query("gate_tokens", f"{_BASE}, {_over(_REFUSED, 'messages')} SELECT id, token, place FROM refused")
 def gate_tokens(t: Tables) -> DataFrame:
-    return gate.refused_tokens(messages(t), pr.allowed(t), ix.value_tokens(pr.index(t)))
+    return gate.refused_tokens(messages(t), pr.denylist(t))
 
 
 @query("gate_verdict", f"{_BASE}, {_over(_REFUSED, 'messages')}, {_over(_VERDICT, 'messages')} SELECT id, allowed, array_to_string(refused, '|') AS refused, n_tokens, fingerprint, rule FROM verdict")
@@ -112,7 +113,7 @@ _RULE = f"""ruled AS (SELECT *, CASE WHEN origin = 'authored' AND text = '{CONST
 
 def provenance(t: Tables) -> DataFrame:
     segments = t.sql(SEGMENTS, messages=messages(t))
-    one = lambda text, f: t.spark.createDataFrame([(text,)], "text string").select(F.sha2(f(F.col("text")), 256).alias("digest"))
+    one = lambda text, f: local_rows(t.spark, [(text,)], "text string").select(F.sha2(f(F.col("text")), 256).alias("digest"))
     identifiers = pr.dic.schema_words(pr.columns(t))
     notes = pr.glossary(t).filter("note is not null").select("note")
     return gate.provenance(segments, one(CONSTANT, lambda c: c), one(TEMPLATE, gate.templated), identifiers, notes)
@@ -130,7 +131,8 @@ def gate_provenance(t: Tables) -> DataFrame:
 )
 def gate_message(t: Tables) -> DataFrame:
     """The flagship: which outgoing messages hold values of the data?"""
-    parts = provenance(t)
+    # Written once: the texts of parts that nothing vouches for are read several times, the others are not needed.
+    parts = stored(provenance(t).select("id", "part", "rule", F.when(F.col("rule").isNull(), F.col("text")).alias("text")), "parts")
     loose = parts.filter("rule is null").select((F.col("id") * 10 + F.col("part")).alias("id"), "text")
     checked = verdict(t, loose).select(F.floor(F.col("id") / 10).alias("id"), (F.col("id") % 10).cast("int").alias("part"), "allowed", "refused")
     return gate.message_verdicts(parts, checked).withColumn("refused", F.array_join("refused", "|"))

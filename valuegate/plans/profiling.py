@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valuegate.operators import dictionary as dic
+from valuegate.operators import gate
 from valuegate.operators import index as ix
 from valuegate.operators import profile as pf
 from valuegate.operators import relational as rel
 from valuegate.plans.registry import TABLES, Tables, query
 from valuegate.sources.folders import laid_out
+from valuegate.sources.local import local_rows
 
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 #: Text columns of the given tables.
@@ -65,7 +67,8 @@ CONCEPTS_SQL = "concepts AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_ext
 SCHEMA_WORDS_SQL = "schema_words AS (SELECT DISTINCT word FROM (SELECT name AS word FROM names UNION ALL SELECT unnest(string_split(name, '_')) FROM names) WHERE word <> '')"
 NAMES_SQL = "names AS (SELECT lower(table_name) AS name FROM inventory UNION SELECT lower(column_name) FROM inventory)"
 GRAMMAR_SQL = f"grammar AS (SELECT DISTINCT trim(w) AS word FROM (SELECT unnest(string_split({_quote(GRAMMAR)}, ',')) AS w) WHERE trim(w) <> '')"
-TOKENS_SQL = "value_tokens AS (SELECT DISTINCT unnest(regexp_extract_all(lower(value), '[a-zà-ÿ0-9]{3,}')) AS token FROM value_index WHERE len(regexp_extract_all(value, '[A-Za-zÀ-ÿ]+')) <= 3)"
+TOKENS_SQL = f"""{values_sql('on_demand', 'B', 5000)}, value_tokens AS (SELECT DISTINCT unnest(regexp_extract_all(lower(value), '[a-zà-ÿ0-9]{{3,}}')) AS token FROM value_index WHERE len(regexp_extract_all(value, '[A-Za-zÀ-ÿ]+')) <= 3
+  UNION SELECT DISTINCT unnest(regexp_extract_all(lower(value), '[a-zà-ÿ0-9]{{3,}}')) FROM on_demand)"""
 
 
 def columns(t: Tables, names: list[str] | None = None) -> DataFrame:
@@ -76,22 +79,41 @@ def glossary(t: Tables) -> DataFrame:
     return dic.terms(t.spark, GLOSSARY)
 
 
+VALUE, TIER = "value string, ref string", "table_name string, column_name string, tier string, n_distinct long, reason string"
+
+
 def index(t: Tables) -> DataFrame:
-    """The tier-A values of all tables, written once for a query."""
-    return t.once("value-index", lambda: ix.build(t.all(), tiers(t)))
+    """The tier-A values of all tables, kept as long as the tables stay as they are, by column."""
+    return t.kept("value-index", VALUE, lambda: ix.build(t.all(), tiers(t)), ["ref"])
 
 
 def tier_b(t: Tables) -> DataFrame:
     """The distinct values of columns that are resolved on demand, under the strict limit."""
-    return t.once("tier-b", lambda: ix.build(t.all(), tiers(t, STRICT), "B"))
+    return t.kept("tier-b", VALUE, lambda: ix.build(t.all(), tiers(t, STRICT), "B"), ["ref"])
 
 
 def tiers(t: Tables, limit: int = pf.VOCABULARY_LIMIT) -> DataFrame:
-    return t.once(f"column-tiers-{limit}", lambda: pf.column_tiers(t.all(), limit))
+    return t.kept(f"column-tiers-{limit}", TIER, lambda: pf.column_tiers(t.all(), limit))
+
+
+def on_demand_words(t: Tables) -> DataFrame:
+    """Words of the columns that have too many values for the index: the gate knows them all the same."""
+    return t.kept("tier-b-words", "word string", lambda: ix.words(ix.build(t.all(), tiers(t), "B")))
+
+
+def value_words(t: Tables) -> DataFrame:
+    return ix.value_tokens(index(t), on_demand_words(t))
+
+
+def denylist(t: Tables) -> gate.Denylist:
+    """What the gate holds texts against, kept like the index."""
+    values = t.kept("denied-values", "value string, size int", lambda: gate.denied_values(ix.exact_values(index(t)), allowed(t)))
+    tokens = t.kept("denied-tokens", "token string", lambda: gate.denied_tokens(value_words(t), allowed(t)))
+    return gate.denylist(values, tokens, t.kept("denied-filters", gate.FILTERS, lambda: gate.filters(values, tokens)))
 
 
 def grammar(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(GRAMMAR,)], "line string").select(F.explode(dic.split_list(F.col("line"))).alias("word")).distinct()
+    return local_rows(t.spark, [(GRAMMAR,)], "line string").select(F.explode(dic.split_list(F.col("line"))).alias("word")).distinct()
 
 
 @query("column_inventory", f"WITH {INVENTORY_SQL} SELECT * FROM inventory")
@@ -167,7 +189,7 @@ def value_index_build(t: Tables) -> DataFrame:
     from valuegate.sources.folders import new_folder
 
     folder = new_folder(t.spark, "value-index")
-    ix.write(index(t), folder)
+    ix.write(ix.build(t.all(), pf.column_tiers(t.all())), folder)
     return t.spark.read.parquet(folder).select("value", "ref")
 
 
@@ -183,7 +205,7 @@ def exact_values(t: Tables) -> DataFrame:
 
 @query("value_tokens", f"WITH {VALUES_SQL}, {TOKENS_SQL} SELECT token FROM value_tokens")
 def value_tokens(t: Tables) -> DataFrame:
-    return ix.value_tokens(index(t))
+    return value_words(t)
 
 
 _STRICT_TOKENS = "SELECT DISTINCT unnest(regexp_extract_all(lower(value), '[a-zà-ÿ0-9]{3,}')) AS token FROM value_index WHERE len(regexp_extract_all(value, '[A-Za-zÀ-ÿ]+')) <= 3"
@@ -223,7 +245,7 @@ BLOOM_SQL = f"{VALUES_SQL}, {TOKENS_SQL}, positions AS (SELECT token, (h1 + i *
 
 @query("bloom_build", f"WITH {BLOOM_SQL} SELECT * FROM filter_bytes")
 def bloom_build(t: Tables) -> DataFrame:
-    return ix.bloom(ix.value_tokens(index(t)), "token", _BITS, _HASHES)
+    return ix.bloom(value_words(t), "token", _BITS, _HASHES)
 
 
 @query(
@@ -234,7 +256,7 @@ def bloom_build(t: Tables) -> DataFrame:
 )
 def bloom_probe(t: Tables) -> DataFrame:
     words = t("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")).union(t("customer").select(F.lower("c_mktsegment")))
-    return ix.probe(words, "word", ix.bloom(ix.value_tokens(index(t)), "token", _BITS, _HASHES), _BITS, _HASHES)
+    return ix.probe(words, "word", ix.bloom(value_words(t), "token", _BITS, _HASHES), _BITS, _HASHES)
 
 
 _HEADS_SQL = f"""{INVENTORY_SQL}, ends AS (SELECT right(lower(column_name), k::int) AS word FROM inventory, range(3, 11) r(k) WHERE k <= length(column_name)),
@@ -296,14 +318,14 @@ def allowed(t: Tables) -> DataFrame:
 @query("allowlist_build", f"WITH {ALLOWED_SQL}, {VALUES_SQL}, {TOKENS_SQL} SELECT word, sources, word IN (SELECT token FROM value_tokens) AS stored FROM allowed")
 def allowlist_build(t: Tables) -> DataFrame:
     """Every allowed word, its sources, and whether stored values hold it, which the gate then lets pass."""
-    tokens = ix.value_tokens(index(t)).select(F.col("token").alias("word"), F.lit(True).alias("stored"))
+    tokens = value_words(t).select(F.col("token").alias("word"), F.lit(True).alias("stored"))
     return allowed(t).join(tokens, "word", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
 
 
 @query("vocabulary_stats", f"WITH {ALLOWED_SQL}, {VALUES_SQL}, {TOKENS_SQL} SELECT 'columns' AS measure, count(*) AS n FROM inventory UNION ALL SELECT 'terms', count(*) FROM glossary UNION ALL SELECT 'allowed words', count(*) FROM allowed UNION ALL SELECT 'values', count(*) FROM value_index UNION ALL SELECT 'value tokens', count(*) FROM value_tokens")
 def vocabulary_stats(t: Tables) -> DataFrame:
     values = index(t)
-    frames = {"columns": columns(t), "terms": glossary(t), "allowed words": allowed(t), "values": values, "value tokens": ix.value_tokens(values)}
+    frames = {"columns": columns(t), "terms": glossary(t), "allowed words": allowed(t), "values": values, "value tokens": value_words(t)}
     return rel.row_counts(frames).select(F.col("table_name").alias("measure"), F.col("n_rows").alias("n"))
 
 

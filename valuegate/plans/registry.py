@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from valuegate.sources.folders import stored
+from valuegate.sources.kept import kept, listing
 
 #: The given tables.
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,6 +23,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
+        self._version: str | None = None
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A small derived table that several steps of one query read: made and written once."""
@@ -29,6 +31,19 @@ class Tables:
             self._made[name] = stored(make(), name)
         return self._made[name]
 
+    @property
+    def version(self) -> str:
+        """What tells the tables' present files from any others."""
+        if self._version is None:
+            self._version = listing(self.spark, [f"{self.folder}/{name}.parquet" for name in TABLES])
+        return self._version
+
+    def kept(self, name: str, schema: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
+        """A derived table that later queries over the same files read as well."""
+        if name not in self._made:
+            self._made[name] = kept(self.spark, name, self.version, schema, make, partition_by)
+        return self._made[name]
+
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

@@ -94,5 +94,5 @@ def column_link(t: Tables) -> DataFrame:
 def nearest_examples(t: Tables) -> DataFrame:
     texts = t("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("How many parts of size "), F.col("p_size").cast("string"), F.lit(" are called "), "p_name").alias("text"))
     examples = t("part").select(F.concat(F.lit("How many parts of size "), (F.col("p_size") % 9).cast("string"), F.lit(" of type "), F.lower("p_type")).alias("example")).union(t("customer").select(F.concat(F.lit("List customers in "), "c_mktsegment"))).distinct()
-    leaked = gate.known_values(examples.select(F.col("example").alias("id"), F.col("example").alias("text")), pr.ix.exact_values(pr.index(t).filter("ref = 'customer.c_mktsegment'")), pr.allowed(t)).select(F.col("id").alias("example"))
+    leaked = gate.known_values(examples.select(F.col("example").alias("id"), F.col("example").alias("text")), pr.denylist(t)).select(F.col("id").alias("example"))
     return se.nearest_examples(texts, examples, leaked)
