@@ -112,3 +112,19 @@ def test_journal_skips_bad_lines(spark):
 def test_replies(spark):
     df = spark.createDataFrame([("<think>x</think>```sql\nSELECT 1;\n```",), ("no",), (None,), ("With a as (select 1) select * from a ;",)], "r string")
     assert [x[0] for x in df.select(tx.extract_sql(F.col("r"))).collect()] == ["SELECT 1", "", "", "With a as (select 1) select * from a"]
+
+
+def test_figures_are_those_of_the_true_value(spark):
+    """Two doubles read the same just when nine figures of their true values, halves to even, do."""
+    rng = random.Random(7)
+    values = [123456788.5, 123456789.5, 123456788.0, 123456789.0, 0.1234567885, 0.1234567895, 1.234567885, 12345.67885, 1234567885.0, 12345678850.0, 999999999.5, 99999999.95, 9.999999995, 1e22, 1e23, 1e-300, 1e300, 5e-324, 0.5, -123456788.5, 8.5, 1e8, 1e9]
+    values += [m / 10**k for m in (1234567885, 2000000005, 9999999995, 1000000005) for k in range(0, 20)] + [(2 * rng.randint(10**8, 10**9) + 1) / 2 for _ in range(300)]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 12) for _ in range(1500)] + [rng.randint(1, 10**10) / 10 ** rng.randint(0, 12) for _ in range(1500)]
+    values += [v * (1 + s * 2.0**-52) for v in values[:80] for s in (1, -1)]
+    shown = [r[0] for r in ev.cells(spark.createDataFrame([(v,) for v in values], "x double")).collect()]
+    ours, theirs = {}, {}
+    for value, text in zip(values, shown, strict=True):
+        figures = f"{value:.9g}"
+        assert ours.setdefault(text, figures) == figures and theirs.setdefault(figures, text) == text, (value, text)
+    odd = [r[0] for r in ev.cells(spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (0.0,), (-0.0,), (None,)], "x double")).collect()]
+    assert len(set(odd)) == 5 and odd[3] == odd[4] == "0" and odd[5] == ""

@@ -17,25 +17,67 @@ VOTES = 2
 ESCALATE_ABOVE = 1.8
 
 
-def cell(column: Column, kind: T.DataType) -> Column:
-    """A value as text, so that equal answers read the same: null is empty, floats have nine figures, whole floats read as whole numbers."""
-    if isinstance(kind, T.FloatType | T.DoubleType):
-        ten = lambda e: F.pow(F.lit(10.0), e)
-        # Powers beyond a double's range are taken in two steps.
-        half = lambda e: F.floor(e / 2)
-        scaled = lambda e: F.round(F.when(F.abs(e) > 290, column / ten(half(e)) / ten(e - 8 - half(e))).otherwise(column / ten(e - 8))).cast("long")
-        exponent = F.floor(F.log10(F.abs(column)))
-        rounded = scaled(exponent)
-        # Rounding may carry into one more figure, and the logarithm may be off by one beside a power of ten.
-        over, under = F.abs(rounded) >= 1_000_000_000, F.abs(rounded) < 100_000_000
-        exponent = F.when(over, exponent + 1).when(under, exponent - 1).otherwise(exponent)
-        figures = F.when(over | under, scaled(exponent)).otherwise(rounded)
-        unit = ten(F.greatest(F.least(8 - exponent, F.lit(8)), F.lit(0))).cast("long")
-        whole = (exponent >= 0) & (exponent <= 8) & (figures % unit == 0)
-        text = F.when(whole, (figures / unit).cast("long").cast("string")).otherwise(F.concat(figures.cast("string"), F.lit("e"), exponent.cast("string")))
-        plain = F.when(F.isnan(column), "nan").when(F.abs(column) == float("inf"), column.cast("string")).when(column == 0, "0")
-        return F.coalesce(plain, text, F.lit(""))
-    return F.coalesce(column.cast("string"), F.lit(""))
+def _apart(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two of 26 bits, whose products are exact."""
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    return high, x - high
+
+
+def _excess(a: Column, b: Column, product: Column) -> Column:
+    """By how much the true product exceeds the rounded one, exactly."""
+    (ah, al), (bh, bl) = _apart(a), _apart(b)
+    return ((ah * bh - product) + ah * bl + al * bh) + al * bl
+
+
+def cells(result: DataFrame) -> DataFrame:
+    """Every value of ``result`` as text, so that equal answers read the same, in columns c0, c1 and so on.
+
+    Null is empty, floats have nine figures, whole floats of up to nine read as whole numbers. The last figure is that of the
+    double's true value, halves to the even one. Each step is a column of its own, made once.
+    """
+    plain = result.toDF(*(f"c{i}" for i in range(len(result.columns))))
+    floats = [f.name for f in plain.schema if isinstance(f.dataType, T.FloatType | T.DoubleType)]
+    ten = lambda e: F.pow(F.lit(10.0), e)
+    at = lambda c, what: F.col(f"{c}_{what}")
+    size = lambda c: at(c, "size")
+
+    def scaled(c: str, e: Column) -> Column:
+        half = F.floor(e / 2)  # powers beyond a double's range are taken in two steps
+        return F.when(F.abs(e) > 290, size(c) / ten(half) / ten(e - 8 - half)).when(e < 8, size(c) * ten(8 - e)).otherwise(size(c) / ten(e - 8))
+
+    def add(frame: DataFrame, what: str, make) -> DataFrame:
+        return frame.withColumns({f"{c}_{what}": make(c) for c in floats})
+
+    finite = lambda x: (x > 0) & (x < float("inf"))
+    rows = add(plain, "size", lambda c: F.when(finite(F.abs(F.col(c).cast("double"))), F.abs(F.col(c).cast("double"))))
+    rows = add(rows, "guess", lambda c: F.floor(F.log10(size(c))))
+    rows = add(rows, "rough", lambda c: scaled(c, at(c, "guess")))
+    # The logarithm may be off by one beside a power of ten.
+    rows = add(rows, "e", lambda c: F.when(at(c, "rough") >= 1e9, at(c, "guess") + 1).when(at(c, "rough") < 1e8, at(c, "guess") - 1).otherwise(at(c, "guess")))
+    rows = add(rows, "s", lambda c: scaled(c, at(c, "e")))
+    rows = add(rows, "unit", lambda c: ten(F.abs(at(c, "e") - 8)))
+    # What looks like a half may be a little more or less: the sign of the difference from the half is worked out exactly.
+    rows = add(rows, "tie", lambda c: F.floor(at(c, "s")) + F.lit(0.5))
+
+    def side(c: str) -> Column:
+        up, down = size(c) * at(c, "unit"), at(c, "tie") * at(c, "unit")
+        return F.when(at(c, "e") < 8, (up - at(c, "tie")) + _excess(size(c), at(c, "unit"), up)).otherwise((size(c) - down) - _excess(at(c, "tie"), at(c, "unit"), down))
+
+    exact = lambda c: (at(c, "s") == at(c, "tie")) & (F.abs(at(c, "e") - 8) <= 22)
+    rows = add(rows, "side", lambda c: F.when(exact(c), side(c)).otherwise(0.0))
+    rows = add(rows, "m", lambda c: F.when(at(c, "side") > 0, F.ceil("%s_s" % c)).when(at(c, "side") < 0, F.floor("%s_s" % c)).otherwise(F.rint(at(c, "s")).cast("long")))
+
+    def text(c: str) -> Column:
+        carry = at(c, "m") == 1_000_000_000  # rounding has made one figure more
+        e, m = F.when(carry, at(c, "e") + 1).otherwise(at(c, "e")), F.when(carry, 100_000_000).otherwise(at(c, "m"))
+        sign = F.when(F.col(c) < 0, "-").otherwise("")
+        unit = ten(F.greatest(F.least(8 - e, F.lit(8)), F.lit(0))).cast("long")
+        whole = (e >= 0) & (e <= 8) & (m % unit == 0)
+        shown = F.when(whole, (m / unit).cast("long").cast("string")).otherwise(F.concat(m.cast("string"), F.lit("e"), e.cast("string")))
+        return F.coalesce(F.when(F.isnan(c), "nan").when(F.abs(F.col(c)) == float("inf"), F.col(c).cast("string")).when(F.col(c) == 0, "0"), F.concat(sign, shown), F.lit(""))
+
+    return rows.select(*((text(c) if c in floats else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in plain.columns))
 
 
 def fingerprint(result: DataFrame) -> DataFrame:
@@ -43,9 +85,10 @@ def fingerprint(result: DataFrame) -> DataFrame:
 
     The sum of the rows' hashes is the same for every order, so nothing is sorted or collected, whatever the size.
     """
-    row = F.concat_ws("\x1f", *(cell(F.col(f.name), f.dataType) for f in result.schema))
+    shown = cells(result)
+    row = F.concat_ws("\x1f", *shown.columns)
     part = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(20,0)")
-    total = result.agg(F.sum(part).alias("s"), F.count("*").alias("n_rows"))
+    total = shown.agg(F.sum(part).alias("s"), F.count("*").alias("n_rows"))
     return total.select(F.when(F.col("n_rows") == 0, "empty").otherwise(F.concat_ws(":", F.col("n_rows").cast("string"), F.col("s").cast("string"))).alias("result_hash"), "n_rows")
 
 
