@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from valuegate.functions import text as tx
+from valuegate.operators.lookup import substring_pairs
 
 CONFIDENT, USEFUL = 0.75, 0.65
 
@@ -17,9 +18,16 @@ def number_symbols(resolutions: DataFrame) -> DataFrame:
 
 
 def spellings(mentions: DataFrame, values: DataFrame) -> DataFrame:
-    """(mention, ref, n): how many distinct values of its column hold the mention. The join is on the column, then by containment."""
-    pairs = mentions.select("mention", "ref").distinct().join(values.select("value", "ref").distinct(), "ref")
-    return pairs.filter(F.contains(F.lower("value"), F.lower("mention"))).groupBy("mention", "ref").agg(F.count("*").alias("n"))
+    """(mention, ref, n): how many distinct values of its column hold the mention, whatever the case; mentions that none holds have no row.
+
+    Mentions are looked up among the values' distinct texts, not against all values of their column. An empty mention is in every value.
+    """
+    asked = mentions.select("mention", "ref", F.lower("mention").alias("part")).distinct()
+    held = values.select("ref", F.lower("value").alias("text"), "value").distinct().groupBy("ref", "text").agg(F.count("*").alias("n"))
+    met = asked.join(substring_pairs(asked, held), "part").join(held, ["ref", "text"])
+    found = met.groupBy("mention", "ref").agg(F.sum("n").alias("n"))
+    every = asked.filter("part = ''").join(held.groupBy("ref").agg(F.sum("n").alias("n")), "ref")
+    return found.unionAll(every.select("mention", "ref", "n"))
 
 
 def vault(numbered: DataFrame, counted: DataFrame) -> DataFrame:

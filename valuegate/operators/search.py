@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from valuegate.functions import similarity as sim
 from valuegate.functions import text as tx
+from valuegate.operators.lookup import cosine, cosine_pairs, prefix_pairs, substring_pairs, unit_vectors
 from valuegate.sources.folders import stored
 
 LEAST, LEAST_FUZZY = 0.55, 0.80
@@ -27,13 +29,12 @@ def _tokens(text: Column) -> Column:
 def prefix_candidates(mentions: DataFrame, index: DataFrame) -> DataFrame:
     """(mention, value, ref, matched, n_tokens): values with tokens that begin with tokens of the mention.
 
-    Both sides meet on the first two or three characters of a token, then the whole prefix is checked.
+    Distinct tokens meet distinct words by intervals of their sorted order; who holds them is joined afterwards.
     """
     asked = mentions.select("mention", F.array_distinct(_tokens(F.col("mention"))).alias("ts")).filter(F.size("ts") > 0)
-    asked = asked.select("mention", F.size("ts").alias("n_tokens"), F.explode("ts").alias("token")).withColumn("key", F.left("token", F.lit(3)))
-    stored = index.select("value", "ref", F.explode(F.array_distinct(_tokens(F.col("value")))).alias("word"))
-    keys = F.array_distinct(F.array(F.left("word", F.lit(2)), F.left("word", F.lit(3))))
-    met = asked.join(stored.withColumn("key", F.explode(keys)), "key").filter(F.startswith("word", "token"))
+    asked = asked.select("mention", F.size("ts").alias("n_tokens"), F.explode("ts").alias("token"))
+    held = index.select("value", "ref", F.explode(F.array_distinct(_tokens(F.col("value")))).alias("word"))
+    met = asked.join(prefix_pairs(asked, held), "token").join(held, "word")
     return met.groupBy("mention", "value", "ref", "n_tokens").agg(F.count_distinct("token").alias("matched"))
 
 
@@ -57,20 +58,13 @@ def search_prefix(mentions: DataFrame, index: DataFrame, least: float = LEAST) -
     return first_level(prefix_scored(mentions, index, least), ["mention"]).select("mention", "value", "ref", "score")
 
 
-def _pieces(text: Column, places: Column, size: int) -> Column:
-    return F.transform(places, lambda i: F.substring(text, i, F.lit(size)))
-
-
 def search_contains(mentions: DataFrame, values: DataFrame, most: int = CONTAINED) -> DataFrame:
-    """(mention, value, ref): distinct values that hold the mention, at most ``most`` of a column. Values are blocked by the mention's first three characters, or all of a shorter one; an empty mention has none."""
-    key = lambda c: F.left(F.lower(F.trim(c)), F.lit(3))
-    low = F.lower("value")
-    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    grams = F.array_distinct(F.concat(*(_pieces(low, places, n) for n in (1, 2, 3))))
-    each = values.select("value", "ref").distinct().withColumn("key", F.explode(grams))
-    met = mentions.select("mention", key(F.col("mention")).alias("key")).filter("key <> ''").distinct().join(each, "key").filter(F.contains(low, F.lower(F.trim("mention"))))
+    """(mention, value, ref): distinct values that hold the mention, at most ``most`` of a column; case and outer blanks do not matter. An empty mention has none."""
+    named = mentions.select("mention", F.lower(F.trim("mention")).alias("part")).distinct()
+    held = values.select("value", "ref", F.lower("value").alias("text")).distinct()
+    met = named.join(substring_pairs(named, held), "part").join(held, "text")
     order = Window.partitionBy("mention", "ref").orderBy("value")
-    return met.select("mention", "value", "ref").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
+    return met.select("mention", "value", "ref").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
 
 
 def _letters(text: Column) -> Column:
@@ -174,19 +168,9 @@ def cascade(asked: DataFrame, index: DataFrame, scope: DataFrame, tier_b: DataFr
     return met.select("type", "mention", "value", "ref", "score", "position", "scoped")
 
 
-def _grams(df: DataFrame, keys: list[str], text: Column, name: str) -> DataFrame:
-    """(keys, gram, name, norm): the counts of a text's trigrams and their length as a vector."""
-    counts = df.select(*keys, F.explode(tx.trigrams(text)).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias(name))
-    norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col(name) * F.col(name))).alias("norm"))
-    return counts.join(norms, keys)
-
-
-def cosines(mentions: DataFrame, others: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """(mention, keys, cos): trigram cosine of all pairs that share a trigram."""
-    left = _grams(mentions, ["mention"], F.col("mention"), "a").withColumnRenamed("norm", "na")
-    right = _grams(others, keys, text, "b").withColumnRenamed("norm", "nb")
-    met = left.join(right, "gram").groupBy("mention", *keys, "na", "nb").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    return met.select("mention", *keys, (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cos"))
+def trigram_vectors(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """(keys, vector): the trigrams of a text as a unit vector."""
+    return unit_vectors(rows, keys, tx.trigrams(text))
 
 
 def link_columns(mentions: DataFrame, cards: DataFrame, heads: DataFrame, most: int = LINKS) -> DataFrame:
@@ -194,22 +178,38 @@ def link_columns(mentions: DataFrame, cards: DataFrame, heads: DataFrame, most:
 
     A synonym is certain; else three quarters of the likeness to table and column, or to a synonym at 0.6, and a quarter of
     that to the column alone; a head word with another word in the names gives 0.9 at least.
+
+    A score that counts needs one of the likenesses to reach it, a synonym or a head word: pairs are met by these, and only those
+    are scored. The cards grow with the schema, the mentions with the texts.
     """
     from valuegate.operators.profile import names_a_column
 
-    surface = cosines(mentions, cards, ["ref"], F.concat_ws(" ", "table_name", "column_name")).withColumnRenamed("cos", "c1")
-    own = cosines(mentions, cards, ["ref"], F.col("column_name")).withColumnRenamed("cos", "c2")
-    named = cards.select("ref", F.explode("synonyms").alias("synonym"))
-    partial = cosines(mentions, named, ["ref", "synonym"], F.col("synonym")).groupBy("mention", "ref").agg((0.6 * F.max("cos")).alias("c3"))
-    pairs = surface.join(own, ["mention", "ref"], "full").join(partial, ["mention", "ref"], "full")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    score = 0.75 * F.greatest(zero("c1"), zero("c3")) + 0.25 * zero("c2")
-    pairs = pairs.join(cards, "ref").join(names_a_column(mentions, heads), "mention", "left")
+    asked = stored(trigram_vectors(mentions.select("mention").distinct(), ["mention"], F.col("mention")), "mention-vectors")
+    named = cards.select("ref", F.explode("synonyms").alias("synonym")).distinct()
+    surface = trigram_vectors(cards, ["ref"], F.concat_ws(" ", "table_name", "column_name"))
+    own = trigram_vectors(cards, ["ref"], F.col("column_name"))
+    partial = trigram_vectors(named, ["ref", "synonym"], F.col("synonym"))
+    least = LEAST_LINK - 1e-4  # the score is rounded before it is compared
     plain = F.array_join(tx.find_all(F.lower("mention"), "[a-z0-9]+"), " ")
-    context = F.filter(F.slice(F.split(plain, " "), 1, F.greatest(F.size(F.split(plain, " ")) - 1, F.lit(1))), lambda w: F.length(w) > 3)
-    headed = F.col("head").isNotNull() & F.contains("column_name", "head") & F.exists(context, lambda w: F.contains(F.col("table_name"), w) | F.contains(F.col("column_name"), w))
+    headed = names_a_column(mentions, heads)
+    ends = F.flatten(F.transform(F.sequence(F.lit(1), F.length("column_name")), lambda i: F.transform(F.sequence(F.lit(3), F.lit(10)), lambda n: F.substring(F.col("column_name"), i, n))))
+    met = [
+        cosine_pairs(asked, "mention", surface, ["ref"], least).select("mention", "ref"), cosine_pairs(asked, "mention", own, ["ref"], least).select("mention", "ref"),
+        cosine_pairs(asked, "mention", partial, ["ref", "synonym"], least / 0.6).select("mention", "ref"),
+        mentions.select("mention", plain.alias("s")).join(named.select("ref", F.lower("synonym").alias("s")), "s").select("mention", "ref"),
+        headed.join(cards.select("ref", F.explode(F.array_distinct(ends)).alias("head")), "head").select("mention", "ref"),
+    ]
+    pairs = reduce(DataFrame.unionAll, met).distinct().join(asked.withColumnRenamed("vector", "m"), "mention", "left")
+    for vectors, name in ((surface, "v1"), (own, "v2"), (partial.groupBy("ref").agg(F.collect_list("vector").alias("vector")), "v3")):
+        pairs = pairs.join(vectors.withColumnRenamed("vector", name), "ref", "left")
+    likest = F.coalesce(F.array_max(F.transform("v3", lambda v: cosine(F.col("m"), v))), F.lit(0.0))
+    score = 0.75 * F.greatest(cosine(F.col("m"), F.col("v1")), 0.6 * likest) + 0.25 * cosine(F.col("m"), F.col("v2"))
+    pairs = pairs.select("mention", "ref", score.alias("base")).join(cards, "ref").join(headed, "mention", "left")
+    words = F.split(plain, " ")
+    context = F.filter(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), lambda w: F.length(w) > 3)
+    by_head = F.col("head").isNotNull() & F.contains("column_name", "head") & F.exists(context, lambda w: F.contains(F.col("table_name"), w) | F.contains(F.col("column_name"), w))
     certain = F.exists("synonyms", lambda s: F.lower(s) == plain)
-    final = F.round(F.when(certain, 1.0).when(F.coalesce(headed, F.lit(False)), F.greatest(score, F.lit(0.9))).otherwise(score), 4)
+    final = F.round(F.when(certain, 1.0).when(F.coalesce(by_head, F.lit(False)), F.greatest("base", F.lit(0.9))).otherwise(F.col("base")), 4)
     order = Window.partitionBy("mention").orderBy(F.desc("score"), F.length("ref"), "ref")
     return pairs.select("mention", "ref", final.alias("score")).filter(F.col("score") >= LEAST_LINK).withColumn("p", F.row_number().over(order)).filter(F.col("p") <= most).drop("p")
 
