@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from valuegate.operators.ranks import medians, same
+
 #: A perplexity that is missing counts as this in a vote.
 UNSURE = 9.9
 #: The least votes that make a consensus.
@@ -147,8 +149,11 @@ def summarise(scored: DataFrame) -> DataFrame:
     rows = scored.groupBy("variant").agg(
         F.count("*").alias("asked"), yes("success").alias("executed"), yes("correct").alias("correct"), F.count("correct").alias("scored"),
         yes("refusal").alias("refusals"), yes("escalated").alias("escalations"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
-        F.round(F.sum(F.col("dollars").cast("decimal(28,8)")), 6).cast("double").alias("dollars"), F.round(F.median("ms"), 1).alias("ms_median"), F.round(F.median("perplexity"), 3).alias("perplexity_median"),
+        F.round(F.sum(F.col("dollars").cast("decimal(28,8)")), 6).cast("double").alias("dollars"),
     )
+    middle = medians(scored, ["variant"], {"ms": F.col("ms"), "perplexity": F.col("perplexity")})
+    middle = middle.select("variant", F.round("ms", 1).alias("ms_median"), F.round("perplexity", 3).alias("perplexity_median"))
+    rows = same(rows, middle, ["variant"], "left")
     return rows.withColumns(
         {
             "executable_rate": _rate(F.col("executed"), F.col("asked")),
@@ -218,9 +223,10 @@ def calibrate(scored: DataFrame) -> DataFrame:
     rows = scored.filter(F.col("perplexity").isNotNull() & F.col("correct").isNotNull())
     totals = rows.agg(
         F.count_if("correct").alias("right"), F.count_if(~F.col("correct")).alias("wrong"), F.count("*").alias("samples"),
-        F.round(F.median(F.when(F.col("correct"), F.col("perplexity"))), 3).alias("median_when_right"),
-        F.round(F.median(F.when(~F.col("correct"), F.col("perplexity"))), 3).alias("median_when_wrong"),
     )
+    middle = medians(rows, [], {"right": F.when(F.col("correct"), F.col("perplexity")), "wrong": F.when(~F.col("correct"), F.col("perplexity"))})
+    middle = middle.select(F.round("right", 3).alias("median_when_right"), F.round("wrong", 3).alias("median_when_wrong"))
+    totals = totals.crossJoin(F.broadcast(middle))  # one row and one row
     points = rows.select("perplexity", F.col("correct").cast("int").alias("r"), (~F.col("correct")).cast("int").alias("w"), F.lit(0).alias("cut"))
     cuts = rows.select(F.bround("perplexity", 2).alias("perplexity"), F.lit(0).alias("r"), F.lit(0).alias("w"), F.lit(1).alias("cut"))
     values = points.unionAll(cuts).groupBy("perplexity").agg(F.sum("r").alias("r"), F.sum("w").alias("w"), F.max("cut").alias("cut"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuegate.operators.gate import TOKEN, fingerprint
+from valuegate.operators.ranks import medians, same
 
 LINE = "timestamp timestamp, context string, allowed boolean, length long, bypassed boolean, token_count long, fingerprint string, refused_tokens array<string>"
 
@@ -69,4 +70,6 @@ def egress(runs: DataFrame) -> DataFrame:
 def step_latency(runs: DataFrame) -> DataFrame:
     """Milliseconds of each step and zone over runs with an array ``steps`` of (id, zone, ms)."""
     steps = runs.select(F.explode("steps").alias("s")).select("s.*")
-    return steps.groupBy("id", "zone").agg(F.count("*").alias("n"), F.round(F.sum("ms"), 2).alias("total_ms"), F.round(F.median("ms"), 2).alias("median_ms"), F.max("ms").alias("max_ms"))
+    sums = steps.groupBy("id", "zone").agg(F.count("*").alias("n"), F.round(F.sum("ms"), 2).alias("total_ms"), F.max("ms").alias("max_ms"))
+    middle = medians(steps, ["id", "zone"], {"median_ms": F.col("ms")}).withColumn("median_ms", F.round("median_ms", 2))
+    return same(sums, middle, ["id", "zone"], "left").select("id", "zone", "n", "total_ms", "median_ms", "max_ms")
