@@ -143,29 +143,49 @@ def value_search(mentions: DataFrame, index: DataFrame, tier_b: DataFrame | None
     return rank(found.unionAll(search_fuzzy(left, index)), scope)
 
 
+def within(values: DataFrame, refs: DataFrame) -> DataFrame:
+    """``values`` of the columns in ``refs``. Values that are stored by column are read from the folders of these columns alone: the scan is pruned
+    by what the small side holds when the query runs."""
+    few = refs.select("ref").distinct().filter(F.col("ref") > "")  # pruning needs a side with a condition
+    return values.join(F.broadcast(few), "ref").select(*values.columns)  # a column reference each: of the schema's size
+
+
+def _beyond_prefixes(left: DataFrame, index: DataFrame, tier_b: DataFrame | None) -> DataFrame:
+    """(mention, value, ref, score, level): what columns resolved on demand (2) and misspellings (3) give."""
+    found = search_fuzzy(left, index, most=None).withColumn("level", F.lit(3))
+    if tier_b is not None:
+        held = scored(search_contains(left, tier_b)).filter(F.col("score") >= LEAST)
+        found = found.unionAll(held.select("mention", "value", "ref", "score", F.lit(2)))
+    return found
+
+
 def cascade(asked: DataFrame, index: DataFrame, scope: DataFrame, tier_b: DataFrame | None = None) -> DataFrame:
     """(type, mention, value, ref, score, position, scoped): what each mention of a type may be.
 
     ``scope`` has the columns (type, ref, position) that a type is looked for in. Within them prefixes go first, then columns
-    resolved on demand, then misspellings; only if all of them find nothing there, the same is done in all columns.
+    resolved on demand, then misspellings; only if all of them find nothing there, the same is done in all columns. The first
+    part reads the columns of the asked types alone.
     """
-    first = stored(prefix_scored(asked.select("mention").distinct(), index), "prefix-hits")
-    limited = scope.select("type").distinct().withColumn("limited", F.lit(True))
-    inside = asked.join(first, "mention").join(scope, ["type", "ref"]).select("type", "mention").distinct().withColumn("inside", F.lit(True))
-    some = first.select("mention").distinct().withColumn("some", F.lit(True))
-    state = asked.join(limited, "type", "left").join(inside, ["type", "mention"], "left").join(some, "mention", "left")
-    left = state.filter(F.when(F.col("limited"), F.col("inside").isNull()).otherwise(F.col("some").isNull())).select("mention").distinct()
-    every = first.unionAll(search_fuzzy(left, index, most=None).withColumn("level", F.lit(3)))
-    if tier_b is not None:
-        found = scored(search_contains(left, tier_b)).filter(F.col("score") >= LEAST)
-        every = every.unionAll(found.select("mention", "value", "ref", "score", F.lit(2)))
-    met = asked.join(every, "mention").join(scope, ["type", "ref"], "left")
-    keys = ["type", "mention"]
-    met = met.withColumn("scoped", F.max(F.col("position").isNotNull()).over(Window.partitionBy(*keys)))
-    met = first_level(met.filter(~F.col("scoped") | F.col("position").isNotNull()), keys)
+    keys, asked = ["type", "mention"], asked.select("type", "mention").distinct()
+    mentions = lambda rows: rows.select("mention").distinct()
+    limited = asked.join(scope.select("type").distinct(), "type", "left_semi")
+    refs = stored(scope.join(asked.select("type").distinct(), "type", "left_semi").select("ref").distinct(), "scope")
+    near, near_b = within(index, refs), None if tier_b is None else within(tier_b, refs)
+    placed = lambda pairs, found: pairs.join(found, "mention").join(scope, ["type", "ref"])
+    first = placed(limited, prefix_scored(mentions(limited), near))
+    first = stored(first.select(*keys, "value", "ref", "score", "level", "position"), "scoped-prefix-hits")
+    open_ = limited.join(first.select(*keys).distinct(), keys, "left_anti")
+    inside = first.unionByName(placed(open_, _beyond_prefixes(mentions(open_), near, near_b)).select(first.columns)).withColumn("scoped", F.lit(True))
+    inside = stored(inside, "scoped-hits")
+    rest = stored(asked.join(inside.select(*keys).distinct(), keys, "left_anti"), "unscoped")
+    anywhere = stored(prefix_scored(mentions(rest), index), "prefix-hits")
+    open_ = mentions(rest).join(mentions(anywhere), "mention", "left_anti")
+    outside = rest.join(anywhere.unionByName(_beyond_prefixes(open_, index, tier_b)), "mention")
+    outside = outside.select(*keys, "value", "ref", "score", "level", F.lit(None).cast("int").alias("position"), F.lit(False).alias("scoped"))
+    met = first_level(inside.withColumn("position", F.col("position").cast("int")).unionByName(outside), keys)
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "value", "ref")
     met = met.withColumn("place", F.row_number().over(order)).filter((F.col("level") < 3) | (F.col("place") <= FUZZY))
-    return met.select("type", "mention", "value", "ref", "score", "position", "scoped")
+    return met.select(*keys, "value", "ref", "score", "position", "scoped")
 
 
 def trigram_vectors(rows: DataFrame, keys: list[str], text: Column) -> DataFrame:
