@@ -54,6 +54,22 @@ def stream_gate(t: Tables) -> DataFrame:
     return t.spark.read.parquet(folder).select("id", "allowed", F.array_join("refused", "|").alias("refused"), "rule")
 
 
+@query(
+    "stream_journal",
+    f"{gp._BASE}, {gp._over(gp._REFUSED, 'messages')}, {gp._over(gp._VERDICT, 'messages')}, j AS (SELECT v.allowed, length(m.text)::bigint AS length, false AS bypassed FROM verdict v JOIN messages m USING (id)) {ev._REPORT} FROM j",
+)
+def stream_journal(t: Tables) -> DataFrame:
+    """Messages pass the gate as a stream into the journal, which a second stream reports on; both stop half-way and go on where they were."""
+    source, journal, report = (new_folder(t.spark, name) for name in ("texts", "stream-journal", "stream-report"))
+    messages = gp.messages(t)
+    for half in ("id % 2 = 0", "id % 2 <> 0"):
+        messages.filter(half).write.mode("append").parquet(source)
+        texts = t.spark.readStream.schema(messages.schema).parquet(source)
+        jobs.finish(jobs.journal(texts, lambda batch: gp.verdict(t, batch), journal, "stream"))
+        jobs.finish(jobs.report(jobs.follow(t.spark, journal), report))
+    return t.spark.read.parquet(report)
+
+
 _STEPS = "SELECT event_id, user_id AS run, ts AS timestamp, value AS ms FROM events"
 
 

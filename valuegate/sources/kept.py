@@ -30,6 +30,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def moved(spark: SparkSession, draft: str, place: str) -> bool:
+    """Moves a written folder into place at once; where another has come first, it stays aside."""
+    system, where = _file_system(spark, place)
+    system.mkdirs(where.getParent())
+    return system.rename(_file_system(spark, draft)[1], where)
+
+
 def kept(spark: SparkSession, name: str, version: str, schema: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
     """The table ``name`` of this version of its sources: read where it is whole, else made, written beside and moved into place."""
     folder = f"{shared_folder(spark)}/kept-{LAYOUT}/{name}-{version}"
@@ -37,7 +44,5 @@ def kept(spark: SparkSession, name: str, version: str, schema: str, make: Callab
         draft = new_folder(spark, f"draft-{name}")
         frame = make()
         (frame.write.partitionBy(*partition_by) if partition_by else frame.write).parquet(draft)
-        system, where = _file_system(spark, folder)
-        system.mkdirs(where.getParent())
-        system.rename(_file_system(spark, draft)[1], where)  # if another driver was first, this one's draft stays aside
+        moved(spark, draft, folder)
     return spark.read.schema(schema).parquet(folder)

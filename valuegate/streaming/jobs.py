@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuegate.operators import journal as jr
+from valuegate.sources.kept import exists, moved
 
 
 def report(lines: DataFrame, folder: str):
@@ -35,6 +37,32 @@ def gate(texts: DataFrame, verdicts: Callable[[DataFrame], DataFrame], folder: s
     return texts.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}-progress")
 
 
+def published(lines: DataFrame, folder: str, number: int) -> None:
+    """The lines of one batch, once: written aside and moved into place whole. A batch that is repeated after a crash finds its folder there and
+    leaves it as it is, so what reads the folder as a stream sees each line once."""
+    place = f"{folder}/batch={number}"
+    if exists(lines.sparkSession, place):
+        return
+    draft = f"{folder}-drafts/{number}-{uuid.uuid4().hex}"
+    lines.write.json(draft)
+    moved(lines.sparkSession, draft, place)
+
+
+def journal(texts: DataFrame, verdicts: Callable[[DataFrame], DataFrame], folder: str, context: str):
+    """The gate as a stream into the journal: each batch's verdicts become journal lines, exactly once whatever restarts there are."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch = batch.select("id", "text")
+        published(jr.verdict_lines(verdicts(batch), batch, context, F.current_timestamp()), folder, number)
+
+    return texts.writeStream.foreachBatch(store).option("checkpointLocation", f"{folder}-progress")
+
+
+def follow(spark: SparkSession, folder: str) -> DataFrame:
+    """The journal that ``journal`` writes, as a stream of lines."""
+    return jr.parsed(spark.readStream.option("recursiveFileLookup", "true").text(folder))
+
+
 def sessions(steps: DataFrame, folder: str, gap: str = "30 minutes", late: str = "10 minutes"):
     """Steps and milliseconds of each run's sessions; a step that is delivered twice counts once."""
     once = steps.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["event_id"])
