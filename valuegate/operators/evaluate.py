@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from valuegate.operators.ranks import medians, same
 
+#: The stages that refuse.
+REFUSING = ("mask", "gate")
 #: A perplexity that is missing counts as this in a vote.
 UNSURE = 9.9
 #: The least votes that make a consensus.
@@ -94,6 +96,11 @@ def fingerprint(result: DataFrame) -> DataFrame:
     return total.select(F.when(F.col("n_rows") == 0, "empty").otherwise(F.concat_ws(":", F.col("n_rows").cast("string"), F.col("s").cast("string"))).alias("result_hash"), "n_rows")
 
 
+def is_refusal(stage: Column) -> Column:
+    """Whether a run failed by refusing to send, not by being wrong."""
+    return F.coalesce(stage.isin(*REFUSING), F.lit(False))
+
+
 def usable(success: str = "success", result_hash: str = "result_hash") -> Column:
     h = F.col(result_hash)
     return F.col(success) & ~h.isin("", "empty") & ~h.startswith("error:") & ~h.startswith("truncated:")

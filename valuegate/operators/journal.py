@@ -73,3 +73,15 @@ def step_latency(runs: DataFrame) -> DataFrame:
     sums = steps.groupBy("id", "zone").agg(F.count("*").alias("n"), F.round(F.sum("ms"), 2).alias("total_ms"), F.max("ms").alias("max_ms"))
     middle = medians(steps, ["id", "zone"], {"median_ms": F.col("ms")}).withColumn("median_ms", F.round("median_ms", 2))
     return same(sums, middle, ["id", "zone"], "left").select("id", "zone", "n", "total_ms", "median_ms", "max_ms")
+
+
+def step_detail(runs: DataFrame, fields: dict[str, tuple]) -> DataFrame:
+    """Of each step and zone: how often it ran, how many details are malformed, its milliseconds, and ``fields`` of the details.
+
+    ``fields`` maps a column to (path, type, aggregate). A detail is any JSON; it is read once into a variant, and a field that is absent or of
+    another type is null.
+    """
+    steps = runs.select(F.explode("steps").alias("s")).select("s.*").withColumn("v", F.try_parse_json("detail"))
+    picked = {name: F.when(F.schema_of_variant("v").isNotNull(), F.try_variant_get("v", path, kind)) for name, (path, kind, _) in fields.items()}
+    rows = steps.select("id", "zone", "ms", F.col("v").isNull().alias("malformed"), *(c.alias(name) for name, c in picked.items()))
+    return rows.groupBy("id", "zone").agg(F.count("*").alias("n"), F.count_if("malformed").alias("malformed"), F.round(F.sum("ms"), 2).alias("total_ms"), *(f(name).alias(name) for name, (_, _, f) in fields.items()))

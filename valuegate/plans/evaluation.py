@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from valuegate.operators import evaluate as ev
 from valuegate.operators import journal as jr
 from valuegate.plans.registry import Tables, query
+from valuegate.sources.local import local_rows
 
-RESULTS = """SELECT event_id AS attempt, event_type AS variant, user_id AS question, regexp_extract(props, '([0-9]+)', 1) AS result_hash, value AS ms,
-  (event_type <> 'error' OR event_id % 2 = 0) AS success, (event_id % 7 = 0) AS refusal, (event_id % 5 = 0) AS escalated,
+RUNS = """SELECT event_id AS attempt, event_type AS variant, user_id AS question, regexp_extract(props, '([0-9]+)', 1) AS result_hash, value AS ms,
+  (event_type <> 'error' OR event_id % 2 = 0) AS success, (event_id % 5 = 0) AS escalated,
   100 + event_id % 400 AS prompt_tokens, event_id % 90 AS completion_tokens, CASE WHEN event_id % 11 <> 0 THEN round(1 + value / 100, 4) END AS perplexity,
-  CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN CASE WHEN event_id % 3 = 0 THEN 'gate' ELSE 'sql_validation' END END AS failed_stage,
+  CASE WHEN event_type = 'error' AND event_id % 2 = 1 THEN CASE event_id % 3 WHEN 0 THEN 'gate' WHEN 1 THEN 'mask' ELSE 'sql_validation' END END AS failed_stage,
   concat('model', event_id % 4) AS model FROM events"""
+RESULTS = f"SELECT *, coalesce(failed_stage IN ('gate', 'mask'), false) AS refusal FROM ({RUNS})"
 GOLD = "SELECT user_id AS question, min(regexp_extract(props, '([0-9]+)', 1)) AS expected FROM events WHERE user_id % 3 = 0 GROUP BY user_id"
 JOURNAL = "SELECT event_id, ts AS timestamp, event_type AS context, event_type <> 'error' AS allowed, cast(floor(value) AS bigint) AS length, event_type = 'view' AS bypassed FROM events"
 #: Prices a million tokens of three of the four models.
@@ -35,11 +37,11 @@ _SUMMARY = """summary AS (SELECT *, CASE WHEN asked > 0 THEN round(executed / as
 
 
 def results(t: Tables) -> DataFrame:
-    return t.sql(RESULTS)
+    return t.sql(RUNS).withColumn("refusal", ev.is_refusal(F.col("failed_stage")))
 
 
 def scored(t: Tables) -> DataFrame:
-    prices = t.spark.createDataFrame(PRICES, "model string, price_in double, price_out double")
+    prices = local_rows(t.spark, PRICES, "model string, price_in double, price_out double")
     return ev.score(ev.cost(results(t), prices), t.sql(GOLD))
 
 
@@ -185,14 +187,14 @@ def journal_scan(t: Tables) -> DataFrame:
     return rows.groupBy("context", "allowed", "length", "bypassed").agg(F.count("*").alias("n"))
 
 
-@query("journal_append", f"WITH j AS ({JOURNAL}) {_REPORT} FROM j WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+@query("journal_append", f"WITH j AS ({JOURNAL}) {_REPORT} FROM j")
 def journal_append(t: Tables) -> DataFrame:
     from valuegate.sources.folders import new_folder
 
     folder = new_folder(t.spark, "journal")
     lines = t.sql(JOURNAL)
     jr.append(lines.filter("event_id % 2 = 0").drop("event_id"), folder)
-    jr.append(lines.filter("event_id % 2 <> 0 AND event_id % 3 = 0").drop("event_id"), folder)
+    jr.append(lines.filter("event_id % 2 <> 0").drop("event_id"), folder)
     return jr.report(jr.scan(t.spark, folder))
 
 
@@ -205,3 +207,20 @@ def egress_by_arm(t: Tables) -> DataFrame:
 def step_latency(t: Tables) -> DataFrame:
     # The nested run log: an array of steps for each user and day.
     return jr.step_latency(t.sql("SELECT user_id, cast(ts AS date) AS day, collect_list(named_struct('id', event_type, 'zone', concat('zone', event_id % 2), 'ms', value)) AS steps FROM events GROUP BY user_id, cast(ts AS date)"))
+
+
+_DETAIL = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('{{\"rows\": ', event_id % 50, ', \"kind\": \"', event_type, '\", \"more\": {{\"retries\": ', event_id % 3, '}}}}') WHEN 2 THEN '{{\"rows\": \"many\"}}' ELSE '{{\"rows\": 1' END".replace("{{", "{").replace("}}", "}")
+_STEP = f"SELECT event_id, user_id, event_type AS id, concat('zone', event_id % 2) AS zone, value AS ms, {_DETAIL} AS detail FROM events"
+
+
+@query(
+    "step_detail",
+    f"""WITH s AS ({_STEP}), d AS (SELECT *, json_valid(detail) AS told, CASE WHEN json_valid(detail) THEN detail END AS j FROM s)
+    SELECT id, zone, count(*) AS n, count_if(NOT told) AS malformed, round(sum(ms), 2) AS total_ms, sum(CASE WHEN json_type(j, '$.rows') IN ('UBIGINT', 'BIGINT') THEN (j->>'$.rows')::bigint END)::bigint AS n_rows,
+      max((j->>'$.more.retries')::bigint) AS most_retries, count(j->>'$.kind') AS n_kinds, max((j->>'$.k')::bigint) AS most_k FROM d GROUP BY id, zone""",
+)
+def step_detail(t: Tables) -> DataFrame:
+    """Latency of steps together with fields of their free-form detail, some of it malformed, from one nested run log."""
+    runs = t.sql(f"SELECT user_id, collect_list(named_struct('id', id, 'zone', zone, 'ms', ms, 'detail', detail)) AS steps FROM ({_STEP}) GROUP BY user_id")
+    fields = {"n_rows": ("$.rows", "bigint", F.sum), "most_retries": ("$.more.retries", "bigint", F.max), "n_kinds": ("$.kind", "string", F.count), "most_k": ("$.k", "bigint", F.max)}
+    return jr.step_detail(runs, fields)

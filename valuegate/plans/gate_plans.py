@@ -10,7 +10,8 @@ from valuegate.operators import index as ix
 from valuegate.operators import journal as jr
 from valuegate.plans import profiling as pr
 from valuegate.plans.registry import Tables, query
-from valuegate.sources.folders import stored
+from valuegate.sources import questions as qs
+from valuegate.sources.folders import new_folder, stored
 from valuegate.sources.local import local_rows
 
 MESSAGES = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'How many orders per segment and region in total?'
@@ -86,8 +87,6 @@ _LINES = f"""SELECT 'send' AS context, v.allowed, array_to_string(v.refused, '|'
 @query("gate_journal", f"{_BASE}, {_over(_REFUSED, 'messages')}, {_over(_VERDICT, 'messages')} {_LINES}")
 def gate_journal(t: Tables) -> DataFrame:
     """Verdicts and deliberate bypasses appended to a journal and read again."""
-    from valuegate.sources.folders import new_folder
-
     folder, now = new_folder(t.spark, "journal"), F.current_timestamp()
     texts, past = (messages(t).filter(f"id % 10 {op} 0") for op in ("<>", "="))
     jr.append(jr.verdict_lines(verdict(t, texts), texts, "send", now), folder)
@@ -186,3 +185,32 @@ def sql_log_tables(t: Tables) -> DataFrame:
 @query("param_diff", f"{_LINT} SELECT log_id, array_to_string(list_sort(list_filter(used, lambda u: NOT list_contains(expected, u))), ',') AS unknown, array_to_string(list_sort(list_filter(expected, lambda u: NOT list_contains(used, u))), ',') AS unused FROM cut WHERE expected IS NOT NULL")
 def param_diff(t: Tables) -> DataFrame:
     return sqllog.parameter_differences(_log(t))
+
+
+QUESTIONS = """SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN ' ' WHEN p_partkey % 10 = 0 THEN NULL ELSE concat('How many parts of size ', p_size, CASE WHEN p_size % 4 = 0 THEN concat(' are called ', p_name) ELSE '' END, '?') END AS question,
+  CASE p_size % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'analytics' ELSE 'hard' END AS set, CASE WHEN p_partkey % 7 <> 0 THEN concat('SELECT count(*) FROM part WHERE p_size = ', p_size) END AS sql FROM part"""
+
+
+def _questions(t: Tables) -> DataFrame:
+    """The set as JSON lines, written and read again; every twentieth line is cut off."""
+    folder, rows = new_folder(t.spark, "questions"), t.sql(QUESTIONS)
+    line = F.to_json(F.struct("question", "set", "sql"))
+    rows.select(F.when(F.col("id") % 20 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(folder)
+    return qs.read_questions(t.spark, folder)
+
+
+_ASKED = f"asked AS (SELECT * FROM ({QUESTIONS}) WHERE id % 20 <> 0 AND trim(question) <> '')"
+
+
+@query("question_set", f"WITH {_ASKED} SELECT set, count(*) AS n, count(sql) AS n_with_reference FROM asked GROUP BY set")
+def question_set(t: Tables) -> DataFrame:
+    return _questions(t).groupBy("set").agg(F.count("*").alias("n"), F.count("sql").alias("n_with_reference"))
+
+
+@query(
+    "example_bank",
+    f"""WITH {pr.EXACT_SQL}, {pr.ALLOWED_SQL}, {_ASKED}, bank AS (SELECT *, row_number() OVER (ORDER BY question, sql) AS id, question || ' ' || sql AS text FROM (SELECT DISTINCT question, sql FROM asked WHERE sql IS NOT NULL)),
+    toks AS ({_over(_WS, 'bank')}), {_KNOWN} SELECT question, sql, sha256('Question: ' || question || chr(10) || 'SQL: ' || sql) AS digest FROM bank WHERE id NOT IN (SELECT id FROM known)""",
+)
+def example_bank(t: Tables) -> DataFrame:
+    return qs.example_bank(_questions(t), pr.denylist(t))

@@ -227,6 +227,16 @@ def index_meta(t: Tables) -> DataFrame:
     return ix.report(tiers(t), index(t))
 
 
+@query("index_report", f"WITH {VALUES_SQL}, t AS ({_tier_sql(TABLES, 5000)}) SELECT t.table_name, t.column_name, tier, n_distinct, reason, count(value) AS n_indexed FROM t LEFT JOIN value_index v ON v.ref = t.table_name || '.' || t.column_name GROUP BY ALL")
+def index_report(t: Tables) -> DataFrame:
+    """The columns' report as JSON lines, written and read again."""
+    from valuegate.sources.folders import new_folder
+
+    folder, rows = new_folder(t.spark, "index-report"), ix.report(tiers(t), index(t))
+    rows.coalesce(1).write.json(folder)  # a row a column
+    return t.spark.read.schema(rows.schema).json(folder)
+
+
 @query("longest_value_words", f"WITH {EXACT_SQL} SELECT least(greatest(max(len(string_split(value, ' '))), 6), 32)::int AS n_words FROM exact")
 def longest_value_words(t: Tables) -> DataFrame:
     return ix.longest_value_words(ix.exact_values(index(t)))
