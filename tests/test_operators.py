@@ -1,6 +1,7 @@
 """Golden cases of operators that SQL cannot check, and properties."""
 
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -128,3 +129,16 @@ def test_figures_are_those_of_the_true_value(spark):
         assert ours.setdefault(text, figures) == figures and theirs.setdefault(figures, text) == text, (value, text)
     odd = [r[0] for r in ev.cells(spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (0.0,), (-0.0,), (None,)], "x double")).collect()]
     assert len(set(odd)) == 5 and odd[3] == odd[4] == "0" and odd[5] == ""
+
+
+def test_folding_is_unicodes(spark):
+    """Every character but Korean syllables, alone, composed and decomposed, in words of several scripts."""
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
+    one = [chr(k) for k in (*range(1, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)) if unicodedata.category(chr(k)) not in ("Cn", "Co")]
+    one = [c for c in one if len(c.lower()) == 1 and not unicodedata.normalize("NFKD", c.lower()).startswith("\x00")]
+    texts = ["Crème Brûlée ﬁn", "ΆΈΉ ϋ", "Ёлка й", "Việt Nam", "éä", "①½ ㎏ ﷺ", "が ガ ｶﾞ", "", "plain", "ａｂｃ"] + ["".join(one[k : k + 50]) for k in range(0, len(one), 50)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select("id", tx.normalize(F.col("t")).alias("n")).collect()
+    wrong = [(t, r["n"], fold(t)) for r in got if r["n"] != fold(t := texts[r["id"]])]
+    # Java and Python may know different versions of Unicode and lower a final sigma differently.
+    assert len(wrong) <= 3, wrong[:5]
+    assert spark.range(1).select(tx.normalize(F.lit(None).cast("string"))).first()[0] is None

@@ -7,9 +7,16 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lower-case Latin letters with marks, and what is left without them, by Unicode's own decomposition.
-_MARKED = [c for c in map(chr, range(0xC0, 0x250)) if c == c.lower() and len(unicodedata.normalize("NFKD", c)) > 1 and unicodedata.normalize("NFKD", c)[0].isascii() and all(unicodedata.combining(x) for x in unicodedata.normalize("NFKD", c)[1:])]
-_PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in _MARKED)
+
+def _folded(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+#: By Unicode's own decomposition, Korean syllables aside: characters that fold to one other, to none, and to several.
+_FOLDING = {c: f for c in map(chr, (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000))) if (f := _folded(c)) != c}
+_FROM = "".join(sorted(_FOLDING, key=lambda c: (len(_FOLDING[c]) != 1, c)))
+_TO = "".join(_FOLDING[c] for c in _FROM if len(_FOLDING[c]) == 1)  # the others have no counterpart, and go
+_SEVERAL = {c: f for c, f in _FOLDING.items() if len(f) > 1}
 #: Titles before a person's name, and what counts as a number of its own.
 TITLE = r"(?i)^(mr|mrs|ms|miss|dr|prof|sir|m|mme|mlle)\b\.?"
 NUMBER = r"(?<![\w.])\d+(?:[.,]\d+)?(?![\w.])"
@@ -22,8 +29,19 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Lower case without accents, over Latin letters."""
-    return F.translate(F.lower(text), "".join(_MARKED), _PLAIN)
+    """Lower case, compatibility forms written out, accents dropped: spellings that differ in these alone fold alike, in any script.
+
+    Korean syllables stay whole, which tells them apart as well as their letters would. Characters that fold to several are
+    rare: only a text that holds one is taken apart.
+    """
+    known = F.str_to_map(F.lit("\x02".join(f"{c}\x01{f}" for c, f in _SEVERAL.items())), F.lit("\x02"), F.lit("\x01"))
+
+    def whole(low: Column) -> Column:
+        rare = F.translate(low, "".join(_SEVERAL), "") != low
+        written = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+        return F.translate(F.when(rare, written).otherwise(low), _FROM, _TO)
+
+    return F.get(F.transform(F.array(F.lower(text)), whole), F.lit(0))
 
 
 def tokens(text: Column) -> Column:

@@ -9,6 +9,8 @@ from valuegate.functions import text as tx
 from valuegate.operators.lookup import substring_pairs
 
 CONFIDENT, USEFUL = 0.75, 0.65
+#: The wording of a label's note.
+SUBJECT, RELATED = " is the subject of the question", "; related columns: "
 
 
 def number_symbols(resolutions: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def rewrite_notes(tagged: DataFrame, glossary: DataFrame, mapping: dict[str, str
     each = tagged.select("id", F.explode("tags").alias("t")).select("id", F.col("t.term").alias("term"), F.length("t.trigger").alias("n"), F.col("t.position").alias("at")).join(terms, "term")
     first = each.groupBy("id", F.col("labels")[0].alias("label")).agg(F.min(F.struct((-F.col("n")).alias("a"), F.col("at").alias("b"), "labels")).alias("m"))
     related = F.slice("m.labels", 2, 3)
-    note = F.concat("label", F.lit(" is the subject of the question"), F.when(F.size(related) > 0, F.concat(F.lit("; related columns: "), F.array_join(related, ", "))).otherwise(""))
+    note = F.concat("label", F.lit(SUBJECT), F.when(F.size(related) > 0, F.concat(F.lit(RELATED), F.array_join(related, ", "))).otherwise(""))
     return first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m.a", "m.b", note.alias("note"))))["note"].alias("notes"))
 
 

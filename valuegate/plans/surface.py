@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valuegate.operators import relational as rel
-from valuegate.plans.registry import Tables, query, sql_query
+from valuegate.plans.registry import TABLES, Tables, query, sql_query
 
 # Filters and projections
 
 
-@query("scan_tables", "SELECT 'customer' AS table_name, count(*)::bigint AS n_rows FROM customer UNION ALL SELECT 'orders', count(*)::bigint FROM orders UNION ALL SELECT 'part', count(*)::bigint FROM part")
+@query("scan_tables", " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*)::bigint AS n_rows FROM {name}" for name in TABLES))
 def scan_tables(t: Tables) -> DataFrame:
-    return rel.row_counts(t.all(["customer", "orders", "part"]))
+    return rel.row_counts(t.all())
 
 
 sql_query(

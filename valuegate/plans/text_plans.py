@@ -22,10 +22,9 @@ _lit = lambda s: "'" + s.replace("'", "''") + "'"
 # Functions
 
 
-@query("fn_normalize", "SELECT doc_id, md5(strip_accents(lower(regexp_replace(text, '[^a-zA-ZÀ-ÖØ-öø-ÿ \\n]', '', 'g')))) AS folded FROM documents")
+@query("fn_normalize", "SELECT doc_id, md5(strip_accents(lower(text))) AS folded FROM documents")
 def fn_normalize(t: Tables) -> DataFrame:
-    letters = F.regexp_replace("text", "[^a-zA-ZÀ-ÖØ-öø-ÿ \\n]", "")
-    return t("documents").select("doc_id", F.md5(tx.normalize(letters)).alias("folded"))
+    return t("documents").select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("folded"))
 
 
 @query("fn_tokenise", "SELECT item_id, generate_subscripts(ts, 1) - 1 AS place, unnest(ts) AS token FROM (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9&]+') AS ts FROM benchmark)")
