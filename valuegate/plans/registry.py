@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import importlib
+import inspect
 import re
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from valuegate.sources.folders import stored
 from valuegate.sources.kept import kept, listing
 
 #: The given tables.
@@ -17,6 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+@cache
+def rules() -> str:
+    """What tells the present code of kept tables from any other: where one of these modules changes, all of them are made anew."""
+    names = ("functions.text", "operators.bloom", "operators.dictionary", "operators.gate", "operators.index", "operators.profile", "plans.profiling")
+    sources = (inspect.getsource(importlib.import_module(f"valuegate.{name}")) for name in names)
+    return hashlib.sha256("".join(sources).encode()).hexdigest()[:16]
+
+
 class Tables:
     """The given tables of one folder, read when asked for."""
 
@@ -25,17 +36,11 @@ class Tables:
         self._made: dict[str, DataFrame] = {}
         self._version: str | None = None
 
-    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A small derived table that several steps of one query read: made and written once."""
-        if name not in self._made:
-            self._made[name] = stored(make(), name)
-        return self._made[name]
-
     @property
     def version(self) -> str:
-        """What tells the tables' present files from any others."""
+        """What tells the tables' present files, and the rules that are applied to them, from any others."""
         if self._version is None:
-            self._version = listing(self.spark, [f"{self.folder}/{name}.parquet" for name in TABLES])
+            self._version = f"{listing(self.spark, [f'{self.folder}/{name}.parquet' for name in TABLES])}-{rules()}"
         return self._version
 
     def kept(self, name: str, schema: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from valuegate.sources.folders import new_folder, shared_folder
 
-#: Part of every kept table's name; a change of what such tables hold changes it.
-LAYOUT = 1
-
-
 def listing(spark: SparkSession, paths: list[str]) -> str:
     """What tells the present files of ``paths`` from any others: their names, sizes and times. Only directories are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", "modificationTime")
@@ -39,7 +35,7 @@ def moved(spark: SparkSession, draft: str, place: str) -> bool:
 
 def kept(spark: SparkSession, name: str, version: str, schema: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
     """The table ``name`` of this version of its sources: read where it is whole, else made, written beside and moved into place."""
-    folder = f"{shared_folder(spark)}/kept-{LAYOUT}/{name}-{version}"
+    folder = f"{shared_folder(spark)}/kept/{version}/{name}"
     if not exists(spark, f"{folder}/_SUCCESS"):
         draft = new_folder(spark, f"draft-{name}")
         frame = make()
