@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,20 @@ def test_fingerprints_carry(spark):
     for v, c in usual:
         for w, d in usual:
             assert (c == d) == (nine(v) == nine(w)), (v, w, c, d)
+
+
+def test_examples_are_visited_by_their_bound(monkeypatch):
+    """The same best three as by scoring every example, with far fewer scored."""
+    rng = random.Random(31)
+    words = "how many orders of customers in each region with priority high low total price per month and year by segment status part name size brand".split()
+    made = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    examples = sorted({made(rng.randint(3, 12)) for _ in range(400)} | {"none of it", "", "x"})
+    texts = [(k, made(rng.randint(1, 12))) for k in range(40)] + [(k + 100, f"{rng.choice(examples)} {rng.choice(words)}") for k in range(40)] + [(900, ""), (901, examples[7])]
+    low = lambda t: " ".join(t.split()).lower()
+    want = {(k, e, -s) for k, t in texts for s, e in sorted((-round(sim.token_set(t, e), 4), e) for e in examples if set(t.split()) & set(e.split()) and low(e) != low(t))[:3]}
+    calls, whole = [], sim.token_set
+    monkeypatch.setattr(search.sim, "token_set", lambda a, b: calls.append(1) or whole(a, b))
+    got = search._nearest(3)(pd.DataFrame(texts, columns=["id", "text"]), pd.DataFrame({"example": examples}))
+    assert {tuple(r) for r in got.itertuples(index=False)} == want
+    met = sum(bool(set(t.split()) & set(e.split())) for _, t in texts for e in examples)
+    assert len(calls) < 0.4 * met

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ CONTAINED, FUZZY, RESULTS, LINKS, DOCUMENTS = 5000, 20, 5, 4, 10
 LEAST_LINK = 0.25
 #: Texts and worked examples that meet in one unit.
 TEXTS, EXAMPLES = 4096, 512
+#: Places for the letters of a text.
+LETTERS = 64
 
 
 def _tokens(text: Column) -> Column:
@@ -234,22 +236,46 @@ def link_columns(mentions: DataFrame, cards: DataFrame, heads: DataFrame, most:
     return pairs.select("mention", "ref", final.alias("score")).filter(F.col("score") >= LEAST_LINK).withColumn("p", F.row_number().over(order)).filter(F.col("p") <= most).drop("p")
 
 
+def _letters_of(words: set[str]) -> np.ndarray:
+    """How often each letter occurs in the words joined by blanks; letters that share a place only raise a bound."""
+    text = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
+    return np.bincount(text % LETTERS, minlength=LETTERS)
+
+
 def _nearest(most: int):
-    """Of each text of a unit the best of its examples that share a word with it."""
+    """Of each text of a unit the best of its examples that share a word with it.
+
+    The lengths of shared words and the letters in common bound a pair's ratio from above, for all examples of the unit at once.
+    Examples are visited by falling bound, until none that is left can reach the last of the best.
+    """
 
     def run(texts: pd.DataFrame, examples: pd.DataFrame) -> pd.DataFrame:
         plain = lambda text: " ".join(text.split()).lower()
-        known = [(e, plain(e)) for e in examples["example"]]
+        known = [(e, plain(e), set(e.split())) for e in examples["example"]]
         holders = defaultdict(list)
-        for i, (example, _) in enumerate(known):
-            for word in set(example.split()):
+        for i, (_, _, words) in enumerate(known):
+            for word in words:
                 holders[word].append(i)
+        letters = np.array([_letters_of(words) for _, _, words in known]).reshape(len(known), LETTERS)
+        sizes = letters.sum(axis=1)
         rows = []
         for id_, text in zip(texts["id"], texts["text"], strict=True):
-            own = plain(text)
-            met = {i for word in set(text.split()) for i in holders.get(word, ())}
-            scores = ((-round(sim.token_set(text, known[i][0]), 4), known[i][0]) for i in met if known[i][1] != own)
-            rows += [(id_, example, -score) for score, example in heapq.nsmallest(most, scores)]
+            own, words, shared = plain(text), set(text.split()), np.zeros(len(known), np.int64)
+            for word in words:
+                shared[holders.get(word, [])] += len(word) + 1
+            met = np.flatnonzero(shared)
+            mine = _letters_of(words)
+            both, size, its = shared[met] - 1, int(mine.sum()), sizes[met]
+            alike = 2 * np.minimum(mine, letters[met]).sum(axis=1) / np.maximum(size + its, 1)
+            bound = np.maximum.reduce([alike, 2 * both / (both + size), 2 * both / (both + its)])
+            best: list[tuple[float, str]] = []
+            for j in np.argsort(-bound, kind="stable"):
+                if len(best) == most and round(bound[j] + 1e-9, 4) < -best[-1][0]:
+                    break
+                example, low, _ = known[met[j]]
+                if low != own:
+                    best = sorted([*best, (-round(sim.token_set(text, example), 4), example)])[:most]
+            rows += [(id_, example, -score) for score, example in best]
         return pd.DataFrame(rows, columns=["id", "example", "score"])
 
     return run
