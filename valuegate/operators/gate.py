@@ -188,20 +188,32 @@ def provenance(segments: DataFrame, constants: DataFrame, templates: DataFrame,
     ``constants`` and ``templates`` have the digest of their text, ``identifiers`` a word, ``notes`` a note.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = segments.withColumns({"digest": F.sha2(text, 256), "template": F.sha2(templated(text), 256), "words": F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)), "note": F.trim(text)})
+    # What a part claims to be decides what is worked out of it.
+    of = lambda *origins: F.col("origin").isin(*origins)
+    rows = segments.withColumns(
+        {
+            "digest": F.when(of("authored"), F.sha2(text, 256)),
+            "template": F.when(of("template"), F.sha2(templated(text), 256)),
+            "words": F.when(of("schema", "opaque"), F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))),
+            "note": F.when(of("glossary"), F.trim(text)),
+        }
+    )
     flag = lambda df, column, name: df.select(F.col(df.columns[0]).alias(column)).distinct().withColumn(name, F.lit(True))
     rows = rows.join(flag(constants, "digest", "is_constant"), "digest", "left").join(flag(templates, "template", "is_template"), "template", "left").join(flag(notes, "note", "is_note"), "note", "left")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.when(of("params"), text), "\n"), lambda x: F.trim(x) != "")
     stated = F.transform(lines, parameter_line)
     # The words that have to be identifiers of the schema, whatever the origin, are looked up in one join.
     named = F.flatten(F.transform(stated, lambda p: p["names"]))
     label = lambda w: w.rlike(r"^[tc]\d+$")
     named = F.filter(named, lambda w: ~label(w))
     plain = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: ~w.isin(DDL))
-    rows = rows.withColumn("needed", F.array_distinct(F.when(F.col("origin") == "schema", plain).when(F.col("origin") == "params", named).otherwise(F.array().cast("array<string>"))))
-    looked = rows.select("id", "part", F.explode("needed").alias("word")).join(identifiers.select("word"), "word", "left_anti")
+    # Only parts that name identifiers are shuffled for it; questions and replies are not.
+    naming = F.coalesce(of("schema", "params"), F.lit(False))
+    asked, rest = rows.filter(naming), rows.filter(~naming).withColumn("unknown", F.lit(None).cast("boolean"))
+    needed = F.array_distinct(F.when(of("schema"), plain).otherwise(named))
+    looked = asked.select("id", "part", F.explode(needed).alias("word")).join(identifiers.select("word"), "word", "left_anti")
     unknown = looked.select("id", "part").distinct().withColumn("unknown", F.lit(True))
-    rows = rows.join(unknown, ["id", "part"], "left")
+    rows = asked.join(unknown, ["id", "part"], "left").unionByName(rest)
     known = F.col("unknown").isNull()
     block = (F.size(lines) > 0) & ((F.array_join(lines, "\n") == "  (none)") | (F.forall(stated, lambda p: p["ok"]) & known))
     opaque = (F.size("words") > 0) & F.forall("words", lambda w: label(w) | F.lower(w).isin(DDL))

@@ -176,7 +176,7 @@ def join_key_layout(t: Tables) -> DataFrame:
 
 @query("column_tiers", _tier_sql(TABLES, 5000))
 def column_tiers(t: Tables) -> DataFrame:
-    return pf.column_tiers(t.all())
+    return tiers(t)
 
 
 @query("column_tiers_strict", _tier_sql(TABLES, STRICT))
@@ -189,7 +189,7 @@ def value_index_build(t: Tables) -> DataFrame:
     from valuegate.sources.folders import new_folder
 
     folder = new_folder(t.spark, "value-index")
-    ix.write(ix.build(t.all(), pf.column_tiers(t.all())), folder)
+    ix.write(ix.build(t.all(), tiers(t)), folder)
     return t.spark.read.parquet(folder).select("value", "ref")
 
 
