@@ -30,7 +30,10 @@ def moved(spark: SparkSession, draft: str, place: str) -> bool:
     """Moves a written folder into place at once; where another has come first, it stays aside."""
     system, where = _file_system(spark, place)
     system.mkdirs(where.getParent())
-    return system.rename(_file_system(spark, draft)[1], where)
+    first = not system.exists(where) and system.rename(_file_system(spark, draft)[1], where)
+    if not first and not system.exists(where):
+        raise OSError(f"{draft} could not be moved to {place}")
+    return first
 
 
 def kept(spark: SparkSession, name: str, version: str, schema: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
