@@ -34,6 +34,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
+        self._read: dict[str, DataFrame] = {}
         self._version: str | None = None
 
     @property
@@ -50,7 +51,9 @@ class Tables:
         return self._made[name]
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:  # reading a schema is a job
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     def all(self, names: list[str] | None = None) -> dict[str, DataFrame]:
         return {name: self(name) for name in names or TABLES}
