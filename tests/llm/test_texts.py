@@ -219,6 +219,33 @@ def test_contamination_as_by_brute_force(spark, sf_dir):
     assert {(r["doc_id"], r["item_id"]): (r["doc_token"], r["matched"], r["exchanged"]) for r in op3_decontamination.query(spark, sf_dir).collect()} == want
 
 
+def test_classes_of_items_lose_no_link(spark):
+    """Items made of a few shared forms, and documents that copy one with some values exchanged: every link is there, of a class through its members."""
+    random.seed(31)
+    forms = ["if {} apples and {} pears and {} plums and {} nuts and {} figs and {} dates are shared out among friends how many are there", "then {} boats left {} ports on {} days with {} sailors each and came home again before the winter storms had begun to blow"]
+    values = lambda: [random.randint(1, 12) for _ in range(6)]
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(7))
+    items, texts = [], []
+    for k in range(70):
+        items.append((k, " ".join([forms[k % 2].format(*values()), random.choice(["", forms[1 - k % 2].format(*values())]), *(word() for _ in range(random.choice([0, 0, 12])))])))
+    for k in range(120):
+        text = random.choice(items)[1]
+        if k % 3:
+            old = random.sample(re.findall(r"\d+", text), k % 3)
+            text = re.sub(r"\d+", lambda m: str(random.randint(1, 12)) if m[0] in old and random.random() < 0.6 else m[0], text)  # noqa: B023
+        texts.append((k, f"{word()} {text}" if k % 2 else text))
+    docs, benchmark = spark.createDataFrame([*texts, (None, texts[0][1])], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contaminated([(d, t) for d, t in texts], items)
+    got = {(r["doc_id"], r["item_id"]): (r["doc_token"], r["matched"], r["exchanged"]) for r in op3_decontamination.contaminated(docs, benchmark, expand=True).collect()}
+    assert {k: v for k, v in got.items() if k[0] is not None} == want and len(want) > 300
+    assert {i: v for (d, i), v in got.items() if d is None} == {i: v for (d, i), v in want.items() if d == 0}
+    rows = op3_decontamination.contaminated(docs, benchmark).filter("doc_id is not null").collect()
+    of = {}
+    for r in op3_decontamination.members(benchmark).select("class", "item_id").distinct().collect():
+        of.setdefault(r["class"], set()).add(r["item_id"])
+    assert {(r["doc_id"], i) for r in rows for i in (of[r["class"]] if r["n_items"] > 1 else {r["item_id"]})} >= want.keys() and any(r["n_items"] > 1 for r in rows)
+
+
 def test_neighbours_make_no_difference(spark):
     question = "The committee asked Springfield why Marlowe had sold the old Shelbyville station to Harrington before the winter came."
     texts = [question.replace("Marlowe", "Bennett"), "300 \u212a", "\u0130stanbul Élodie", question.upper(), "", None]

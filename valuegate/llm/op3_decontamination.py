@@ -8,9 +8,11 @@ like. Matches of one item along one offset are put together, and count only if t
 the item stands for one value in the document throughout, and back, or at most a fifth of the slots differ from the item's.
 
 A window that many items share (an instruction before every question) would bring each document that has it together with
-all of them. Slots of two windows of one template are consistent just when equal values stand at the same places in both,
-so such a window's items are classes by that pattern: a document meets the least item of each class, which stands for all of
-them, and ``members`` lists a class's items.
+all of them. Items that have the same such windows at the same places, and equal slots in the same places of them, form a
+class: what a document holds of these windows is consistent with all items of a class or with none, so it meets the least
+item alone, which stands for all, and ``members`` lists them. Whatever differs within a class is decided item by item: where
+a document holds other windows of a member as well, or where its slots are not consistent but may be the item's for the
+greater part. So nothing is lost by the classes, and ``expanded`` gives every item a row of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from valuegate.llm.storage import table, written
@@ -107,29 +109,29 @@ def window_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
     return bits, sorted(sizes)
 
 
-def _pattern(slots: Column) -> Column:
-    """Which slots hold equal values."""
-    return F.xxhash64(F.transform(slots, lambda s: F.array_position(slots, s)))
+def classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The windows of items with ``common`` (whether more than ``COMMON`` items share it), and the classes of items: (item_id, class, n_items).
 
-
-def classes(items: DataFrame) -> DataFrame:
-    """(item_id, cased, hash, at, tokens, slots, class, n_items): the windows of items, those of more than ``COMMON`` items as one row a class.
-
-    The row of a class is that of its least item; ``class`` is null where the row stands for its item alone.
+    ``class`` is the least item of those whose common windows are the same at the same places, with equal slots in the same places.
+    Only classes of several items are listed.
     """
     held = items.groupBy("hash", "cased").agg(F.count_distinct("item_id").alias("n")).filter(F.col("n") > COMMON).select("hash", "cased", F.lit(True).alias("common"))
-    known = items.join(held, ["hash", "cased"], "left")
-    row = F.struct("item_id", "at", "tokens", "slots")
-    many = known.filter("common").groupBy("hash", "cased", F.size("slots").alias("size"), _pattern(F.col("slots")).alias("class")).agg(F.min(row).alias("r"), F.count_distinct("item_id").alias("n_items"))
-    own = known.filter("common is null").select("item_id", "cased", "hash", "at", "tokens", "slots", F.lit(None).cast("long").alias("class"), F.lit(1).cast("long").alias("n_items"))
-    return own.unionByName(many.select("r.item_id", "cased", "hash", "r.at", "r.tokens", "r.slots", "class", "n_items"))
+    known = written(items.join(held, ["hash", "cased"], "left").withColumn("common", F.col("common").isNotNull()), "window-kinds")
+    each = known.filter("common and item_id is not null").select("item_id", "cased", "hash", "at", F.posexplode("slots").alias("place", "slot"))
+    # Where the slot's value stands first in the item's common windows: equal for two items just when their slots agree in the same places.
+    first = F.min(F.col("at") + F.col("place")).over(Window.partitionBy("item_id", "cased", "slot"))
+    formed = each.withColumn("first", first).groupBy("item_id").agg(
+        F.sort_array(F.collect_set(F.struct("cased", "at", "hash", "place", F.when(F.col("slot") == 0, -1).otherwise(F.col("first")).alias("first")))).alias("form")
+    )
+    told = written(formed.select("item_id", F.xxhash64("form").alias("one"), F.xxhash64(F.lit(1), "form").alias("two")), "item-forms")
+    least = told.groupBy("one", "two").agg(F.min("item_id").alias("class"), F.count("*").alias("n_items")).filter("n_items > 1")
+    return known, told.join(least, ["one", "two"]).select("item_id", "class", "n_items")
 
 
 def members(benchmark: DataFrame) -> DataFrame:
-    """(hash, cased, class, item_id): the items of every class of a window that many items share."""
-    items = item_windows(benchmark)
-    found = classes(items).filter("class is not null").select("hash", "cased", "class")
-    return items.select("hash", "cased", _pattern(F.col("slots")).alias("class"), "item_id").distinct().join(found.distinct(), ["hash", "cased", "class"])
+    """(hash, cased, class, item_id): the items of every class, once for each of its windows that many items share."""
+    known, classed = classes(item_windows(benchmark))
+    return known.filter("common").select("item_id", "hash", "cased").distinct().join(classed, "item_id").select("hash", "cased", "class", "item_id")
 
 
 def text_key(text: Column) -> Column:
@@ -137,10 +139,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, item_id, doc_token, matched, item_tokens, exchanged, n_items, hash, class): the items that each row's text holds; ``key`` is its ``text_key``.
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", expand: bool = False) -> DataFrame:
+    """(id, key, item_id, cased, doc_token, matched, item_tokens, exchanged, n_items, hash, class): the items that each row's text holds; ``key`` is its ``text_key``.
 
-    Where ``n_items`` is over 1, a window that many items share matched: the row stands for all ``members`` of its hash and class.
+    Where ``n_items`` is over 1, windows that many items share matched: the row stands for all ``members`` of its class. With
+    ``expand`` there are no such rows, and each member has its own.
     """
     items = written(item_windows(benchmark), "item-windows")
     bits, sizes = window_filter(items)
@@ -155,16 +158,45 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), text.alias("text"))
     ours = rows.mapInArrow(run, f"row struct<id:{kind},key:binary>, cased boolean, hash long, doc_at int, doc_tokens int, doc_slots array<long>")
-    ours = ours.select("row.id", "row.key", "cased", "hash", "doc_at", "doc_slots")
-    # Written, so that a join on a frequent window can be dealt out.
-    known = written(classes(items), "window-classes")
-    theirs = known.select("item_id", "cased", "hash", F.col("at").alias("item_at"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"), "class", "n_items")
+    ours = ours.select("row", "cased", "hash", "doc_at", "doc_slots")
+    known, classed = classes(items)
+    classed = written(classed, "item-classes")
+    known = known.join(classed, "item_id", "left")
+    by_class = F.col("common") & F.col("class").isNotNull()
+    # Of a class its least item's common windows. Written, so that a join on a frequent window can be dealt out.
+    theirs = written(
+        known.filter(~by_class | (F.col("item_id") == F.col("class"))).select(
+            "item_id", "cased", "hash", F.col("at").alias("item_at"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"), by_class.alias("by_class"), "class", "n_items"
+        ),
+        "window-classes",
+    )
     met = ours.join(theirs, ["hash", "cased"]).filter(F.size("doc_slots") == F.size("item_slots"))
+    met = written(met.withColumn("offset", F.col("doc_at") - F.col("item_at")).drop("item_at"), "met")
+    own, through = met.filter("not by_class"), met.filter("by_class")
+    pairs = F.size("slots")
+    grouped = _judged(through, ["row", "class", "cased", "offset"], F.max("n_items"))
+    # What is decided for each item of a class: where windows of its own match, and where slots are not consistent, but a fifth of them may differ.
+    open_ = grouped if expand else grouped.filter(~F.col("consistent") & (pairs >= 5))
+    place = ["row", "class", "item_id", "cased", "offset"]
+    wanted = own.filter("class is not null").select(*place).union(open_.join(classed.drop("n_items"), "class").select(*place)).distinct()
+    theirs = known.filter(by_class).select("item_id", "cased", "hash", F.col("at").alias("item_at"), F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
+    held = through.select("row", "class", "cased", "offset", "hash", "doc_at", "doc_slots", (F.col("doc_at") - F.col("offset")).alias("item_at"))
+    one = F.struct("row.key", F.coalesce(F.col("row.id").cast("string"), F.lit("")), F.col("row.id").isNull())  # a null id is met as well
+    held, wanted = (f.withColumn("one", one) for f in (held, wanted))
+    whole = wanted.drop("row").join(held, ["one", "class", "cased", "offset"]).join(theirs, ["item_id", "cased", "hash", "item_at"])
+    names = ["row", "item_id", "cased", "offset", "hash", "doc_at", "doc_slots", "item_tokens", "item_slots"]
+    single = _judged(own.select(*names).union(whole.select(*names)), ["row", "item_id", "cased", "offset"], F.lit(1).cast("long")).withColumn("class", F.lit(None).cast("long"))
+    found = single.filter(F.col("consistent") | (F.col("exchanged") * 5 <= pairs))
+    if not expand:
+        found = found.unionByName(grouped.filter("consistent").withColumn("item_id", F.col("class")))
+    return found.select("row.id", "row.key", "item_id", "cased", "doc_token", "matched", "item_tokens", "exchanged", "n_items", "hash", "class")
+
+
+def _judged(met: DataFrame, keys: list[str], n_items: Column) -> DataFrame:
+    """Windows that met, put together by ``keys``: one item at one place of one text, so a group is no larger than the item."""
     pair = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda s: s["item_slots"] != 0)
-    met = met.select("id", "key", "item_id", "cased", (F.col("doc_at") - F.col("item_at")).alias("offset"), "doc_at", "item_tokens", F.size("doc_slots").alias("size"), pair.alias("slots"), F.struct("n_items", "hash", "class").alias("shared"))
-    # A group is one item at one place of one text: no larger than the item.
-    one = met.groupBy("id", "key", "item_id", "cased", "offset").agg(
-        F.array_sort(F.collect_set(F.struct("doc_at", "size"))).alias("hits"), F.first("item_tokens").alias("item_tokens"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.max("shared").alias("shared")
+    one = met.withColumns({"size": F.size("doc_slots"), "slots": pair}).groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.struct("doc_at", "size"))).alias("hits"), F.first("item_tokens").alias("item_tokens"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.max("hash").alias("hash"), n_items.alias("n_items")
     )
     start = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
@@ -173,20 +205,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         run = F.when(hit["doc_at"] <= acc["end"], acc["run"] + end - acc["end"]).otherwise(hit["size"])
         return F.struct(end.alias("end"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    one = one.withColumn("matched", F.aggregate("hits", start, longest, lambda acc: acc["best"]))
     pairs = F.size("slots")
     consistent = (F.size(F.array_distinct("slots.item_slots")) == pairs) & (F.size(F.array_distinct("slots.doc_slots")) == pairs)
     exchanged = F.size(F.filter("slots", lambda s: s["item_slots"] != s["doc_slots"]))
-    return one.filter(consistent | (exchanged * 5 <= pairs)).select("id", "key", "item_id", "cased", F.col("hits")[0]["doc_at"].alias("doc_token"), "matched", "item_tokens", exchanged.alias("exchanged"), "shared.*")
+    return one.select(
+        *keys, F.col("hits")[0]["doc_at"].alias("doc_token"), F.aggregate("hits", start, longest, lambda acc: acc["best"]).alias("matched"), "item_tokens", "slots", consistent.alias("consistent"), exchanged.alias("exchanged"), "hash", "n_items"
+    )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", expand: bool = False) -> DataFrame:
     """A row for each document and benchmark item that it holds: the document's id, item_id, doc_token (place of the match),
     matched, item_tokens, exchanged (slots with another value than the item's), n_items, hash, class.
 
-    Where ``n_items`` is over 1, the document has a window that so many items share, and the row stands for all of them: the
-    item is the least, ``members`` lists the others, and the slots are held against the least. Through its own windows an item
-    has a row of its own besides.
+    Where ``n_items`` is over 1, the document has windows that many items share, and the row stands for all ``members`` of the
+    class: the item is the least, and the slots are held against it. A member of which other windows match there too has a row of
+    its own besides. With ``expand`` every item has its own row, and ``n_items`` is 1.
 
     Null and empty texts match nothing. Rows that repeat an id are looked at each and give one row together; so do all rows
     with a null id, whose id is null again. An item under five template tokens is found only where it is the whole
@@ -194,10 +227,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     then the first, is returned. Tokens are those of the template without names only where nothing else matches: in copies
     in another case, or of short items amid a sentence. Other columns are not read, whatever their names.
     """
-    best = F.max_by(F.struct("doc_token", "matched", "item_tokens", "exchanged", "n_items", "hash", "class"), F.struct("cased", "matched", -F.col("doc_token")))
-    found = matches(docs, benchmark, id_col, text_col).groupBy("id", "item_id").agg(best.alias("b"))
-    return found.select(F.col("id").alias(id_col), "item_id", "b.*")
+    best = F.max_by(F.struct("doc_token", "matched", "item_tokens", "exchanged"), F.struct("cased", "matched", -F.col("doc_token")))
+    shared = F.max(F.struct("n_items", "hash", "class"))
+    found = matches(docs, benchmark, id_col, text_col, expand).groupBy("id", "item_id").agg(best.alias("b"), shared.alias("s"))
+    return found.select(F.col("id").alias(id_col), "item_id", "b.*", "s.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), expand=True)
