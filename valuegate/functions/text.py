@@ -60,6 +60,18 @@ def trigrams(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, 3))
 
 
+def counted(items: Column) -> Column:
+    """array<struct<item, n>>: the distinct items of an array and how often each stands there, in their order."""
+
+    def runs(items: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | ~F.get(items, i).eqNullSafe(F.get(items, i - 1)))
+        end = lambda starts, j: F.coalesce(F.get(starts, j + 1), F.size(items))
+        return F.get(F.transform(F.array(starts), lambda s: F.transform(s, lambda i, j: F.struct(F.get(items, i).alias("item"), (end(s, j) - i).cast("long").alias("n")))), F.lit(0))
+
+    # What is sorted is worked out once.
+    return F.get(F.transform(F.array(F.sort_array(items)), lambda s: F.when(F.size(s) > 0, runs(s))), F.lit(0))
+
+
 def preview(text: Column, most: int = 90) -> Column:
     """The beginning of the text in one line."""
     return F.left(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(most))

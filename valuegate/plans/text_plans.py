@@ -42,7 +42,10 @@ def fn_parts(t: Tables) -> DataFrame:
 
 @query("fn_trigrams", "SELECT p_partkey, substr(padded, i::int, 3) AS gram, count(*) AS n FROM (SELECT p_partkey, '  ' || array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ' ') || '  ' AS padded FROM part), range(1, 60) r(i) WHERE i <= length(padded) - 2 GROUP BY ALL")
 def fn_trigrams(t: Tables) -> DataFrame:
-    return t("part").select("p_partkey", F.explode(tx.trigrams(F.col("p_name"))).alias("gram")).groupBy("p_partkey", "gram").agg(F.count("*").alias("n"))
+    # Counted where a key's names stand: only names are shuffled and held, not their pieces.
+    named = t("part").select("p_partkey", "p_name").repartition("p_partkey").groupBy("p_partkey").agg(F.collect_list("p_name").alias("names"))
+    pieces = F.flatten(F.transform("names", tx.trigrams))
+    return named.select("p_partkey", F.explode(tx.counted(pieces)).alias("c")).select("p_partkey", F.col("c.item").alias("gram"), "c.n")
 
 
 _AMOUNTS = "SELECT o_orderkey, concat('pay ', cast(cast(floor(o_totalprice) AS bigint) AS string), ' or ', o_custkey, ',5 in x12 and ', o_orderpriority) AS text FROM orders"
