@@ -1,10 +1,14 @@
 """What grows with the tables is neither paired nor taken apart in shuffles."""
 
+import math
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from valuegate.functions import text as tx
+from valuegate.operators import search as se
 
 
 def test_pieces_are_counted_where_their_name_stands(spark, sf_dir):
@@ -16,3 +20,29 @@ def test_pieces_are_counted_where_their_name_stands(spark, sf_dir):
     rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["a"]), (4, ["", "", "c", ""])], "id int, items array<string>")
     got = {r["id"]: [tuple(c) for c in r["c"] or []] for r in rows.select("id", tx.counted(F.col("items")).alias("c")).collect()}
     assert got == {1: [("a", 1), ("b", 2)], 2: [], 3: [("a", 1)], 4: [("", 3), ("c", 1)]}
+
+
+def test_bm25_in_blocks(spark, monkeypatch):
+    """As by a plain loop, whatever the blocks; ties by document, ids that repeat are one document, and pairs of query and document are no rows."""
+    random.seed(5)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(random.randint(0, 90), random.choice(words[: random.choice([3, 40])])) for _ in range(1500)] + [(None, "w1"), (200, "unasked")]
+    asked = [(q, random.choice(words + ["nowhere"])) for q in range(23) for _ in range(5)] + [(None, "w1"), (50, "nowhere")]
+    docs += [(300 + i, "w7") for i in range(40)]
+    tf, size = Counter(docs), Counter(d for d, _ in docs)
+    avg, df = sum(size.values()) / len(size), Counter(t for _, t in tf)
+    want = set()
+    for q in {q for q, _ in asked}:
+        score = Counter()
+        for t in {t for p, t in asked if p == q}:
+            for d in size:
+                if d is not None and (n := tf[d, t]):
+                    score[d] += math.log(1 + (len(size) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size[d] / avg))
+        want |= {(q, d, round(s, 6)) for d, s in sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:10]}
+    q, d = spark.createDataFrame(asked, "query int, token string"), spark.createDataFrame(docs, "doc long, token string").repartition(3)
+    for sizes in ((2048, 128), (7, 4)):
+        monkeypatch.setattr(se, "BLOCK_DOCUMENTS", sizes[0])
+        monkeypatch.setattr(se, "BLOCK_QUERIES", sizes[1])
+        found = se.bm25(q, d)
+        assert {tuple(r) for r in found.collect()} == want
+        assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()

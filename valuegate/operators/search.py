@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ CONTAINED, FUZZY, RESULTS, LINKS, DOCUMENTS = 5000, 20, 5, 4, 10
 LEAST_LINK = 0.25
 #: Texts and worked examples that meet in one unit.
 TEXTS, EXAMPLES = 4096, 512
+#: Documents and questions whose words meet as one product of matrices.
+BLOCK_DOCUMENTS, BLOCK_QUERIES = 2048, 128
 #: Places for the letters of a text.
 LETTERS = 64
 
@@ -300,16 +305,65 @@ def nearest_examples(texts: DataFrame, examples: DataFrame, leaked: DataFrame, m
     return hits.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= most).select("id", "example", "score")
 
 
+def _document_blocks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc, dl, terms) as blocks of ``BLOCK_DOCUMENTS``, one row each."""
+    for frame in frames:
+        for a in range(0, frame.num_rows, BLOCK_DOCUMENTS):
+            part = frame.slice(a, BLOCK_DOCUMENTS)
+            terms = part.column("terms")
+            flat = terms.flatten()
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([one(part.column("doc")), one(part.column("dl")), one(pc.list_value_length(terms).cast(pa.int32())), one(flat.field("number")), one(flat.field("tf"))], ["docs", "dls", "counts", "numbers", "tfs"])
+
+
+def _block_scores(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each block of documents met by a block of queries: each query's best documents, as one product of matrices."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for i in range(frame.num_rows):
+                docs, asked = frame.column("docs")[i].values, frame.column("asked")[i].values
+                dls, counts, numbers, tfs = (frame.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("dls", "counts", "numbers", "tfs"))
+                avgdl = frame.column("avgdl")[i].as_py()
+                words, column = np.unique(asked.field("number").to_numpy(zero_copy_only=False), return_inverse=True)
+                queries = pc.dictionary_encode(asked.field("query"), null_encoding="encode")
+                weight = np.zeros((len(words), len(queries.dictionary)))
+                weight[column, queries.indices.to_numpy(zero_copy_only=False)] = asked.field("idf").to_numpy(zero_copy_only=False)
+                row, place = np.repeat(np.arange(len(docs)), counts), np.minimum(np.searchsorted(words, numbers), len(words) - 1)
+                mine = words[place] == numbers
+                row, place, tf = row[mine], place[mine], tfs[mine]
+                held = np.zeros((len(docs), len(words)))
+                held[row, place] = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dls[row] / avgdl))
+                score = (held @ weight).T
+                order = np.empty(len(docs), np.int64)
+                order[pc.sort_indices(docs).to_numpy()] = np.arange(len(docs))
+                first = np.lexsort((np.broadcast_to(order, score.shape), -np.round(score, 6)), axis=1)[:, :most]
+                best = np.take_along_axis(score, first, 1)
+                which, nth = np.nonzero(best > 0)  # every idf is above 0
+                yield pa.RecordBatch.from_arrays([queries.dictionary.take(pa.array(which)), docs.take(pa.array(first[which, nth])), pa.array(best[which, nth])], ["query", "doc", "score"])
+
+    return run
+
+
 def bm25(queries: DataFrame, docs: DataFrame, most: int = DOCUMENTS) -> DataFrame:
-    """(query, doc, score): the best documents by BM25 over (query, token) and (doc, token) rows, tokens repeated as they occur."""
-    tf = docs.groupBy("doc", "token").agg(F.count("*").alias("tf"))
-    sizes = docs.groupBy("doc").agg(F.count("*").alias("dl"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    asked = queries.distinct().join(df, "token").join(F.broadcast(whole), F.lit(True))  # one row
-    met = asked.join(tf, "token").join(sizes, "doc")
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    total = met.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    """(query, doc, score): the best documents by BM25 over (query, token) and (doc, token) rows, tokens repeated as they occur.
+
+    Documents are read once: what they hold of the words asked for is counted and stored. Blocks of documents meet blocks of
+    queries in numpy and give each query its best of the block, so no pair of query and document becomes a row.
+    """
+    queries = stored(queries.distinct(), "queries")
+    words = stored(queries.select("token").distinct().withColumn("number", F.monotonically_increasing_id()), "query-words")
+    counted = docs.join(words, "token", "left").groupBy("doc", "number").agg(F.count("*").alias("tf"))  # words not asked for are one row
+    term = F.when(F.col("number").isNotNull(), F.struct("number", F.col("tf").cast("double").alias("tf")))
+    held = stored(counted.groupBy("doc").agg(F.sum("tf").cast("double").alias("dl"), F.collect_list(term).alias("terms")), "document-words")
+    whole = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    df = held.select(F.explode("terms.number").alias("number")).groupBy("number").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole))
+    idf = df.select("number", "avgdl", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    n_blocks = queries.select("query").distinct().count() // BLOCK_QUERIES + 1
+    asked = queries.join(words, "token").join(idf, "number").groupBy(F.pmod(F.xxhash64("query"), F.lit(n_blocks)).alias("block"))
+    asked = asked.agg(F.first("avgdl").alias("avgdl"), F.collect_list(F.struct("query", "number", "idf")).alias("asked")).drop("block")
+    kind, of = (f.schema[c].dataType.simpleString() for f, c in ((docs, "doc"), (queries, "query")))
+    blocks = held.filter("doc is not null").mapInArrow(_document_blocks, f"docs array<{kind}>, dls array<double>, counts array<int>, numbers array<long>, tfs array<double>")
+    best = blocks.crossJoin(stored(asked, "query-blocks")).mapInArrow(_block_scores(most), f"query {of}, doc {kind}, score double").withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return total.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= most).select("query", "doc", "score")
+    return best.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= most).select("query", "doc", "score")
