@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from valuegate.functions import text as tx
+from valuegate.operators import gate
 from valuegate.operators import search as se
 
 
@@ -46,3 +47,13 @@ def test_bm25_in_blocks(spark, monkeypatch):
         found = se.bm25(q, d)
         assert {tuple(r) for r in found.collect()} == want
         assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_are_shuffled_for_no_identifier(spark):
+    """Parts that name identifiers are judged where they stand, each by itself, also without an id."""
+    parts = [(1, 1, "schema", "CREATE TABLE orders (o_key INT)"), (1, 2, "schema", "CREATE TABLE orders (o_shade INT)"), (1, 3, "params", ":v1 = a value of orders.o_key"), (2, 1, "params", ":v1 = a value of orders.o_shade"), (None, 1, "schema", "CREATE TABLE orders (o_shade INT)"), (2, 1, "schema", None), (3, 1, "params", None), (3, 2, "params", "  (none)")]
+    segments = spark.createDataFrame(parts, "id long, part int, origin string, text string")
+    one = lambda kind, *rows: spark.createDataFrame([(r,) for r in rows], f"{kind} string")
+    found = gate.provenance(segments, one("digest"), one("digest"), one("word", "orders", "o_key"), one("note"))
+    assert [r["rule"] for r in found.collect()] == [gate.RULES["schema"], None, gate.RULES["params"], None, None, None, None, gate.RULES["params"]]
+    assert "hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString()
