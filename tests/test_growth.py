@@ -57,3 +57,12 @@ def test_parts_are_shuffled_for_no_identifier(spark):
     found = gate.provenance(segments, one("digest"), one("digest"), one("word", "orders", "o_key"), one("note"))
     assert [r["rule"] for r in found.collect()] == [gate.RULES["schema"], None, gate.RULES["params"], None, None, None, None, gate.RULES["params"]]
     assert "hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_with_a_rule_meet_no_verdict(spark):
+    parts = spark.createDataFrame([(1, 1, "r"), (1, 2, None), (1, 3, None), (2, 1, "r"), (2, 2, "r"), (3, 1, None), (4, 1, None), (None, 1, "r")], "id long, part int, rule string")
+    checked = spark.createDataFrame([(1, 2, False, ["b", "a"]), (1, 3, False, ["a"]), (2, 1, False, ["x"]), (3, 1, True, [])], "id long, part int, allowed boolean, refused array<string>")
+    found = gate.message_verdicts(parts, checked)
+    assert {tuple(map(str, r)) for r in found.collect()} == {("1", "False", "['a', 'b']"), ("2", "True", "[]"), ("3", "True", "[]"), ("4", "False", "[]"), ("None", "True", "[]")}
+    joins = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert "isnull(rule" in joins
