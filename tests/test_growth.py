@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from valuegate.functions import text as tx
-from valuegate.operators import gate
+from valuegate.operators import bloom, gate
+from valuegate.operators import journal as jr
 from valuegate.operators import search as se
 
 
@@ -66,3 +68,21 @@ def test_parts_with_a_rule_meet_no_verdict(spark):
     assert {tuple(map(str, r)) for r in found.collect()} == {("1", "False", "['a', 'b']"), ("2", "True", "[]"), ("3", "True", "[]"), ("4", "False", "[]"), ("None", "True", "[]")}
     joins = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
     assert "isnull(rule" in joins
+
+
+def test_texts_are_tested_in_batches_and_stay_where_they_are(spark):
+    """Filters are tested by whole batches, with the same answers as one by one; journal lines shuffle no text."""
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    made, others = bloom.build(keys, most_bytes=900), spark.range(9000).select(F.xxhash64("id").alias("key"))
+    rows = others.select("key", made.may_hold(F.col("key")).alias("held")).toPandas()
+    assert (made.holds(rows["key"].to_numpy().view(np.uint64)) == rows["held"].to_numpy()).all() and 0 < (~rows["held"]).sum() < 6001
+    frame = spark.createDataFrame
+    deny = gate.denylist(frame([("red ring", 2), ("ring", 1)], "value string, size int"), frame([("ring",)], "token string"))
+    texts = frame([(1, "The Red Ring, a ring"), (2, None), (3, "red"), (4, "")], "id long, text string")
+    known, refused = gate.known_values(texts, deny), gate.refused_tokens(texts, deny)
+    assert {tuple(r) for r in known.collect()} == {(1, "ring", 1), (1, "red ring", 2)} and {tuple(r) for r in refused.collect()} == {(1, "Ring", 2)}
+    for found in (known, refused):
+        assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    lines = jr.verdict_lines(gate.verdicts(texts, known, refused), texts, "c", F.current_timestamp())
+    assert {(r["length"], r["allowed"]) for r in lines.collect()} == {(20, False), (0, True), (3, True)}
+    assert "AS length" in lines._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1].split("\n")[1]
