@@ -226,3 +226,17 @@ def test_pipeline_over_odd_rows(spark, sf_dir, tmp_path):
     empty = table(spark, folder, "documents").limit(0)
     for name, step in corpus_pipeline.STAGES:
         assert step(spark, empty, folder).count() == 0, name
+
+
+def test_components_take_no_round_for_what_is_settled(spark, monkeypatch):
+    """Stars are not gone over again, nor are few links more than they need; no step sends rows to the driver."""
+    from valuegate.llm import components as cc
+
+    steps, step = [], cc._step
+    monkeypatch.setattr(cc, "_step", lambda links: steps.append(step(links)) or steps[-1])
+    ends = cc.stars(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)], "a long, b long"))
+    assert steps and not any("Broadcast" in s._jdf.queryExecution().executedPlan().toString() for s in steps)
+    steps.clear()
+    assert components(ends).count() == 71 and not steps
+    got = {r["node"]: r["component"] for r in components(ends.unionAll(spark.createDataFrame([(7, 110)], "a long, b long"))).collect()}
+    assert set(got.values()) == {0} and len(got) == 71 and len(steps) <= 2

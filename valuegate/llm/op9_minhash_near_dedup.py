@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuegate.llm.blocks import dealt, runs
-from valuegate.llm.components import components, each_with
+from valuegate.llm.components import components, each_with, named, stars
 from valuegate.llm.storage import table, written
 from valuegate.llm.textvec import Words, batches, grams, mix
 
@@ -215,8 +215,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
     links = written(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(_verify, "a long, b long"), "leader-links")
     # What the leaders did not settle: buckets of three or more texts in several components.
-    found = components(links)
-    placed = members.filter("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tied = stars(links)
+    placed = members.filter("n > 2").join(named(tied), "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.first("n").alias("n"), F.first("words").alias("words")).filter("first != last")
     open_ = open_.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("words") / BLOCK_WORDS)).alias("blocks"))
     units = dealt(placed.select("node", "bucket", "component"), open_, "bucket", "node", "blocks").join(texts, "node")
@@ -226,10 +226,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         .select("bucket", "low", "high", "own", "node", "component", "text")
         .mapInPandas(_join_up, "a long, b long")
     )
-    every = components(links.unionAll(written(more, "block-links")))
+    # The stars stand for the leaders' links, so only what the blocks add takes further rounds.
+    every = components(tied.unionAll(written(more, "block-links")))
     tops = every.join(classes.select("node", "top"), "node").groupBy("component").agg(F.min("top").alias("first"))
-    named = each_with(every, tops, "component").select("node", "first")
-    known = classes.select(*same, "node", "top").join(named, "node", "left").select(*same, F.coalesce("first", "top").alias("first"))
+    firsts = each_with(every, tops, "component").select("node", "first")
+    known = classes.select(*same, "node", "top").join(firsts, "node", "left").select(*same, F.coalesce("first", "top").alias("first"))
     # Texts without words are of no class and stand for themselves.
     joined = signed.select("id", "key", *same).join(written(known, "text-groups"), same, "left")
     alone = F.col("first").isNull()
